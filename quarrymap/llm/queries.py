@@ -51,7 +51,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.find_spans(documents(spark, sf_dir))
     counts = [
-        F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{name}")
+        F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint)").alias(f"n_{name}")
         for k, name in enumerate(pii.KINDS[:4])
     ]
     return spans.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("spans").alias("spans"))

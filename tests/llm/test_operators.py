@@ -344,6 +344,14 @@ def test_fingerprint_likeness(spark):
     assert np.abs(np.array(got) - want).mean() < 0.04 and abs(np.mean(got) - np.mean(want)) < 0.02
 
 
+def test_personal_data_query(spark, docs):
+    want = {r.doc_id: brute.base_spans(r.text) for r in docs.collect()}
+    for r in queries.op4_pii(spark, SF).collect():
+        kinds = [k for k, _, _ in want[r.doc_id]]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == brute.spans_sha(want[r.doc_id])
+
+
 def test_queries_return_their_columns(spark):
     want = {
         "op1_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
