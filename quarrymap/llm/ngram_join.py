@@ -37,6 +37,8 @@ SKETCH_BITS, SKETCH_CHUNKS = 20, 16
 SMALL = 8
 #: Rounds in which each large bucket compares its classes with one central class.
 STAR_ROUNDS = 3
+#: Ids that may be broadcast, at 16 bytes each.
+SENT = 200_000
 _PIECE = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -308,14 +310,19 @@ def _candidates(buckets: DataFrame, tasks: int, percent: int, stage: int) -> Dat
     return pairs.distinct()
 
 
-def _class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, grams) of the wanted classes, from their least document."""
+def _class_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(cls, grams) of the classes of pairs, from their least document. Up to SENT classes their doc_ids go to the scan of
+    the documents (16 bytes each); beyond that the documents are shuffled."""
 
     @F.pandas_udf("cls long, grams binary")
     def sets(texts: pd.Series) -> pd.DataFrame:
         got = list(shingle_sets(list(texts), words))
         return pd.DataFrame({"cls": [class_of(g) for g in got], "grams": [g.tobytes() for g in got]})
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(ids, "cls")
+    wanted = stored(wanted, "wanted")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", "text").join(wanted, "doc_id")
     rows = rows.select("cls", sets("text").alias("s")).where("cls = s.cls").select("cls", "s.grams")
     return rows.dropDuplicates(["cls"])
@@ -356,8 +363,6 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     features = features.where("chunk < 0").select("doc_id", "n", "cls")
     buckets = stored(_shared_buckets(_prefixes(docs, words, percent, levels), tasks), "buckets")
     ids = features.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = buckets.select("cls").distinct().join(ids, "cls")
-    sets = stored(_class_sets(docs, wanted, words), "sets", "none")
     links = spark.createDataFrame([], "a long, b long")
     tried = links
     labels = spark.createDataFrame([], "node long, label long")
@@ -371,7 +376,7 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 break
             continue
         tried = tried.unionByName(pairs)
-        found = stored(_verified(pairs, sets, percent), "links")
+        found = stored(_verified(pairs, stored(_class_sets(docs, ids, pairs, words), "sets"), percent), "links")
         links = links.unionByName(found)
         if not found.isEmpty():
             labels = connected_components(links)
