@@ -7,9 +7,10 @@ With threshold 1 a line is split into two segments (halves). A line of length l
 (l, side, half); it probes the index of its own length with them and that of length l - 1 with the prefix and suffix of
 the lengths of those halves: one of the two segments must be untouched, and beside it nothing is left to shift. Pairs that
 meet are verified once with a bit-parallel edit distance in a band of threshold width, all pairs of a batch at a time.
-A segment that more than `SMALL` lines share makes no pairs: the other parts, within one edit of each other, are joined
-on what is left after deleting one code point (or none), and lines that agree there are tied to the least one. This is
-exact and grows with the length of those lines, not with the square of their number.
+A segment that more than `SMALL` lines share makes no pairs: what is left beside it, within one edit in turn, is split into
+two segments again, up to `ROUNDS` times. Where many lines still share all but a little, that little is joined on what
+remains after deleting one code point (or none), and lines that agree there are tied to the least one. This is exact and
+grows with the length of those lines, not with the square of their number.
 
 Components of the links are the classes. Rows equal in doc_id and text count as one document and get the same result.
 A null text stays null with 0 lines; the empty text is one blank line. Other columns are not returned by dedup_lines.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from quarrymap.llm.common import connected_components, partitions, stored
 
-MIN_CHARS, SMALL = 20, 16
+MIN_CHARS, SMALL, ROUNDS = 20, 16, 5
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -53,7 +54,9 @@ def _entries(lines: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _meetings(entries: DataFrame, tasks: int) -> DataFrame:
-    """Rows (a1, a2, b1, b2) of small buckets, both lines of a candidate pair; of large ones (h, probe, a1, a2)."""
+    """Rows (a1, a2, b1, b2) of small buckets, both lines of a candidate pair; of large ones (h, probe, a1, a2) and, if the
+    entries have them, the bounds lo and hi of what is still to be compared."""
+    bounds = [c for c in ("lo", "hi") if c in entries.columns]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -65,6 +68,7 @@ def _meetings(entries: DataFrame, tasks: int) -> DataFrame:
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (probe[1:] != probe[:-1])
         h, probe, k1, k2 = h[fresh], probe[fresh], k1[fresh], k2[fresh]
+        kept = {c: np.concatenate([p[c].to_numpy() for p in parts])[order][fresh] for c in bounds}
         edges = np.flatnonzero(np.diff(h)) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(h)]])
         some = (ends - starts > 1) & ~probe[starts]
@@ -81,12 +85,15 @@ def _meetings(entries: DataFrame, tasks: int) -> DataFrame:
             i, j = np.concatenate(left), np.concatenate(right)
             swap = (k1[i] > k1[j]) | ((k1[i] == k1[j]) & (k2[i] > k2[j]))
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            yield pd.DataFrame({"h": None, "probe": None, "a1": k1[i], "a2": k2[i], "b1": k1[j], "b2": k2[j]}).drop_duplicates()
+            got = pd.DataFrame({"a1": k1[i], "a2": k2[i], "b1": k1[j], "b2": k2[j]}).drop_duplicates()
+            yield got.reindex(columns=names).astype({c: "Int64" for c in ("h", *bounds)}).astype({"probe": "boolean"})
         if hot:
             i = np.concatenate(hot)
-            yield pd.DataFrame({"h": h[i], "probe": probe[i], "a1": k1[i], "a2": k2[i], "b1": None, "b2": None})
+            got = pd.DataFrame({"h": h[i], "probe": probe[i], "a1": k1[i], "a2": k2[i], **{c: kept[c][i] for c in bounds}})
+            yield got.reindex(columns=names).astype({"b1": "Int64", "b2": "Int64"})
 
-    schema = "h long, probe boolean, a1 long, a2 long, b1 long, b2 long"
+    names = ["h", "probe", "a1", "a2", "b1", "b2", *bounds]
+    schema = "h long, probe boolean, a1 long, a2 long, b1 long, b2 long" + "".join(f", {c} int" for c in bounds)
     return entries.repartition(tasks, "h").mapInPandas(work, schema)
 
 
@@ -149,18 +156,35 @@ def _banded(left: list[str], right: list[str], band: int) -> np.ndarray:
     return np.minimum(score, band + 1)
 
 
+def _halves(hot: DataFrame) -> DataFrame:
+    """Entries of (h, probe, k1, k2, lo, hi, line) for the next round: what is left to compare is split as the line was."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for rows in batches:
+            out = []
+            for h, probe, k1, k2, lo, hi, line in zip(*(rows[c] for c in ("h", "probe", "k1", "k2", "lo", "hi", "line"))):
+                half, more = (hi - lo - probe) // 2, int(probe)
+                for side, a, b in ((0, lo, lo + half), (1, lo + half + more, hi)):
+                    key = xxhash.xxh64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest(f"{h} {side}"))
+                    left = (b, hi) if side == 0 else (lo, a)
+                    out.append((key - (1 << 64) if key >> 63 else key, probe, k1, k2, *left))
+            yield pd.DataFrame(out, columns=["h", "probe", "k1", "k2", "lo", "hi"])
+
+    return hot.mapInPandas(work, "h long, probe boolean, k1 long, k2 long, lo int, hi int")
+
+
 def _deletions(hot: DataFrame) -> DataFrame:
-    """(h, variant, sure, k1, k2) of (h, side, probe, line, k1, k2): hashes of what each hot line leaves beside the shared
-    half. Lines that agree in h and variant are tied if one of them is sure: two lines that lose a code point to become the
+    """(h, variant, sure, k1, k2) of (h, probe, k1, k2, lo, hi, line): hashes of what each hot line leaves beside the shared
+    parts. Lines that agree in h and variant are tied if one of them is sure: two lines that lose a code point to become the
     same one are so only if that one is there."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for h, side, probe, line, k1, k2 in zip(*(rows[c] for c in ("h", "side", "probe", "line", "k1", "k2"))):
-                base = len(line) - 1 if probe else len(line)
-                other = line[base // 2 :] if side == 0 else line[: len(line) - (base - base // 2)]
-                v = _variants(other, bool(probe))
+            for h, probe, k1, k2, lo, hi, line in zip(*(rows[c] for c in ("h", "probe", "k1", "k2", "lo", "hi", "line"))):
+                v = _variants(line[lo:hi], bool(probe))
                 out.append(pd.DataFrame({"h": h, "variant": v, "sure": not probe, "k1": k1, "k2": k2}))
             if out:
                 yield pd.concat(out, ignore_index=True)
@@ -207,14 +231,25 @@ def _near_links(lines: DataFrame, min_chars: int) -> DataFrame:
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(edit_distances(list(x), list(y)) <= 1)
 
+    hot = hot.join(texts, ["k1", "k2"])
+    size = "(length(line) - int(probe))"
+    half = f"cast({size} div 2 as int)"
+    front = F.col("h") == F.expr(f"xxhash64({size}, 0, substring(line, 1, {half}))")
+    hot = hot.withColumn("lo", F.when(front, F.expr(half)).otherwise(0))
+    hot = hot.withColumn("hi", F.when(front, F.length("line")).otherwise(F.expr(f"{half} + int(probe)")))
+    hot = stored(hot, "hot")
+    for _ in range(ROUNDS):  # split what is left until few lines share it
+        if hot.isEmpty():
+            break
+        met = stored(_meetings(_halves(hot), partitions(spark)), "meetings")
+        pairs = pairs.unionByName(met.where("b1 is not null").select("a1", "a2", "b1", "b2"))
+        hot = met.where("b1 is null").select("h", "probe", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "lo", "hi")
+        hot = stored(hot.join(texts, ["k1", "k2"]), "hot")
+    pairs = pairs.distinct()
     one, two = (texts.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "ab")
     links = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).where(near("a_line", "b_line"))
     links = links.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
-    hot = hot.join(texts, ["k1", "k2"])
-    size = "(length(line) - int(probe))"
-    first = f"xxhash64({size}, 0, substring(line, 1, cast({size} div 2 as int)))"
-    hot = hot.withColumn("side", F.when(F.col("h") == F.expr(first), 0).otherwise(1))
-    variants = _deletions(hot.select("h", "side", "probe", "line", "k1", "k2"))
+    variants = _deletions(hot)
     key = F.struct("k1", "k2")
     least = variants.groupBy("h", "variant").agg(F.min(key).alias("a"), F.max(key).alias("z"), F.bool_or("sure").alias("sure"))
     least = least.where("sure and a != z").select("h", "variant", "a")
