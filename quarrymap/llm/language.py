@@ -4,6 +4,11 @@ Features are counts of 1- to 3-byte grams of the lower-cased letters of a whole
 buckets, square-rooted and scaled to length one. A linear support vector machine per family (one against the rest) picks
 the family; within it, one linear support vector machine for each two languages votes, ties going to the larger margin.
 
+Margins only compare the learned languages, so the score is their product with how likely the text is to be any of them:
+the mean log-likelihood of its grams under each language's gram frequencies, less the mean for that language, in standard
+deviations for a text of its length; the best language counts. Random letters, code and languages that were not learned
+score near 0, and so does a text of one letter, which tells no language. Short texts give little evidence either way.
+
 Training takes at most `per_language` labelled documents of each language (in the order of a hash of doc_id): a bounded
 sample, fitted on the driver; everything else covers all rows. Texts that are null or have no letter are `und` with
 score 0. Without any labelled row every text is `und`; with one language every text with a letter gets it.
@@ -37,8 +42,14 @@ FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes}
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def features(text: str) -> np.ndarray:
-    """The scaled vector of a whole text; runs of other characters count as one blank."""
+#: Likelihood: weight of the even distribution in the gram frequencies, how much more the grams of a text vary than
+#: independent ones, least variance between texts of a language, grams from which texts show that variance, and the
+#: deviations below the mean at which a text is as likely as not to be of no learned language.
+EVEN, OVERLAP, LEAST_VARIANCE, LONG, FAR = 0.01, 4.0, 0.02, 3000, 4.5
+
+
+def grams(text: str) -> np.ndarray:
+    """The counts of a whole text; runs of other characters count as one blank."""
     letters = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_TABLE).split()) + b" "
     b = np.frombuffer(letters, np.uint8).astype(np.uint32)
     mask = np.uint32(BUCKETS - 1)
@@ -48,8 +59,13 @@ def features(text: str) -> np.ndarray:
     counts += np.bincount((two ^ (two >> 15)) & mask, minlength=BUCKETS)
     if len(three):
         counts += np.bincount((three ^ (three >> 13)) & mask, minlength=BUCKETS)
-    x = np.sqrt(counts.astype(np.float32))
-    return x / np.float32(np.sqrt((x * x).sum()))
+    return counts.astype(np.float32)
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts as vectors of length one."""
+    x = np.sqrt(counts)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 20, c: float = 10.0) -> np.ndarray:
@@ -66,15 +82,49 @@ def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 20, c: float = 10.0)
     return w
 
 
+@dataclass
+class Profile:
+    """Log frequencies of the grams of a language; mean and variance of a gram's, and the variance between texts."""
+
+    log_share: np.ndarray
+    mean: float
+    variance: float
+    between: float
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Profile:
+        n = counts.sum(axis=1, dtype=np.float64)
+        shares = counts / n[:, None]
+        q = shares.mean(axis=0) + EVEN / counts.shape[1]
+        q /= q.sum()
+        log_share = np.log(q)
+        mean = float(q @ log_share)
+        off = (shares @ log_share - mean)[n > LONG]
+        between = max(LEAST_VARIANCE, float(off.var()) if len(off) else 0.0)
+        return Profile(log_share, mean, float(q @ (log_share - mean) ** 2), between)
+
+    def deviations(self, counts: np.ndarray) -> np.ndarray:
+        n = counts.sum(axis=1, dtype=np.float64)
+        return (counts @ self.log_share / n - self.mean) / np.sqrt(OVERLAP * self.variance / n + self.between)
+
+
 @dataclass
 class Model:
     families: list[str]
     languages: dict[str, list[str]]
     family_weights: np.ndarray
     pair_weights: dict[str, dict[tuple[int, int], np.ndarray]] = field(default_factory=dict)
+    profiles: list[Profile] = field(default_factory=list)
+
+    def known(self, counts: np.ndarray) -> np.ndarray:
+        """How likely each row of counts is to be of any learned language, 0 to 1."""
+        best = np.max([p.deviations(counts) for p in self.profiles], axis=0)
+        # n letters make 3 n + 3 grams, with the blanks at both ends
+        return np.where(counts.sum(axis=1) <= 6, 0.0, _logistic((best + FAR) / 2))
 
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score of each row; the score is the product of both steps' logistic margins."""
+    def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and score of each row of counts; the score is the product of both steps' logistic margins and known."""
+        x = scaled(counts)
         x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
         margins = x @ self.family_weights.T
         family, sure = margins.argmax(axis=1), np.ones(len(x))
@@ -93,7 +143,7 @@ class Model:
             names[rows] = np.array(langs, object)[best]
             if len(langs) > 1:
                 sure[rows] *= _logistic(2 * least[np.arange(len(rows)), best])
-        return list(names), np.clip(sure, 0.0, 1.0)
+        return list(names), np.clip(sure * self.known(counts), 0.0, 1.0)
 
 
 def _logistic(m: np.ndarray) -> np.ndarray:
@@ -101,15 +151,17 @@ def _logistic(m: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, np.ndarray]]) -> Model | None:
-    """A model of (language, features) rows, None if there are none."""
+    """A model of (language, counts) rows, None if there are none."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
-    x, y = np.stack([v for _, v in rows]), np.array([lang for lang, _ in rows])
+    counts, y = np.stack([v for _, v in rows]), np.array([lang for lang, _ in rows])
+    x = scaled(counts)
     family = {lang: FAMILY_OF.get(lang, f"only {lang}") for lang in langs}
     names = sorted(set(family.values()))
     of = np.array([family[lang] for lang in y])
     model = Model(names, {n: [g for g in langs if family[g] == n] for n in names}, np.zeros((len(names), x.shape[1] + 1)))
+    model.profiles = [Profile.of(counts[y == lang]) for lang in langs]
     for f, name in enumerate(names):
         if len(names) > 1:
             model.family_weights[f] = linear_svm(x, np.where(of == name, 1.0, -1.0))
@@ -122,8 +174,8 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model | None:
 
 
 @F.pandas_udf(T.BinaryType())
-def _vector(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: features(t).tobytes())
+def _grams(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: grams(t).tobytes())
 
 
 def has_letter(text: str):
@@ -141,7 +193,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
     # a limit on row_number is applied in each task before the shuffle, so at most per_language rows of a language leave it
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     picked = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language)
-    got = picked.select("lang", F.col("_n").alias("k"), "doc_id", _vector("text").alias("v")).collect()
+    got = picked.select("lang", F.col("_n").alias("k"), "doc_id", _grams("text").alias("v")).collect()
     got.sort(key=lambda r: (r.lang, r.k, r.doc_id))
     return fit([(r.lang, np.frombuffer(r.v, np.float32)) for r in got])
 
@@ -156,7 +208,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", out: str =
             known = np.flatnonzero(texts.notna().to_numpy())
             for part in np.array_split(known, max(1, len(known) // 256)):
                 if len(part):
-                    langs[part], scores[part] = model.predict(np.stack([features(t) for t in texts.iloc[part]]))
+                    langs[part], scores[part] = model.predict(np.stack([grams(t) for t in texts.iloc[part]]))
         return pd.DataFrame({"lang": langs, "score": scores})
 
     return df.withColumn(out, predict(F.when(has_letter(text), F.col(text))))

@@ -29,3 +29,26 @@ def test_stages(spark):
             assert ids == {r.doc_id for r in before}
             seen = [(r.bin, r.doc_id) for r in rows if "-full-" not in r.bin]
             assert len(seen) == len(set(seen))
+
+
+def test_language_stage_rejects_what_it_cannot_tell(spark):
+    import random
+    import string
+
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    words = lambda n, letters: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(n))
+    junk = [
+        words(60, string.ascii_lowercase), words(60, "абвгдежзиклмнопрст"), "".join(rng.choices(string.ascii_letters + "+/", k=400)), "x" * 900,
+        "12345 $$$ 6789 ### x", "def f(x):\n    for i in range(len(x)):\n        if x[i] > max_value: max_value = x[i]\n    return sorted(x, key=lambda k: k.name)\nimport numpy as np\n" * 3,
+        "Słońce świeci nad starym miastem, podczas gdy dzieci bawią się na placu przy fontannie, a starsi rozmawiają o dawnych czasach z wielką nostalgią",
+        "Aurinko paistaa vanhan kaupungin yllä, kun lapset leikkivät aukiolla suihkulähteen lähellä ja vanhukset puhuvat menneistä ajoista",
+        "Солнце светит над старым городом, пока дети играют на площади у фонтана",
+    ]
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), SF).collect()}
+    assert [t for i, t in enumerate(junk) if -1 - i in kept] == []
+    clean = {r.doc_id for r in docs.collect()}
+    assert len(clean & kept) >= 0.99 * len(clean)
