@@ -185,7 +185,7 @@ def region_hierarchy(spark, sf_dir):
 
 @query("communities")
 def communities(spark, sf_dir):
-    return graph.communities(_graph(spark, sf_dir))
+    return graph.communities(_graph(spark, sf_dir), t.nodes(spark, sf_dir).select("file"))
 
 
 TURNS_SQL = """turns AS (SELECT 'turn:' || conv_id || ':' || turn AS id, conv_id, turn, role FROM conversations),
