@@ -1,11 +1,12 @@
 """Personal data: pattern spans, then information-theoretic sanitisation of the words that give them away.
 
 Base spans (email, ip, card, phone) come from patterns, leftmost and non-overlapping for each kind. An occurrence is then
-a protected entity (its kind and normalised value). For each word in a window of `reach` code points about an entity,
-counts over all documents estimate how much of the entity's information content the word discloses:
+a protected entity (its kind and normalised value). For each word that a text with the entity has anywhere outside base
+spans, counts of documents estimate how much of the entity's information content the word discloses:
 pmi(entity; word) / ic(entity), with pmi = ln(n * n_both / (n_entity * n_word)) and ic = ln(n / n_entity). Words at
-`generalise_at` or above are generalised (kind `term`), at `remove_at` or above removed (kind `removed`), in the windows of
-that entity. A word needs `support` different texts that hold it beside the entity, so that an entity seen once proves nothing.
+`generalise_at` or above are generalised (kind `term`), at `remove_at` or above removed (kind `removed`), wherever they stand
+in the texts that hold that entity. A word needs `support` different texts that hold it and the entity, so that an entity
+seen once proves nothing. Words are compared by a hash of 64 bits of their lower case.
 
 Only DataFrame functions. Null texts count as empty and have no spans. Rows of equal doc_id and text get equal results.
 Offsets are in code points, ends exclusive. Documents without base spans never change. Other columns are not returned.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from quarrymap.llm.common import stored
 
 KINDS = ["email", "ip", "card", "phone", "term", "removed"]
-REACH, SUPPORT, GENERALISE_AT, REMOVE_AT = 64, 2, 0.6, 0.9
+SUPPORT, GENERALISE_AT, REMOVE_AT = 2, 0.6, 0.9
 
 # The patterns match what the plain ones do, without repeated scans of long runs: a match starts where its run starts or
 # where the match before it ended (\G), and repeats are possessive where what follows can't be part of them.
@@ -71,17 +72,29 @@ def _base_spans(text: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _windows(text: str, reach: int) -> str:
-    """SQL for the words about span b: array<struct<s, e, v>>, without words that the window cuts or base spans touch."""
-    left, right = f"substring({text}, greatest(b.s - {reach}, 0) + 1, least({reach}, b.s))", f"substring({text}, b.e + 1, {reach})"
-    before = f"transform(filter({located(left, WORD)}, x -> x.s > 0 or b.s <= {reach}), x -> named_struct('s', x.s + greatest(b.s - {reach}, 0), 'e', x.e + greatest(b.s - {reach}, 0), 'v', lower(x.v)))"
-    after = f"transform(filter({located(right, WORD)}, x -> x.e < {reach} or b.e + {reach} >= length({text})), x -> named_struct('s', x.s + b.e, 'e', x.e + b.e, 'v', lower(x.v)))"
-    return f"filter(concat({before}, {after}), x -> not exists(base, o -> x.s < o.e and x.e > o.s))"
+def _words(text: str) -> str:
+    """SQL for the hashes of all words, in order."""
+    return f"transform(regexp_extract_all({text}, {_quoted(WORD)}, 0), w -> xxhash64(lower(w)))"
+
+
+def _touching(s: str, e: str) -> str:
+    return f"exists(base, o -> {s} < o.e and {e} > o.s)"
+
+
+def _words_where(text: str, holds: str, kept: str, kind: str) -> str:
+    """SQL for array<kind> of `kept` for the words where `holds`, both of w (the hash) and s, e (the place). Only words that
+    hold are appended, and places are sums of lengths: linear in the text."""
+    pattern = _quoted(rf"(\P{{L}}*+)({WORD})")
+    parts = f"zip_with(regexp_extract_all({text}, {pattern}, 1), regexp_extract_all({text}, {pattern}, 2), (g, v) -> named_struct('g', length(g), 'n', length(v), 'w', xxhash64(lower(v))))"
+    given = lambda x: x.replace("$w", "x.w").replace("$s", "(a.at + x.g)").replace("$e", "(a.at + x.g + x.n)")
+    return (
+        f"aggregate({parts}, named_struct('at', 0, 'out', cast(array() as array<{kind}>)), (a, x) -> named_struct('at', a.at + x.g + x.n, "
+        f"'out', if({given(holds)}, concat(a.out, array({given(kept)})), a.out)), a -> a.out)"
+    )
 
 
 def find_spans(
     df: DataFrame,
-    reach: int = REACH,
     support: int = SUPPORT,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
@@ -91,36 +104,56 @@ def find_spans(
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     found = docs.withColumn("base", F.expr(_base_spans("text")))
-    windows = f"transform(base, b -> named_struct('kind', b.kind, 'v', b.v, 'words', {_windows('text', reach)}))"
     found = stored(
         found.select(
             "doc_id",
             F.xxhash64("doc_id", "text").alias("key"),
             F.xxhash64("text").alias("same"),
             F.expr("transform(base, b -> named_struct('kind', b.kind, 's', b.s, 'e', b.e))").alias("base"),
-            F.when(F.size("base") > 0, F.expr(windows)).alias("about"),
+            F.expr("array_distinct(transform(base, b -> xxhash64(b.kind, b.v)))").alias("entities"),
+            F.when(F.size("base") > 0, F.col("text")).alias("text"),
         ),
         "spans",
     )
-    about = found.where("about is not null").select("key", "same", F.explode("about").alias("w"))
-    about = about.select("key", "same", F.xxhash64("w.kind", "w.v").alias("entity"), "w.words")
-    entities = about.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = about.select("key", "same", "entity", F.explode("words").alias("x"))
-    near = near.select("key", "same", "entity", F.col("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    # one row for each text, entity and word before counting, so that a text that repeats a word counts once
-    both = near.groupBy("entity", "term", "same").agg(F.countDistinct("key").alias("c"))
-    both = both.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("c").alias("n_both"))
+    # of each text with base spans its words, those that touch base spans, and the ones that stand nowhere else
+    about = found.where("text is not null").withColumn("words", F.expr(_words("text")))
+    about = about.withColumn("inside", F.expr(_words_where("text", _touching("$s", "$e"), "$w", "bigint")))
+    free = "not array_contains(inside, w) or size(filter(words, x -> x = w)) > size(filter(inside, x -> x = w))"
+    about = about.select(
+        "key", "same", "entities",
+        F.expr(f"filter(array_distinct(words), w -> {free})").alias("terms"),
+        F.expr(f"filter(array_distinct(inside), w -> not ({free}))").alias("only"),
+    )
+    about = stored(about, "words")
+    held = about.select("key", "same", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.countDistinct("key").alias("n_entity"), F.countDistinct("same").alias("texts"))
+    entities = stored(entities.where(F.col("texts") >= support).select("entity", "n_entity"), "entities")
+    # a text counts once, for the documents that have it, so that a pair is a sum that is combined before its shuffle
+    texts = about.groupBy("same").agg(F.min("key").alias("key"), F.countDistinct("key").alias("c")).select("key", "c")
+    shared = held.join(entities, "entity").groupBy("key").agg(F.collect_set("entity").alias("shared"))
+    counted = about.select("key", "terms").dropDuplicates(["key"]).join(shared, "key").join(texts, "key")
+    pairs = counted.select("c", "terms", F.explode("shared").alias("entity")).select("c", "entity", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("c").alias("n_both"))
     both = stored(both.where(F.col("texts") >= support), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
+    # documents that have a word outside base spans: those that have it at all less those that have it only inside
+    all_words = docs.select(F.explode(F.expr(f"array_distinct({_words('text')})")).alias("term"), F.lit(1).alias("c"))
+    only = about.select(F.explode("only").alias("term"), F.lit(-1).alias("c"))
+    terms = all_words.unionByName(only).groupBy("term").agg(F.sum("c").alias("n_term")).where(F.col("n_term") >= support)
     scored = both.join(terms, "term").join(entities, "entity")
     pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     ic = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
     scored = scored.select("entity", "term", F.when(ic > 0, pmi / ic).alias("told"))
     kind = F.when(F.col("told") >= remove_at, 5).when(F.col("told") >= generalise_at, 4)
-    scored = scored.select("entity", "term", kind.alias("kind")).where("kind is not null")
-    added = near.join(scored, ["entity", "term"]).groupBy("key", "s", "e").agg(F.max("kind").alias("kind"))
-    added = added.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("added"))
+    scored = stored(scored.select("entity", "term", kind.alias("kind")).where("kind is not null"), "disclosing")
+    told = held.select("key", "entity").distinct().join(scored, "entity").groupBy("key", "term").agg(F.max("kind").alias("kind"))
+    told = told.groupBy("key").agg(
+        F.collect_list(F.when(F.col("kind") == 4, F.col("term"))).alias("general"),
+        F.collect_list(F.when(F.col("kind") == 5, F.col("term"))).alias("gone"),
+    )
+    holds = f"(array_contains(gone, $w) or array_contains(general, $w)) and not {_touching('$s', '$e')}"
+    kept = "named_struct('kind', if(array_contains(gone, $w), 5, 4), 's', $s, 'e', $e)"
+    added = found.where("text is not null").select("key", "base", "text").dropDuplicates(["key"]).join(told, "key")
+    added = added.select("key", F.expr(f"array_sort({_words_where('text', holds, kept, 'struct<kind:int,s:int,e:int>')})").alias("added"))
     out = found.select("doc_id", "key", "base").join(added, "key", "left")
     return out.select("doc_id", "key", "base", F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<kind:int,s:int,e:int>>)"))).alias("spans"))
 

@@ -137,6 +137,18 @@ def test_disclosing_terms(spark):
     assert text[100] == rows[4][1]
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    far = " ".join(f"about others {i}" for i in range(30))
+    rows = [(i, f"Quixby of v1.2.3.4 {far} number {i}. {far} Quixby went. {far} mail who.am@i.example.com now") for i in range(4)]
+    rows += [(100 + i, f"now {far} about number of went i mail {i}") for i in range(60)]
+    rows += [(200, "Nobody knows Quixby")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r.doc_id: r.text for r in pii.sanitised(df, pii.find_spans(df)).collect()}
+    for i in range(4):  # v1 touches a span; Quixby goes wherever it stands
+        assert text[i] == f" of v<IP> {far} number {i}. {far}  went. {far} mail <EMAIL> now"
+    assert text[100] == rows[4][1] and text[200] == rows[-1][1]
+
+
 def test_line_dedup(spark, odd, empty, docs):
     got = lines.dedup_lines(docs).collect()
     assert {r.doc_id: r.text for r in got} == brute.dedup_lines(texts_of(docs), lines.MIN_CHARS)
