@@ -34,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="quarrymap-"))
     return _OWN_FOLDER[0]
@@ -44,8 +46,16 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column is called so (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one; it goes when the driver's Python ends."""
+    """A fresh folder in the shared one; it goes when the driver's Python ends, or by `dropped` before."""
     folder = f"{shared_folder(spark)}/quarrymap-{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
@@ -65,6 +75,15 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete the files of stored tables that nothing reads any more. Only folders of `new_folder` are touched."""
+    for df in tables:
+        for file in df.inputFiles()[:1] if df is not None else ():
+            folder = file.rsplit("/", 1)[0]
+            if folder.rsplit("/", 1)[1].startswith("quarrymap-"):
+                delete_folder(df.sparkSession, folder)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Labels of connected components: edges (a, b) of any one orderable type -> (node, label), label the least node.
 
@@ -83,7 +102,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         small = small.select("m", F.explode(F.array("a", "b")).alias("b")).select(F.col("m").alias("a"), "b")
-        edges = stored(small.where("a < b").distinct(), "edges")
+        before, edges = edges, stored(small.where("a < b").distinct(), "edges")
+        dropped(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymap.llm.common import connected_components, partitions, stored
+from quarrymap.llm.common import connected_components, dropped, partitions, stored
 
 WORDS, PERCENT = 4, 85
 #: Counters of the sketch and their upper bound in one task: 2 MB each, whatever the input.
@@ -319,11 +319,14 @@ def _class_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int) -
         got = list(shingle_sets(list(texts), words))
         return pd.DataFrame({"cls": [class_of(g) for g in got], "grams": [g.tobytes() for g in got]})
 
+    sets = sets.asNondeterministic()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(ids, "cls")
     wanted = stored(wanted, "wanted")
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    # rows of one doc_id may have several texts: only that of the class counts. As a function that isn't deterministic, sets
+    # stays above the join; else the comparison would become a key of the join, and sets be taken of every document
     rows = rows.select("cls", sets("text").alias("s")).where("cls = s.cls").select("cls", "s.grams")
     return rows.dropDuplicates(["cls"])
 
@@ -376,10 +379,13 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 break
             continue
         tried = tried.unionByName(pairs)
-        found = stored(_verified(pairs, stored(_class_sets(docs, ids, pairs, words), "sets"), percent), "links")
+        sets = stored(_class_sets(docs, ids, pairs, words), "sets")
+        found = stored(_verified(pairs, sets, percent), "links")
+        dropped(sets)
         links = links.unionByName(found)
         if not found.isEmpty():
             labels = connected_components(links)
+    dropped(buckets)
     return features, labels
 
 
