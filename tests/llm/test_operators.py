@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -341,19 +342,38 @@ def test_fingerprint_buckets(spark, docs, monkeypatch):
 
 
 def test_fingerprint_likeness(spark):
+    """At the number of samples that production uses: mean error and bias against the generalised Jaccard similarity."""
     rng = random.Random(6)
     words = [f"w{i}" for i in range(300)]
     rows, want = [], []
-    for i in range(40):
+    for i in range(160):
         x = rng.choices(words, k=80)
         y = x[: rng.randrange(81)] + rng.choices(words, k=40)
         rows.append((i, " ".join(x), " ".join(y)))
         s, t = ({w: 1 + np.log(z.count(w)) for w in z} for z in (x, y))
         want.append(sum(min(s.get(w, 0), t.get(w, 0)) for w in {*s, *t}) / sum(max(s.get(w, 0), t.get(w, 0)) for w in {*s, *t}))
     df = spark.createDataFrame(rows, "id long, text string, edited string")
-    got = fingerprint._signatures(df, ["id"], 128).select("id", F.expr(fingerprint.likeness("own", "edited", 128)).alias("x"))
-    got = [r.x for r in sorted(got.collect())]
-    assert np.abs(np.array(got) - want).mean() < 0.04 and abs(np.mean(got) - np.mean(want)) < 0.02
+    n, want = fingerprint.SAMPLES, np.array(want)
+    got = fingerprint._signatures(df, ["id"], n).select("id", F.expr(fingerprint.likeness("own", "edited", n)).alias("x"))
+    off = np.array([r.x for r in sorted(got.collect())]) - want
+    # the mean of |off| that a binomial share has, sqrt(2 / pi) of its standard error
+    assert n >= 64 and np.abs(off).mean() < 1.2 * (0.798 * np.sqrt(want * (1 - want) / n)).mean() and abs(off.mean()) < 0.02
+
+
+def test_fingerprint_likeness_of_the_query(spark, docs):
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), reverse=True)
+    weights = lambda t: {w: 1 + np.log(n) for w, n in Counter(t.lower().split() or [""]).items()}
+
+    def likeness(x, y):
+        s, t = weights(x), weights(y)
+        return sum(min(s[w], t.get(w, 0)) for w in s) / sum(max(s.get(w, 0), t.get(w, 0)) for w in {*s, *t})
+
+    got, off = {r.doc_id: r for r in queries.op10_fingerprints(spark, SF).collect()}, []
+    for i, (d, t) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][1]
+        k = len(t) // 3
+        off += [got[d].near_edited - likeness(t, t[: len(t) - k] + following[:k]), got[d].near_next - likeness(t, following)]
+    assert np.abs(off).mean() < 0.04 and np.abs(off).max() < 0.25 and abs(np.mean(off)) < 0.01
 
 
 def test_personal_data_query(spark, docs):
