@@ -11,7 +11,8 @@ n-gram; without words the set is empty and links with nothing. Two documents lin
    pairs are candidates. In a larger one each class is compared with one central class, then, while components differ,
    with others, and what is still apart at the end with everything else in the bucket: pairs whose ends are in one
    component already are never made.
-3. Each distinct candidate is verified once on the whole sets, after a suffix filter that bounds the overlap by parts.
+3. Of each distinct candidate the suffix filter bounds the overlap by the counts of n-grams between pivots (256 bytes a set);
+   what passes is verified once on the whole sets.
 
 Rows whose doc_id is null get n_shingles and a null component and link with nothing. Repeated rows are one class.
 Other columns are not returned.
@@ -311,13 +312,13 @@ def _candidates(buckets: DataFrame, tasks: int, percent: int, stage: int) -> Dat
 
 
 def _class_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(cls, grams) of the classes of pairs, from their least document. Up to SENT classes their doc_ids go to the scan of
+    """(cls, grams, parts) of the classes of pairs, from their least document. Up to SENT classes their doc_ids go to the scan of
     the documents (16 bytes each); beyond that the documents are shuffled."""
 
-    @F.pandas_udf("cls long, grams binary")
+    @F.pandas_udf("cls long, grams binary, parts binary")
     def sets(texts: pd.Series) -> pd.DataFrame:
         got = list(shingle_sets(list(texts), words))
-        return pd.DataFrame({"cls": [class_of(g) for g in got], "grams": [g.tobytes() for g in got]})
+        return pd.DataFrame({"cls": [class_of(g) for g in got], "grams": [g.tobytes() for g in got], "parts": [parts_of(g) for g in got]})
 
     sets = sets.asNondeterministic()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(ids, "cls")
@@ -327,22 +328,48 @@ def _class_sets(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int) -
     rows = docs.select("doc_id", "text").join(wanted, "doc_id")
     # rows of one doc_id may have several texts: only that of the class counts. As a function that isn't deterministic, sets
     # stays above the join; else the comparison would become a key of the join, and sets be taken of every document
-    rows = rows.select("cls", sets("text").alias("s")).where("cls = s.cls").select("cls", "s.grams")
+    rows = rows.select("cls", sets("text").alias("s")).where("cls = s.cls").select("cls", "s.grams", "s.parts")
     return rows.dropDuplicates(["cls"])
 
 
+def parts_of(grams: np.ndarray) -> bytes:
+    """How many n-grams of a sorted set fall between each two of 257 even pivots; empty if a byte can't hold one of them."""
+    counts = np.diff(np.searchsorted(grams, _FINE), prepend=0, append=len(grams))
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter: whether the parts of two sets of n and m n-grams allow the overlap that a link needs. Sets of a part with
+    too many n-grams for a byte always may."""
+    out = np.ones(len(n), bool)
+    known = np.flatnonzero([len(a) > 0 and len(b) > 0 for a, b in zip(x, y)])
+    if len(known):
+        a, b = (np.frombuffer(b"".join(s[i] for i in known), np.uint8).reshape(-1, 256) for s in (x, y))
+        out[known] = np.minimum(a, b).sum(axis=1, dtype=np.int64) >= overlap_needed(n[known], m[known], percent)
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link."""
+    """The pairs that link. Whole sets only go to pairs that pass the suffix filter, which takes 256 bytes a set."""
+
+    @F.pandas_udf(T.BooleanType())
+    def may(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(may_link(list(x), list(y), n.to_numpy(np.int64), m.to_numpy(np.int64), percent))
 
     @F.pandas_udf(T.BooleanType())
     def links(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)], dtype=bool)
 
+    size = (F.octet_length("grams") / 8).cast("int")
+    one = sets.select(F.col("cls").alias("a"), F.col("parts").alias("x"), size.alias("n"))
+    two = sets.select(F.col("cls").alias("b"), F.col("parts").alias("y"), size.alias("m"))
+    close = stored(pairs.join(one, "a").join(two, "b").where(may("x", "y", "n", "m")).select("a", "b"), "close")
     one = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(links("x", "y")).select("a", "b")
+    return close.join(one, "a").join(two, "b").where(links("x", "y")).select("a", "b")
 
 
+_FINE = np.arange(1, 256, dtype=np.uint64) << np.uint64(56)
 _PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 
 
