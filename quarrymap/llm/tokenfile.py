@@ -15,6 +15,7 @@ Null and empty texts hold the end id alone. Repeated rows are written each.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -30,7 +31,9 @@ from quarrymap.llm.common import new_folder, partitions
 
 END_ID = 2
 FRAME_IDS = 1 << 16
-CACHE_PARTS, LONGEST_CACHED = 400_000, 40
+CACHE_PARTS, LONGEST_CACHED = 500_000, 40
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -46,9 +49,30 @@ def _has_runs(text: str) -> bool:
     return text[:1] in (" ", "\n") or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or bool(_RARE.search(text))
 
 
+class Recent(dict):
+    """A cache of two generations: once the young one is full it becomes the old one, and what is asked for again comes back."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; those that only the old one has become young."""
+        new = keys.difference(self)
+        again = new.intersection(self.old)
+        for k in again:
+            self[k] = self.old[k]
+        return list(new.difference(again))
+
+    def aged(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, part by part with a bounded cache; exact for byte-level pre-tokenisers
-    whose pre-tokens have white space at their start only."""
+    """Ids of texts by the tokenizers library, part by part with a bounded cache. Exact for byte-level pre-tokenisers whose
+    pre-tokens have white space at their start only; with any other tokenizer (`parted` is false) whole texts are encoded."""
 
     def __init__(self, path: str):
         import os
@@ -57,25 +81,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        self.parted = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+            and spec.get("normalizer") is None and not any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
+            and not spec.get("truncation") and not spec.get("padding")
+        )
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.starts[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
         #: Ids of parts as they are, and of parts by what follows their one space.
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> dict[str, bytes]:
-        """known with the ids of new; parts that are too long to keep go to a copy."""
-        if len(known) > CACHE_PARTS:
-            known.clear()
-            return self._learn(known, new, before)
-        fresh = [p for p in new if p not in known]
-        found = self.tokenizer.encode_batch_fast([before + p for p in fresh], add_special_tokens=False) if fresh else []
-        out = dict(known) if any(len(p) > LONGEST_CACHED for p in fresh) else known
-        for p, e in zip(fresh, found):
-            out[p] = ids = np.array(e.ids, "<u4").tobytes()
+        self.parts, self.words = Recent(CACHE_PARTS), Recent(CACHE_PARTS)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_spaces(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space. Joined by spaces, only the first token of each has a space at its start."""
+        out, groups = [], [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, found in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) != len(part) or first[0]:
+                out += self._whole([" " + w for w in part])
+                continue
+            raw, bounds = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
+    @staticmethod
+    def _learn(known: Recent, wanted: set[str], encode) -> dict[str, bytes]:
+        """known with the ids of what is wanted; parts that are too long to keep go to a copy."""
+        new = known.unknown(wanted)
+        out = dict(known) if any(len(p) > LONGEST_CACHED for p in new) else known
+        for p, ids in zip(new, encode(new) if new else ()):
+            out[p] = ids
             if len(p) <= LONGEST_CACHED:
                 known[p] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.parted:
+            return self._whole(texts)
         heads, words, split = set(), set(), []
         for text in texts:
             if text and _has_runs(text):
@@ -88,8 +137,11 @@ class Encoder:
             heads.update(head)
             words.update(rest)
             split.append((head, rest))
-        part, word = self._learn(self.parts, heads, ""), self._learn(self.words, words, " ")
-        return [b"".join([*map(part.__getitem__, head), *map(word.__getitem__, rest)]) for head, rest in split]
+        part, word = self._learn(self.parts, heads, self._whole), self._learn(self.words, words, self._after_spaces)
+        out = [b"".join([*map(part.__getitem__, head), *map(word.__getitem__, rest)]) for head, rest in split]
+        self.parts.aged()
+        self.words.aged()
+        return out
 
 
 @functools.lru_cache(maxsize=2)
