@@ -357,7 +357,7 @@ def test_fingerprint_likeness(spark):
     got = fingerprint._signatures(df, ["id"], n).select("id", F.expr(fingerprint.likeness("own", "edited", n)).alias("x"))
     off = np.array([r.x for r in sorted(got.collect())]) - want
     # the mean of |off| that a binomial share has, sqrt(2 / pi) of its standard error
-    assert n >= 64 and np.abs(off).mean() < 1.2 * (0.798 * np.sqrt(want * (1 - want) / n)).mean() and abs(off.mean()) < 0.02
+    assert n >= 48 and np.abs(off).mean() < 1.2 * (0.798 * np.sqrt(want * (1 - want) / n)).mean() and abs(off.mean()) < 0.02
 
 
 def test_fingerprint_likeness_of_the_query(spark, docs):
@@ -373,7 +373,7 @@ def test_fingerprint_likeness_of_the_query(spark, docs):
         following = rows[(i + 1) % len(rows)][1]
         k = len(t) // 3
         off += [got[d].near_edited - likeness(t, t[: len(t) - k] + following[:k]), got[d].near_next - likeness(t, following)]
-    assert np.abs(off).mean() < 0.04 and np.abs(off).max() < 0.25 and abs(np.mean(off)) < 0.01
+    assert np.abs(off).mean() < 0.05 and np.abs(off).max() < 0.3 and abs(np.mean(off)) < 0.01
 
 
 def test_personal_data_query(spark, docs):
