@@ -9,14 +9,17 @@ the mean log-likelihood of its grams under each language's gram frequencies, les
 deviations for a text of its length; the best language counts. Random letters, code and languages that were not learned
 score near 0, and so does a text of one letter, which tells no language. Short texts give little evidence either way.
 
-Training takes at most `per_language` labelled documents of each language (in the order of a hash of doc_id): a bounded
-sample, fitted on the driver; everything else covers all rows. Texts that are null or have no letter are `und` with
+Training takes at most `per_language` labelled documents of each language (in the order of a hash of doc_id and text): a
+bounded sample, fitted in one task; everything else covers all rows, and a text of any length is one vector of counts. Texts that are null or have no letter are `und` with
 score 0. Without any labelled row every text is `und`; with one language every text with a letter gets it.
-Labels that are null, and rows whose doc_id is null, are not learned from. Other columns are kept as they are.
+Labels that are null, and rows whose doc_id is null, are not learned from; rows that are repeated may be drawn each. Other
+columns are kept as they are, but for one that is named like the new one: it is replaced.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrymap.llm.common import stored
+
 BUCKETS = 4096
-PER_LANGUAGE = 400
+PER_LANGUAGE, MOST_LANGUAGES = 400, 400
 # Language families by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "is", "af", "lb"],
@@ -175,7 +180,7 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model | None:
 
 @F.pandas_udf(T.BinaryType())
 def _grams(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: grams(t).tobytes())
+    return texts.map(lambda t: zlib.compress(grams(t).tobytes(), 1))
 
 
 def has_letter(text: str):
@@ -187,19 +192,36 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on (doc_id, text, lang): the per_language rows of each language whose hash of doc_id is least."""
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """Fit on (doc_id, text, lang): per_language rows of each language, the least by a hash of doc_id and text.
+
+    Rows above a threshold of that hash, from the count of the language, are left out where they are read, so that about three
+    times per_language rows of a language go on, as vectors, whatever the number of tasks. One task fits the model; it gets
+    per_language rows of a few KB for each of at most most_languages languages. Only the weights come to the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter("text"))
-    # a limit on row_number is applied in each task before the shuffle, so at most per_language rows of a language leave it
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    picked = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language)
-    got = picked.select("lang", F.col("_n").alias("k"), "doc_id", _grams("text").alias("v")).collect()
-    got.sort(key=lambda r: (r.lang, r.k, r.doc_id))
-    return fit([(r.lang, np.frombuffer(r.v, np.float32)) for r in got])
+    rows = rows.select("lang", "doc_id", "text")
+    shares = rows.groupBy("lang").agg((F.lit(3.0 * per_language) / F.count("*")).alias("share"))
+    shares = stored(shares, "languages")
+    if shares.count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    place = F.xxhash64("doc_id", "text")
+    rows = rows.withColumn("place", place).join(F.broadcast(shares), "lang")
+    rows = rows.where(F.shiftrightunsigned("place", 11) * F.lit(2.0**-53) < F.col("share"))
+    rows = rows.select("lang", "place", "doc_id", _grams("text").alias("v"))
+    w = Window.partitionBy("lang").orderBy("place", "doc_id")
+    picked = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["lang", "k"])
+        got = [(x, np.frombuffer(zlib.decompress(v), np.float32)) for x, v in zip(rows["lang"], rows["v"])]
+        return pd.DataFrame({"model": [pickle.dumps(fit(got))]})
+
+    found = picked.groupBy(F.lit(0).alias("all")).applyInPandas(fitted, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else None
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", out: str = "language") -> DataFrame:
-    """df with a struct (lang string, score double) of each whole text."""
+    """df with a struct (lang string, score double) of each whole text; a column that is called `out` already is replaced."""
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
