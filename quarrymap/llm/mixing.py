@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymap.llm.common import stored
@@ -27,11 +27,6 @@ ENTROPY, MAX_EPOCHS, PASSES, BLOCK_DOCS, SEED = 0.5, 4.0, 1.0, 4096, 17
 LEVELS, JOBS = 6, 5
 
 
-def words_of(text: str) -> Column:
-    """Words between white space; a null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
-
-
 def _measures(sources: DataFrame, total: float, exponents: list[float]) -> list[tuple[float, float, float]]:
     """For each exponent: sum of p ** a, sum of p ** a * ln(p ** a), and the greatest p ** a / p."""
     p = F.col("tokens") / F.lit(total)
@@ -95,12 +90,15 @@ def mix(
     passes: float = PASSES,
     block_docs: int = BLOCK_DOCS,
     seed: int = SEED,
+    key: str | None = None,
 ) -> DataFrame:
-    """(doc_id, source, n_tokens) -> those with weight, copies and the place: block and rank in it."""
+    """(doc_id, source, n_tokens) -> those with weight, copies and the place: block and rank in it. `key` names a column that
+    tells all rows apart, if there is one; it is returned too."""
+    rid = (F.col(key) if key else F.monotonically_increasing_id()).alias("rid")
     docs = docs.select(
-        "doc_id", "source", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens")
+        "doc_id", "source", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"), rid
     )
-    docs = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "mix")
+    docs = stored(docs, "mix")
     sources = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     sources = stored(sources, "sources")
     exponent = bisect_exponent(sources, entropy, max_epochs, passes)
@@ -122,4 +120,5 @@ def mix(
     earlier = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("rank", F.row_number().over(inside)).withColumn("earlier", F.col("before") + earlier)
     extra = ((F.col("earlier") < F.col("rest")) & (F.col("n_tokens") > 0)).cast("long")
-    return rows.select("doc_id", "source", "n_tokens", "weight", (F.col("whole") + extra).alias("copies"), "block", "rank")
+    known = [F.col("rid").alias(key)] if key else []
+    return rows.select(*known, "doc_id", "source", "n_tokens", "weight", (F.col("whole") + extra).alias("copies"), "block", "rank")

@@ -100,6 +100,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
+    return map(np.unique, shingles(texts, words))
+
+
+def shingles(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """The n-gram hashes of each text in order."""
     batch: list[bytes] = []
     size = 0
     for text in texts:
@@ -122,7 +127,7 @@ def _sets(batch: list[bytes], words: int) -> Iterator[np.ndarray]:
     grams, a = _mixed(grams + np.uint64(words)), 0
     for b in bounds.tolist():
         if b - a >= words:
-            yield np.unique(grams[a : b - words + 1])
+            yield grams[a : b - words + 1]
         elif b > a:
             few = (hashes[a:b] * factors[: b - a]).sum(keepdims=True)
             yield _mixed(few + np.uint64(b - a))

@@ -5,26 +5,48 @@ residual that takes them: not two of one duplicate cluster in a bin, and of one
 in a list for each residual, a bitmap says which residuals have any, and each bin carries a bitmap of its clusters and one
 of the sources that are full; the search goes from the least sufficient residual upwards until a bin is compatible.
 
+A document may be of several clusters and conflicts with all that share one. `clusters_of` gives the least values of eight
+hash functions over its word 5-grams: of two documents with a similarity of 0.8 all but 1 in 390,000 share one, and equal
+texts share all.
+
 Packing is done in shards of about `shard_docs` documents by a hash, each by one task that holds only ids and numbers;
-cluster and source may be as large as they like. Null clusters conflict with nothing, a null source counts as a source.
-Documents of length null or below 1 count as length 1 (their end mark). Repeated rows are packed each.
+cluster and source may be as large as they like, and rows that are equal in all columns are dealt out if there are many.
+Rows without clusters (or null) conflict with nothing, a null source counts as a source. Documents of length null or below 1
+count as length 1 (their end mark). Repeated rows are packed each. Other columns are not returned.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarrymap.llm import ngram_join
+from quarrymap.llm.common import stored
 
-CAPACITY, PER_SOURCE, SHARD_DOCS = 4096, 8, 16_384
-SCHEMA = "doc_id long, piece int, length int, bin string, position int, offset int"
+CAPACITY, PER_SOURCE, SHARD_DOCS = 4096, 8, 4096
+WORDS, HASHES = 5, 8
+SCHEMA = "doc_id long, piece int, start long, length int, bin string, position int, offset int"
 
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 62, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
-def cluster_of(text: str) -> Column:
-    """Exact copies share a cluster; a null text has none."""
-    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def clusters_of(texts: pd.Series) -> pd.Series:
+    """The least hashes of each text; a null text has none, texts without words share one."""
+    out = []
+    for text, grams in zip(texts, ngram_join.shingles([t or "" for t in texts], WORDS)):
+        if text is None:
+            out.append(np.zeros(0, np.int64))
+        elif len(grams):
+            out.append(np.array([((grams ^ (grams >> np.uint64(29))) * f).min() for f in _FACTORS]).astype(np.int64))
+        else:
+            out.append(np.zeros(1, np.int64))
+    return pd.Series(out, dtype=object)
 
 
 class Bins:
@@ -81,37 +103,49 @@ class Bins:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int, shard: int) -> pd.DataFrame:
-    """Pack rows (doc_id, source, cluster, length)."""
-    rows = rows.sort_values(["length", "doc_id", "cluster"], ascending=[False, True, True], kind="stable", na_position="last")
+    """Pack rows (doc_id, source, clusters, length, tie)."""
+    rows = rows.sort_values(["length", "doc_id", "tie"], ascending=[False, True, True], kind="stable", na_position="last")
     sources = {s: i for i, s in enumerate(sorted(rows["source"].dropna().unique()))}
-    counts = Counter(rows["cluster"].dropna())
+    some = [set() if c is None else set(np.asarray(c).tolist()) for c in rows["clusters"]]
+    counts = Counter(c for own in some for c in own)
     bits = {c: 1 << i for i, c in enumerate(c for c, n in counts.items() if n > 1)}
     bins, full, out, rests = Bins(capacity, per_source), 0, [], []
-    for doc, source, cluster, length in zip(rows["doc_id"], rows["source"], rows["cluster"], rows["length"]):
+    for doc, source, own, length in zip(rows["doc_id"], rows["source"], some, rows["length"]):
         pieces, rest = divmod(int(length), capacity)
         for k in range(pieces):
-            out.append((doc, k, capacity, f"{shard}-full-{full}", 0, 0))
+            out.append((doc, k, k * capacity, capacity, f"{shard}-full-{full}", 0, 0))
             full += 1
         if rest:
-            rests.append((rest, doc, pieces, sources.get(source, len(sources)), bits.get(cluster, 0)))
+            taken = 0
+            for c in own:
+                taken |= bits.get(c, 0)
+            rests.append((rest, doc, pieces, sources.get(source, len(sources)), taken))
     rests.sort(key=lambda x: -x[0])
-    for rest, doc, piece, source, bit in rests:
-        b, position, offset = bins.place(rest, source, bit)
-        out.append((doc, piece, rest, f"{shard}-{b}", position, offset))
-    got = pd.DataFrame(out, columns=["doc_id", "piece", "length", "bin", "position", "offset"])
+    for rest, doc, piece, source, taken in rests:
+        b, position, offset = bins.place(rest, source, taken)
+        out.append((doc, piece, piece * capacity, rest, f"{shard}-{b}", position, offset))
+    got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "bin", "position", "offset"])
     return got.astype({"doc_id": "Int64"})
 
 
 def pack(
     docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_docs: int = SHARD_DOCS
 ) -> DataFrame:
-    """(doc_id, source, cluster, length) -> a row for each piece: doc_id, piece, length, bin, position, offset."""
+    """(doc_id, source, clusters array<bigint>, length) -> a row for each piece: doc_id, piece, start of it in the document,
+    length, bin, position in it and offset in it. The same rows give the same bins, however they are stored."""
     length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(1)), F.lit(1))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("cluster").cast("string").alias("cluster"), length.alias("length"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "clusters", length.alias("length"))
+    tie = F.xxhash64("doc_id", "source", "clusters", "length")
+    docs = stored(docs.select("*", tie.alias("tie"), F.lit(0).alias("salt")), "pack")
     shards = max(1, -(-docs.count() // shard_docs))
-    shard = F.pmod(F.xxhash64("doc_id", "length", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    # rows that are equal in everything, if more than a shard's worth: which is which doesn't matter, so they are numbered
+    hot = stored(docs.groupBy("tie").agg(F.count("*").alias("n")).where(F.col("n") > shard_docs).select("tie", F.lit(True).alias("hot")), "hot")
+    if not hot.isEmpty():
+        docs = docs.join(hot, "tie", "left").withColumn("salt", F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(0)).drop("hot")
+    shard = F.pmod(F.xxhash64("tie", "salt"), F.lit(shards)).cast("int")
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(rows.astype({"doc_id": "Int64"}), capacity, per_source, int(key[0]))
 
-    return docs.withColumn("shard", shard).groupBy("shard").applyInPandas(one, SCHEMA)
+    columns = ["doc_id", "source", "clusters", "length", "tie"]
+    return docs.withColumn("shard", shard).select("shard", *columns).groupBy("shard").applyInPandas(one, SCHEMA)

@@ -18,6 +18,11 @@ def _n_bytes(text: str = "text"):
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 
 
+def _token_lengths(docs: DataFrame) -> DataFrame:
+    """docs with n_tokens of each whole text."""
+    return tokens.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = documents(spark, sf_dir).select("doc_id", "text", _n_bytes().alias("n_bytes"))
@@ -76,14 +81,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.words_of("text").alias("n_tokens"))
-    return mixing.mix(docs)
+    small_batches(spark)
+    docs = _token_lengths(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixing.mix(docs.select("doc_id", "source", "n_tokens"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 10_000)
-    docs = documents(spark, sf_dir).select("doc_id", "source", packing.cluster_of("text").alias("cluster"), mixing.words_of("text").alias("length"))
-    return packing.pack(docs)
+    small_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text", packing.clusters_of("text").alias("clusters"))
+    return packing.pack(_token_lengths(docs).select("doc_id", "source", "clusters", F.col("n_tokens").alias("length")))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
