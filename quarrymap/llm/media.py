@@ -4,8 +4,9 @@ The payload of a text is its UTF-8 bytes (null: none) with bytes 0 up to a posit
 grey image of 64 columns. Reading walks the chunks, tests each checksum, inflates the data and undoes the row filters
 with numpy, then hashes the low frequencies of the cosine transform of the image.
 
-Equal texts give equal images and hashes. A binary value that is null or not an intact 8-bit PNG gives `ok` false and
-nulls, never an exception; other columns of the input are kept as they are.
+Equal texts give equal images and hashes; a text of any length is one image. A binary value that is null or not an intact
+8-bit PNG gives `ok` false and nulls, never an exception. Repeated rows are read each. Other columns of the input are kept as
+they are, but for those that are named like the two new ones: they are replaced.
 """
 
 from __future__ import annotations

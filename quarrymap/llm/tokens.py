@@ -5,7 +5,8 @@ apart before each space without changing any merge; and the strings that encode
 every vocabulary string. Pre-tokens among these count as one directly; only the rest is merged, by the library, once per
 distinct pre-token while it stays in the worker's bounded cache.
 
-Null and empty texts have no tokens. Texts are counted whole; repeated rows are counted each.
+Null and empty texts have no tokens. Texts of any length are counted whole; repeated rows are counted each. Other columns are
+kept as they are, but for one that is named like the new one: it is replaced.
 """
 
 from __future__ import annotations

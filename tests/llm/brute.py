@@ -99,3 +99,77 @@ def base_spans(text):
 
 def spans_sha(spans):
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+
+
+def _hash(*parts):
+    """Hash of numbers and texts as the functions in SQL chain it: the result of one part is the seed of the next."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for p in parts:
+        data = p.encode() if isinstance(p, str) else struct.pack("<i" if isinstance(p, Small) else "<q", p)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+class Small(int):
+    """A number of four bytes."""
+
+
+def mixed(rows, entropy, max_epochs, passes, block_docs, seed):
+    """doc_id -> (weight, copies) of (doc_id, source, tokens) without repeated ids, nulls or empty sources."""
+    import math
+    from collections import Counter
+
+    tokens, docs = Counter(), Counter()
+    for _, s, n in rows:
+        tokens[s] += n
+        docs[s] += 1
+    total = sum(tokens.values())
+    p = {s: n / total for s, n in tokens.items()}
+
+    def measures(a):
+        x = {s: v**a for s, v in p.items()}
+        z = sum(x.values())
+        ratio = [x[s] / p[s] for s in p]
+        return -sum(v / z * math.log(v / z) for v in x.values()), passes * max(ratio) / min(ratio)
+
+    target = measures(1.0)[0] + entropy * (math.log(len(p)) - measures(1.0)[0])
+    low, high = 0.0, 1.0
+    for _ in range(30):
+        a = (low + high) / 2
+        h, epochs = measures(a)
+        low, high = (a, high) if h > target or epochs > max_epochs else (low, a)
+    a = round(high, 6)
+    raw = {s: v**a for s, v in p.items()}
+    scale = passes / min(raw[s] / p[s] for s in p)
+    out = {}
+    for s in p:
+        budget = int(raw[s] * scale * total + 0.5)
+        whole, rest = divmod(budget, tokens[s])
+        blocks = -(-docs[s] // block_docs)
+        place = {d: _hash(Small(seed), s, d) for d, t, _ in rows if t == s}
+        order = sorted((_hash(Small(seed + 1), s, place[d] % blocks), place[d], d, n) for d, t, n in rows if t == s)
+        before = 0
+        for _, _, d, n in order:
+            out[d] = (round(raw[s] / sum(raw.values()), 9), whole + (before < rest and n > 0))
+            before += n
+    return out
+
+
+def packed(rows, capacity, per_source):
+    """doc_id -> bin of the rest of each of (doc_id, source, clusters, length), without repeated ids: best fit over all bins."""
+    bins, at = [], {}
+    for rest, length, d, s, own in sorted(((n % capacity, n, d, s, set(c)) for d, s, c, n in rows if n % capacity), key=lambda r: (-r[0], -r[1], r[2])):
+        fits = [b for b in bins if b["left"] >= rest and not own & b["clusters"] and b["sources"].count(s) < per_source]
+        b = min(fits, key=lambda b: b["left"], default=None)
+        if b is None:
+            b = {"no": len(bins), "left": capacity, "clusters": set(), "sources": []}
+            bins.append(b)
+        b["left"] -= rest
+        b["clusters"] |= own
+        b["sources"].append(s)
+        at[d] = b["no"], capacity - b["left"] - rest
+    return at

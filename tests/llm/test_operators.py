@@ -37,6 +37,10 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+def words_of(text):
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+
+
 def texts_of(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
@@ -95,6 +99,8 @@ def test_token_counts(spark, odd, empty, docs):
 
 def test_language(spark, odd, empty, docs):
     model = language.train(docs.where(~language.held_out()))
+    again = language.train(docs.where(~language.held_out()).repartition(7))
+    assert (model.family_weights == again.family_weights).all()  # the same rows are drawn however they are stored
     got = language.identify(docs, model).where(language.held_out()).select("lang", F.col("language.lang").alias("p")).collect()
     assert sum(r.lang == r.p for r in got) >= 0.9 * len(got) > 0
     rows = language.identify(odd, model).collect()
@@ -245,7 +251,7 @@ def test_token_shards():
 
 
 def test_mixing(spark, odd, empty, docs):
-    df = docs.select("doc_id", "source", mixing.words_of("text").alias("n_tokens"))
+    df = docs.select("doc_id", "source", words_of("text").alias("n_tokens"))
     got = mixing.mix(df, block_docs=3).collect()
     assert len(got) == df.count() and min(r.copies for r in got) >= 1 and max(r.copies for r in got) <= 5
     by = {}
@@ -260,7 +266,7 @@ def test_mixing(spark, odd, empty, docs):
         assert extra == sorted(extra, reverse=True)
     assert abs(sum(rows[0].weight for rows in by.values()) - 1) < 1e-6
     assert mixing.mix(empty.select("doc_id", "source", F.col("n").alias("n_tokens"))).count() == 0
-    assert mixing.mix(odd.select("doc_id", "source", mixing.words_of("text").alias("n_tokens"))).count() == len(ODD)
+    assert mixing.mix(odd.select("doc_id", "source", words_of("text").alias("n_tokens"))).count() == len(ODD)
 
 
 def test_exponent(spark):
@@ -279,25 +285,82 @@ def test_exponent(spark):
     assert abs(epochs.max() / epochs.min() - 3) < 1e-3
 
 
+def test_mixing_against_brute_force(spark, docs):
+    rows = [(r.doc_id, r.source, r.n) for r in docs.select("doc_id", "source", words_of("text").alias("n")).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    for entropy, epochs in ((0.5, 4.0), (0.9, 1.5)):
+        want = brute.mixed(rows, entropy, epochs, mixing.PASSES, 7, mixing.SEED)
+        got = {r.doc_id: (r.weight, r.copies) for r in mixing.mix(df, entropy, epochs, block_docs=7).collect()}
+        assert {d: c for d, (_, c) in got.items()} == {d: c for d, (_, c) in want.items()}
+        assert all(abs(got[d][0] - w) < 1e-6 for d, (w, _) in want.items())
+
+
+def test_mixing_keeps_a_key(spark, odd):
+    df = odd.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words_of("text").alias("n_tokens"))
+    got = mixing.mix(df, key="row").collect()
+    assert sorted(r.row for r in got) == sorted(r.row for r in df.collect()) and min(r.copies for r in got) >= 1
+
+
 def test_packing(spark, odd, empty, docs):
-    df = docs.select("doc_id", "source", packing.cluster_of("text").alias("cluster"), mixing.words_of("text").alias("length"))
+    df = docs.select("doc_id", "source", packing.clusters_of("text").alias("clusters"), words_of("text").alias("length"))
     want = {r.doc_id: r for r in df.collect()}
     got = packing.pack(df, capacity=700, per_source=2, shard_docs=80).collect()
-    bins, lengths = {}, {}
+    again = packing.pack(df.orderBy(F.desc("doc_id")).repartition(3), capacity=700, per_source=2, shard_docs=80).collect()
+    assert sorted(got) == sorted(again)  # however the rows are stored
+    bins, lengths, shards = {}, {}, {}
     for r in got:
         bins.setdefault(r.bin, []).append(r)
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+        assert r.start == 700 * r.piece
+        if "full" not in r.bin:
+            shards.setdefault(r.bin.split("-")[0], {})[r.doc_id] = int(r.bin.split("-")[1]), r.offset
     assert lengths == {d: max(1, r.length) for d, r in want.items()}
     for rows in bins.values():
         rows.sort(key=lambda r: r.position)
         assert [r.offset for r in rows] == [sum(x.length for x in rows[:i]) for i in range(len(rows))]
         assert sum(r.length for r in rows) <= 700
-        if len(rows) > 1:
-            clusters = [want[r.doc_id].cluster for r in rows]
-            sources = [want[r.doc_id].source for r in rows]
-            assert len(set(clusters)) == len(clusters) and max(map(sources.count, sources)) <= 2
-    odd = odd.select("doc_id", "source", F.lit(None).cast("long").alias("cluster"), F.col("n").alias("length"))
+    assert len(shards) == 3
+    for placed in shards.values():  # what shares a shard is packed as a search over all bins packs it
+        rows = [(d, want[d].source, want[d].clusters, max(1, want[d].length)) for d in placed]
+        plain = brute.packed(rows, 700, 2)
+        # bins of equal residual may stand in for each other
+        assert sorted(o for _, o in plain.values()) == sorted(o for _, o in placed.values())
+        assert len({b for b, _ in plain.values()}) == len({b for b, _ in placed.values()})
+    odd = odd.select("doc_id", "source", F.lit(None).cast("array<long>").alias("clusters"), F.col("n").alias("length"))
     assert packing.pack(odd).count() == len(ODD) and packing.pack(odd.limit(0)).count() == 0
+    assert packing.pack(odd.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50)))), shard_docs=5).count() == 50
+
+
+def test_clusters_of_near_copies(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    near = base[:150] + ["other"] + base[151:]
+    rows = [(0, " ".join(base)), (1, " ".join(near)), (2, " ".join(f"v{rng.randrange(500)}" for _ in range(300))), (3, None), (4, ""), (5, " ".join(base).upper())]
+    got = {r.id: r.c for r in spark.createDataFrame(rows, "id int, text string").select("id", packing.clusters_of("text").alias("c")).collect()}
+    assert set(got[0]) & set(got[1]) and not set(got[0]) & set(got[2]) and got[3] == [] and got[0] == got[5] and len(got[4]) == 1
+
+
+def test_clashing_columns(spark, odd):
+    """A column that is named like a new one is replaced; all others stay."""
+    df = odd.withColumns({c: F.lit(7) for c in ("features", "media", "n_tokens", "language")})
+    got = media.media_columns(df)
+    assert sorted(got.columns) == sorted(df.columns) and all(r.features.ok and r.n_tokens == 7 for r in got.collect())
+    assert all(r.n_tokens != 7 or r.text for r in tokens.token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    assert {r.language.lang for r in language.identify(df, None).collect()} == {"und"}
+
+
+def test_cosine_hash():
+    """Against the cosine transform by its definition, of an image that needs no scaling."""
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        image = rng.integers(0, 256, (32, 32), np.uint8)
+        at = np.arange(32)
+        low = [[sum(image[y, x] * np.cos(np.pi * (y + 0.5) * u / 32) * np.cos(np.pi * (x + 0.5) * v / 32) for y in at for x in at) for v in range(8)] for u in range(8)]
+        low = np.array(low).ravel()
+        assert media.cosine_hash(image) == np.packbits(low > np.median(low[1:])).tobytes()
+    smooth = np.add.outer(np.arange(64), np.arange(64)).astype(np.uint8)
+    other = np.packbits(np.unpackbits(np.frombuffer(media.cosine_hash(smooth), np.uint8)) ^ np.unpackbits(np.frombuffer(media.cosine_hash(smooth + (smooth % 2)), np.uint8)))
+    assert np.unpackbits(other).sum() <= 8  # a little noise changes few bits
 
 
 def test_best_fit():
