@@ -1,26 +1,29 @@
 """Personal data: pattern spans, then information-theoretic sanitisation of the words that give them away.
 
 Base spans (email, ip, card, phone) come from patterns, leftmost and non-overlapping for each kind. An occurrence is then
-a protected entity (its kind and normalised value). For each word that a text with the entity has anywhere outside base
-spans, counts of documents estimate how much of the entity's information content the word discloses:
-pmi(entity; word) / ic(entity), with pmi = ln(n * n_both / (n_entity * n_word)) and ic = ln(n / n_entity). Words at
+a protected entity twice: by its kind and normalised value, and by what it shares with others (the domain of an address, the
+first parts of an ip, the issuer of a card, the first digits of a phone). For each word that a text with the entity has anywhere
+outside base spans, counts of rows estimate how much of the entity's information content the word discloses:
+pmi(entity; word) / ic(entity), with pmi = ln(n * n_both / (n_entity * (n_word + 1/4))) and ic = ln(n / n_entity). Words at
 `generalise_at` or above are generalised (kind `term`), at `remove_at` or above removed (kind `removed`), wherever they stand
 in the texts that hold that entity. A word needs `support` different texts that hold it and the entity, so that an entity
-seen once proves nothing. Words are compared by a hash of 64 bits of their lower case.
+seen once proves nothing by itself, only through what it shares. Words are compared by a hash of 64 bits of their lower case,
+texts by one of theirs.
 
-Only DataFrame functions. Null texts count as empty and have no spans. Rows of equal doc_id and text get equal results.
-Offsets are in code points, ends exclusive. Documents without base spans never change. Other columns are not returned.
+Only DataFrame functions. Null and empty texts have no spans. Repeated rows count each and get equal results. Texts of any
+length: patterns take linear time, and the words of texts with base spans are rows, not arrays. Offsets are in code points, ends
+exclusive. Documents without base spans never change. Other columns are not returned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymap.llm.common import stored
 
 KINDS = ["email", "ip", "card", "phone", "term", "removed"]
-SUPPORT, GENERALISE_AT, REMOVE_AT = 2, 0.6, 0.9
+SUPPORT, SMOOTHING, GENERALISE_AT, REMOVE_AT = 2, 0.25, 0.6, 0.9
 
 # The patterns match what the plain ones do, without repeated scans of long runs: a match starts where its run starts or
 # where the match before it ended (\G), and repeats are possessive where what follows can't be part of them.
@@ -36,16 +39,30 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+BLOCK = 256
+
+
+def _zipped(text: str, pattern: str) -> str:
+    """SQL for array<struct<g, v>> of the two groups of each match."""
+    one, two = (f"regexp_extract_all({text}, {_quoted(pattern)}, {i})" for i in (1, 2))
+    return f"zip_with({one}, {two}, (g, v) -> named_struct('g', g, 'v', v))"
+
+
 def located(text: str, pattern: str) -> str:
-    """SQL for array<struct<s, e, v>> of the matches of pattern. A match is found again as the next place of its own text:
-    a place before it would have matched too."""
-    none = "cast(array() as array<struct<s:int,e:int,v:string>>)"
-    at = f"locate(m, {text}, a.at)"
-    return (
-        f"aggregate(regexp_extract_all({text}, {_quoted(pattern)}, 0), named_struct('at', 1, 'out', {none}), "
-        f"(a, m) -> named_struct('at', {at} + length(m), "
-        f"'out', concat(a.out, array(named_struct('s', {at} - 1, 'e', {at} - 1 + length(m), 'v', m)))), a -> a.out)"
+    """SQL for array<struct<s, e, v>> of the matches of pattern, from what stands before each match and the match itself: places
+    are sums of lengths. The sums go on in blocks, so that no long array is copied for each match: linear in the text."""
+    both = rf"(?s)\G(.*?)({pattern})"
+    zipped = _zipped(text, both)
+    span = "struct<s:int,e:int,v:string>"
+    inner = (
+        f"aggregate(slice(ms, k * {BLOCK} + 1, {BLOCK}), named_struct('at', a.at, 'out', cast(array() as array<{span}>)), (b, m) -> named_struct("
+        "'at', b.at + length(m.g) + length(m.v), 'out', concat(b.out, array(named_struct('s', b.at + length(m.g), 'e', b.at + length(m.g) + length(m.v), 'v', m.v)))))"
     )
+    outer = (
+        f"aggregate(sequence(0, size(ms) div {BLOCK}), named_struct('at', 0, 'out', cast(array() as array<array<{span}>>)), (a, k) -> "
+        f"element_at(transform(array({inner}), r -> named_struct('at', r.at, 'out', concat(a.out, array(r.out)))), 1), a -> flatten(a.out))"
+    )
+    return f"element_at(transform(array({zipped}), ms -> {outer}), 1)"
 
 
 def _valid() -> list[str]:
@@ -60,7 +77,8 @@ def _valid() -> list[str]:
 
 def _base_spans(text: str) -> str:
     """SQL for array<struct<kind, s, e, v>> of all base spans by kind, then start; v normalised."""
-    needs = [f"contains({text}, '@')", f"contains({text}, '.')", "true", f"contains({text}, '+')"]
+    needs = [f"{text} rlike {_quoted(p)}" for p in (EMAIL, IP, CARD, PHONE)]
+    needs[0], needs[3] = f"contains({text}, '@') and {needs[0]}", f"contains({text}, '+') and {needs[3]}"
     none = "cast(array() as array<struct<s:int,e:int,v:string>>)"
     parts = []
     for kind, (pattern, need, valid) in enumerate(zip((EMAIL, IP, CARD, PHONE), needs, _valid())):
@@ -77,20 +95,31 @@ def _words(text: str) -> str:
     return f"transform(regexp_extract_all({text}, {_quoted(WORD)}, 0), w -> xxhash64(lower(w)))"
 
 
-def _touching(s: str, e: str) -> str:
-    return f"exists(base, o -> {s} < o.e and {e} > o.s)"
-
-
-def _words_where(text: str, holds: str, kept: str, kind: str) -> str:
-    """SQL for array<kind> of `kept` for the words where `holds`, both of w (the hash) and s, e (the place). Only words that
-    hold are appended, and places are sums of lengths: linear in the text."""
-    pattern = _quoted(rf"(\P{{L}}*+)({WORD})")
-    parts = f"zip_with(regexp_extract_all({text}, {pattern}, 1), regexp_extract_all({text}, {pattern}, 2), (g, v) -> named_struct('g', length(g), 'n', length(v), 'w', xxhash64(lower(v))))"
-    given = lambda x: x.replace("$w", "x.w").replace("$s", "(a.at + x.g)").replace("$e", "(a.at + x.g + x.n)")
-    return (
-        f"aggregate({parts}, named_struct('at', 0, 'out', cast(array() as array<{kind}>)), (a, x) -> named_struct('at', a.at + x.g + x.n, "
-        f"'out', if({given(holds)}, concat(a.out, array({given(kept)})), a.out)), a -> a.out)"
+def _groups(spans: str) -> str:
+    """SQL for the hashes of what the values of spans (kind, v) have in common with others: the domain of an address, the first
+    two parts of an ip, the issuer of a card, the first five digits of a phone."""
+    common = (
+        "case x.kind when 0 then substring_index(x.v, '@', -1) when 1 then substring_index(x.v, '.', 2) "
+        "when 2 then substring(x.v, 1, 6) else substring(x.v, 1, 5) end"
     )
+    return f"transform({spans}, x -> xxhash64(x.kind, 'group', {common}))"
+
+
+def _placed_words(texts: DataFrame) -> DataFrame:
+    """(same, term, s, e, touches) of the words of (same, text, base): a row for each occurrence, its place, and whether it has
+    code points in common with a base span."""
+    pairs = _zipped("text", rf"\G(\P{{L}}*+)({WORD})")
+    words = texts.select("same", F.posexplode(F.expr(pairs)).alias("pos", "x"))
+    words = words.select("same", "pos", F.length("x.g").alias("g"), F.length("x.v").alias("n"), F.xxhash64(F.lower("x.v")).alias("term"))
+    order = Window.partitionBy("same").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = words.withColumn("e", F.sum(F.col("g") + F.col("n")).over(order).cast("int"))
+    words = words.select("same", F.col("e").alias("at"), F.lit(0).alias("span"), "term", (F.col("e") - F.col("n")).alias("s"), "e")
+    spans = texts.select("same", F.explode("base").alias("b"))
+    spans = spans.select("same", F.col("b.s").alias("at"), F.lit(1).alias("span"), F.lit(None).cast("long").alias("term"), "b.s", "b.e")
+    # of the spans that begin before a word ends, the one that reaches furthest
+    before = Window.partitionBy("same").orderBy("at", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = words.unionByName(spans).withColumn("reach", F.max(F.when(F.col("span") == 1, F.col("e"))).over(before))
+    return both.where("span = 0").select("same", "term", "s", "e", F.coalesce(F.col("reach") > F.col("s"), F.lit(False)).alias("touches"))
 
 
 def find_spans(
@@ -102,60 +131,47 @@ def find_spans(
     """(doc_id, key, base, spans) of the whole texts of (doc_id, text); base and spans are array<struct<kind, s, e>>, kind
     a place in KINDS; key is xxhash64(doc_id, text)."""
     docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
+    n = float(max(docs.count(), 1))
     found = docs.withColumn("base", F.expr(_base_spans("text")))
     found = stored(
         found.select(
             "doc_id",
             F.xxhash64("doc_id", "text").alias("key"),
-            F.xxhash64("text").alias("same"),
+            F.when(F.size("base") > 0, F.xxhash64("text")).alias("same"),
             F.expr("transform(base, b -> named_struct('kind', b.kind, 's', b.s, 'e', b.e))").alias("base"),
-            F.expr("array_distinct(transform(base, b -> xxhash64(b.kind, b.v)))").alias("entities"),
+            F.expr(f"array_distinct(concat(transform(base, b -> xxhash64(b.kind, b.v)), {_groups('base')}))").alias("entities"),
             F.when(F.size("base") > 0, F.col("text")).alias("text"),
         ),
         "spans",
     )
-    # of each text with base spans its words, those that touch base spans, and the ones that stand nowhere else
-    about = found.where("text is not null").withColumn("words", F.expr(_words("text")))
-    about = about.withColumn("inside", F.expr(_words_where("text", _touching("$s", "$e"), "$w", "bigint")))
-    free = "not array_contains(inside, w) or size(filter(words, x -> x = w)) > size(filter(inside, x -> x = w))"
-    about = about.select(
-        "key", "same", "entities",
-        F.expr(f"filter(array_distinct(words), w -> {free})").alias("terms"),
-        F.expr(f"filter(array_distinct(inside), w -> not ({free}))").alias("only"),
-    )
-    about = stored(about, "words")
-    held = about.select("key", "same", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.countDistinct("key").alias("n_entity"), F.countDistinct("same").alias("texts"))
-    entities = stored(entities.where(F.col("texts") >= support).select("entity", "n_entity"), "entities")
-    # a text counts once, for the documents that have it, so that a pair is a sum that is combined before its shuffle
-    texts = about.groupBy("same").agg(F.min("key").alias("key"), F.countDistinct("key").alias("c")).select("key", "c")
-    shared = held.join(entities, "entity").groupBy("key").agg(F.collect_set("entity").alias("shared"))
-    counted = about.select("key", "terms").dropDuplicates(["key"]).join(shared, "key").join(texts, "key")
-    pairs = counted.select("c", "terms", F.explode("shared").alias("entity")).select("c", "entity", F.explode("terms").alias("term"))
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("c").alias("n_both"))
-    both = stored(both.where(F.col("texts") >= support), "pairs")
-    # documents that have a word outside base spans: those that have it at all less those that have it only inside
-    all_words = docs.select(F.explode(F.expr(f"array_distinct({_words('text')})")).alias("term"), F.lit(1).alias("c"))
-    only = about.select(F.explode("only").alias("term"), F.lit(-1).alias("c"))
-    terms = all_words.unionByName(only).groupBy("term").agg(F.sum("c").alias("n_term")).where(F.col("n_term") >= support)
-    scored = both.join(terms, "term").join(entities, "entity")
-    pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
-    scored = scored.select("entity", "term", F.when(ic > 0, pmi / ic).alias("told"))
-    kind = F.when(F.col("told") >= remove_at, 5).when(F.col("told") >= generalise_at, 4)
+    # each text with base spans once, with the number of rows that have it
+    held = found.where("same is not null")
+    rows = held.groupBy("same").agg(F.count("*").alias("c"))
+    texts = held.select("same", "text", "base", "entities").dropDuplicates(["same"])
+    words = stored(_placed_words(texts.select("same", "text", "base")), "words")
+    entities = stored(texts.select("same", F.explode("entities").alias("entity")).join(rows, "same"), "entities")
+    terms = words.groupBy("same", "term").agg(F.min("touches").alias("only"))
+    known = entities.groupBy("entity").agg(F.sum("c").alias("n_entity"), F.count("*").alias("texts"))
+    known = known.where((F.col("texts") >= support) & (F.col("n_entity") < n)).select("entity", "n_entity")
+    free = terms.where("not only").select("same", "term")
+    pairs = stored(entities.join(known, "entity").join(free, "same").select("same", "entity", "term", "c", "n_entity"), "pairs")
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("c").alias("n_both"), F.first("n_entity").alias("n_entity"))
+    both = both.where(F.col("texts") >= support)
+    # rows that have a word outside base spans: those that have it at all less those that have it only inside
+    all_words = docs.select(F.explode(F.expr(f"array_distinct({_words('text')})")).alias("term"), F.lit(1).cast("long").alias("c"))
+    inside = terms.where("only").join(rows, "same").select("term", (-F.col("c")).alias("c"))
+    counts = all_words.unionByName(inside).groupBy("term").agg(F.sum("c").alias("n_term")).where(F.col("n_term") >= support)
+    scored = both.join(counts, "term")
+    pmi = F.log(F.lit(n) * F.col("n_both") / (F.col("n_entity") * (F.col("n_term") + SMOOTHING)))
+    told = pmi / F.log(F.lit(n) / F.col("n_entity"))
+    kind = F.when(told >= remove_at, 5).when(told >= generalise_at, 4)
     scored = stored(scored.select("entity", "term", kind.alias("kind")).where("kind is not null"), "disclosing")
-    told = held.select("key", "entity").distinct().join(scored, "entity").groupBy("key", "term").agg(F.max("kind").alias("kind"))
-    told = told.groupBy("key").agg(
-        F.collect_list(F.when(F.col("kind") == 4, F.col("term"))).alias("general"),
-        F.collect_list(F.when(F.col("kind") == 5, F.col("term"))).alias("gone"),
-    )
-    holds = f"(array_contains(gone, $w) or array_contains(general, $w)) and not {_touching('$s', '$e')}"
-    kept = "named_struct('kind', if(array_contains(gone, $w), 5, 4), 's', $s, 'e', $e)"
-    added = found.where("text is not null").select("key", "base", "text").dropDuplicates(["key"]).join(told, "key")
-    added = added.select("key", F.expr(f"array_sort({_words_where('text', holds, kept, 'struct<kind:int,s:int,e:int>')})").alias("added"))
-    out = found.select("doc_id", "key", "base").join(added, "key", "left")
-    return out.select("doc_id", "key", "base", F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<kind:int,s:int,e:int>>)"))).alias("spans"))
+    told = pairs.join(scored, ["entity", "term"]).groupBy("same", "term").agg(F.max("kind").alias("kind"))
+    added = words.where("not touches").join(told, ["same", "term"]).groupBy("same")
+    added = added.agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("added"))
+    out = found.select("doc_id", "key", "base", "same").join(added, "same", "left")
+    none = F.expr("cast(array() as array<struct<kind:int,s:int,e:int>>)")
+    return out.select("doc_id", "key", "base", F.concat("base", F.coalesce("added", none)).alias("spans"))
 
 
 def spans_text(spans: str) -> Column:

@@ -173,3 +173,49 @@ def packed(rows, capacity, per_source):
         b["sources"].append(s)
         at[d] = b["no"], capacity - b["left"] - rest
     return at
+
+
+def disclosing(rows, support, smoothing, generalise_at, remove_at):
+    """doc_id -> added spans (kind, start, end) of (doc_id, text) without repeated ids."""
+    import math
+
+    import regex
+
+    word = regex.compile(r"\p{L}[\p{L}\p{N}_'’-]*+")
+    n, found = len(rows), []
+    for d, t in rows:
+        t = t or ""
+        base = base_spans(t)
+        words = [(m[0].lower(), m.start(), m.end()) for m in word.finditer(t)]
+        free = [w for w in words if not any(w[1] < e and w[2] > s for _, s, e in base)]
+        entities = set()
+        for k, s, e in base:
+            v = t[s:e].lower() if k == "email" else t[s:e] if k == "ip" else re.sub("[^0-9]", "", t[s:e])
+            entities |= {(k, v), (k, "group", v.split("@")[-1] if k == "email" else ".".join(v.split(".")[:2]) if k == "ip" else v[: 6 if k == "card" else 5])}
+        found.append((d, t, entities, free))
+    n_term, n_entity, n_both, texts, both_texts = {}, {}, {}, {}, {}
+    for _, t, entities, free in found:
+        own = {w for w, _, _ in free}
+        for w in own:
+            n_term[w] = n_term.get(w, 0) + 1
+        for x in entities:
+            n_entity[x] = n_entity.get(x, 0) + 1
+            texts.setdefault(x, set()).add(t)
+            for w in own:
+                n_both[x, w] = n_both.get((x, w), 0) + 1
+                both_texts.setdefault((x, w), set()).add(t)
+    kinds = {}
+    for (x, w), c in n_both.items():
+        if len(texts[x]) >= support and len(both_texts[x, w]) >= support and n_entity[x] < n:
+            told = math.log(n * c / (n_entity[x] * (n_term[w] + smoothing))) / math.log(n / n_entity[x])
+            if told >= generalise_at:
+                kinds[x, w] = "removed" if told >= remove_at else "term"
+    out = {}
+    for d, _, entities, free in found:
+        out[d] = []
+        for w, s, e in free:
+            got = {kinds.get((x, w)) for x in entities} - {None}
+            if got:
+                out[d].append(("removed" if "removed" in got else "term", s, e))
+        out[d].sort(key=lambda x: (["term", "removed"].index(x[0]), x[1]))
+    return out

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,32 @@ def test_disclosing_terms_of_whole_documents(spark):
     assert text[100] == rows[4][1] and text[200] == rows[-1][1]
 
 
+def test_disclosing_terms_against_brute_force(spark, docs):
+    """On documents, and on made-up ones in which some words go with a domain or a prefix that is never the same value twice."""
+    rng = random.Random(21)
+    made = []
+    for i in range(300):
+        text = " ".join(f"w{chr(97 + rng.randrange(20))}" for _ in range(20))
+        if i % 10 == 0:
+            text += f" Clerk Quixby, x{i}@inner.example.org and tel+1 202-555-{1000 + i}."
+        made.append((i, text + (" Somebody" if i % 3 else "")))
+    for rows in (made, [r for r in texts_of(docs) if r[0] is not None]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = pii.find_spans(df).select("doc_id", pii.spans_text("spans").alias("spans"), pii.spans_text("base").alias("base")).collect()
+        want = brute.disclosing(rows, pii.SUPPORT, pii.SMOOTHING, pii.GENERALISE_AT, pii.REMOVE_AT)
+        assert {r.doc_id: r.spans[len(r.base) :].lstrip(",") for r in got} == {d: ",".join(f"{k}:{s}:{e}" for k, s, e in v) for d, v in want.items()}
+    assert any(brute.disclosing(made, 2, 0.25, 0.6, 0.9).values())
+
+
+def test_personal_data_in_a_long_text(spark):
+    """Time grows with the length: 30,000 addresses in one text of more than a million code points."""
+    text = " ".join(f"user{i}@host{i}.example.com writes words of name{i}" for i in range(30_000))
+    start = time.time()
+    got = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.spans_text("base").alias("b")).first().b
+    assert got == ",".join(f"{k}:{s}:{e}" for k, s, e in brute.base_spans(text)) and got.count("email") == 30_000
+    assert time.time() - start < 60
+
+
 def test_line_dedup(spark, odd, empty, docs):
     got = lines.dedup_lines(docs).collect()
     assert {r.doc_id: r.text for r in got} == brute.dedup_lines(texts_of(docs), lines.MIN_CHARS)
