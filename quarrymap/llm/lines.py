@@ -1,7 +1,8 @@
-"""Line deduplication: lines within edit distance 1 of each other are one class, and a class keeps its first line.
+"""Line deduplication: lines near each other are one class, and a class keeps its first line.
 
-Lines are compared without blanks at their ends; first means least doc_id (null first), then line number. Lines of fewer
-than `min_chars` code points only match lines equal to them, and blank lines stay as they are.
+Lines are compared without blanks at their ends; first means least doc_id (null first), then line number. One edit is allowed
+in a line of `min_chars` code points or more, and none in a shorter one (numbers and headings differ in one): so these only
+match lines equal to them. `min_chars` may be 1. Blank lines stay as they are.
 
 With threshold 1 a line is split into two segments (halves). A line of length l puts its halves into an index under
 (l, side, half); it probes the index of its own length with them and that of length l - 1 with the prefix and suffix of
@@ -9,11 +10,13 @@ the lengths of those halves: one of the two segments must be untouched, and besi
 meet are verified once with a bit-parallel edit distance in a band of threshold width, all pairs of a batch at a time.
 A segment that more than `SMALL` lines share makes no pairs: what is left beside it, within one edit in turn, is split into
 two segments again, up to `ROUNDS` times. Where many lines still share all but a little, that little is joined on what
-remains after deleting one code point (or none), and lines that agree there are tied to the least one. This is exact and
-grows with the length of those lines, not with the square of their number.
+remains after deleting one code point (or none), and lines that agree there are paired with the least one that is within one
+edit of all of them. These pairs are verified like all others. This is exact and grows with the length of those lines, not with
+the square of their number. However often a line occurs, it is indexed once.
 
 Components of the links are the classes. Rows equal in doc_id and text count as one document and get the same result.
-A null text stays null with 0 lines; the empty text is one blank line. Other columns are not returned by dedup_lines.
+A null text stays null with 0 lines; the empty text is one blank line; a line of any length is compared whole. Other columns
+are not returned by dedup_lines.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymap.llm.common import connected_components, partitions, stored
+from quarrymap.llm.common import connected_components, partitions, spare, stored
 
 MIN_CHARS, SMALL, ROUNDS = 20, 16, 5
 
@@ -40,17 +43,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _entries(lines: DataFrame, min_chars: int) -> DataFrame:
-    """(h, probe, k1, k2): index entries of each line, and its probes of the lines that are one shorter."""
+def _distinct(lines: DataFrame) -> DataFrame:
+    """(k1, k2, first, size, hs) of the different lines: the place where each stands first and the hashes of its index entries."""
     half, less = "cast(size div 2 as int)", "cast((size - 1) div 2 as int)"
-    entries = (
-        f"array(struct(xxhash64(size, 0, substring(line, 1, {half})) as h, false as probe), "
-        f"struct(xxhash64(size, 1, substring(line, {half} + 1)) as h, false as probe), "
-        f"struct(xxhash64(size - 1, 0, substring(line, 1, {less})) as h, true as probe), "
-        f"struct(xxhash64(size - 1, 1, substring(line, {less} + 2)) as h, true as probe))"
+    hashes = (
+        f"array(xxhash64(size, 0, substring(line, 1, {half})), xxhash64(size, 1, substring(line, {half} + 1)), "
+        f"xxhash64(size - 1, 0, substring(line, 1, {less})), xxhash64(size - 1, 1, substring(line, {less} + 2)))"
     )
-    long = lines.where(F.col("size") >= min_chars).select("k1", "k2", F.explode(F.expr(entries)).alias("e"))
-    return long.select("e.h", "e.probe", "k1", "k2")
+    rows = lines.select("k1", "k2", F.struct("doc_id", "doc", "no").alias("first"), "size", F.expr(hashes).alias("hs"))
+    return rows.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("hs").alias("hs"))
+
+
+def _entries(distinct: DataFrame, min_chars: int) -> DataFrame:
+    """(h, probe, k1, k2): index entries of each line, and its probes of the lines that are one shorter."""
+    long = distinct.where(F.col("size") >= min_chars).select("k1", "k2", F.posexplode("hs").alias("i", "h"))
+    return long.select("h", (F.col("i") >= 2).alias("probe"), "k1", "k2")
 
 
 def _meetings(entries: DataFrame, tasks: int) -> DataFrame:
@@ -214,18 +221,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _near_links(lines: DataFrame, min_chars: int) -> DataFrame:
+def _near_links(lines: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """Links (a, b) of different lines within one edit, each line as a struct of its key; enough of them to connect all
     that are connected by single edits."""
     spark = lines.sparkSession
-    met = stored(_meetings(_entries(lines, min_chars), partitions(spark)), "meetings")
+    met = stored(_meetings(_entries(distinct, min_chars), partitions(spark)), "meetings")
     pairs = met.where("b1 is not null").select("a1", "a2", "b1", "b2").distinct()
     hot = met.where("b1 is null").select("h", "probe", F.col("a1").alias("k1"), F.col("a2").alias("k2"))
     wanted = pairs.select(F.explode(F.expr("array(struct(a1 as k1, a2 as k2), struct(b1 as k1, b2 as k2))")).alias("k"))
     wanted = wanted.select("k.k1", "k.k2").unionByName(hot.select("k1", "k2")).distinct()
-    # the few lines that meet others, with their texts; the side that is built into a table is the one of keys
-    texts = lines.select("k1", "k2", "line").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
-    texts = stored(texts.dropDuplicates(["k1", "k2"]), "lines")
+    # the few lines that meet others, with their texts, from the one place where each stands first
+    places = distinct.join(wanted, ["k1", "k2"], "left_semi").select("k1", "k2", "first.doc", "first.no")
+    texts = lines.select("doc", "no", "line").join(places.hint("shuffle_hash"), ["doc", "no"])
+    texts = stored(texts.select("k1", "k2", "line").dropDuplicates(["k1", "k2"]), "lines")
 
     @F.pandas_udf(T.BooleanType())
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -245,24 +253,26 @@ def _near_links(lines: DataFrame, min_chars: int) -> DataFrame:
         pairs = pairs.unionByName(met.where("b1 is not null").select("a1", "a2", "b1", "b2"))
         hot = met.where("b1 is null").select("h", "probe", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "lo", "hi")
         hot = stored(hot.join(texts, ["k1", "k2"]), "hot")
-    pairs = pairs.distinct()
-    one, two = (texts.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "ab")
-    links = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).where(near("a_line", "b_line"))
-    links = links.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
     variants = _deletions(hot)
     key = F.struct("k1", "k2")
-    least = variants.groupBy("h", "variant").agg(F.min(key).alias("a"), F.max(key).alias("z"), F.bool_or("sure").alias("sure"))
-    least = least.where("sure and a != z").select("h", "variant", "a")
-    tied = variants.join(least, ["h", "variant"]).select("a", key.alias("b")).where("a != b").distinct()
-    return links.unionByName(tied)
+    least = variants.groupBy("h", "variant").agg(F.min(key).alias("m"), F.max(key).alias("z"), F.min(F.when(F.col("sure"), key)).alias("a"))
+    least = least.where("a is not null and m != z").select("h", "variant", "a")
+    tied = variants.join(least, ["h", "variant"]).where(F.col("a") != key)
+    swapped = F.col("a") > key
+    low, high = F.when(swapped, key).otherwise(F.col("a")), F.when(swapped, F.col("a")).otherwise(key)
+    tied = tied.select(low.alias("x"), high.alias("y")).select(F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2"))
+    pairs = pairs.unionByName(tied).distinct()
+    one, two = (texts.select(F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("line").alias(f"{s}_line")) for s in "ab")
+    links = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).where(near("a_line", "b_line"))
+    return links.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
 
 
 def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, no, near) of the first line of each class of (doc_id, text); near: how many different lines it has besides."""
     lines = _lines(docs)
-    links = stored(_near_links(lines, min_chars), "near")
-    place = F.struct("doc_id", "doc", "no")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"))
+    distinct = stored(_distinct(lines), "distinct")
+    links = stored(_near_links(lines, distinct, min_chars), "near")
+    firsts = distinct.select("k1", "k2", "first")
     if links.isEmpty():
         return firsts.select("first.doc", "first.no", F.lit(0).alias("near"))
     labels = connected_components(links).select("node.k1", "node.k2", F.col("label.k1").alias("c1"), F.col("label.k2").alias("c2"))
@@ -299,11 +309,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def with_lines_dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the lines that stay in text (n_chars, if there, follows). Documents of which no line stays go, unless
     they had none; all other columns stay as they are."""
-    keep = line_classes(docs.select("doc_id", "text"), min_chars).groupBy("doc").agg(F.collect_list("no").alias("_keep"))
-    keep = keep.withColumnRenamed("doc", "_doc")
-    out = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(keep, "_doc", "left")
-    out = out.where(F.col("_keep").isNotNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^ \n]"))
-    out = out.withColumn("text", _kept_text("text", "_keep"))
+    doc, kept = spare("doc", docs.columns), spare("keep", docs.columns)
+    keep = line_classes(docs.select("doc_id", "text"), min_chars)
+    keep = keep.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("no").alias(kept))
+    out = docs.withColumn(doc, F.xxhash64("doc_id", "text")).join(keep, doc, "left")
+    out = out.where(F.col(kept).isNotNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^ \n]"))
+    out = out.withColumn("text", _kept_text("text", kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -189,6 +189,11 @@ def test_line_dedup(spark, odd, empty, docs):
     rows = [(d, t) for d, t in dict(ODD[::-1]).items() if d is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == brute.dedup_lines(rows, lines.MIN_CHARS)
+    short = [(i, t) for i, t in enumerate(["abc def ghi", "abc def ghj", "a", "b", "", "xyz", "xy", "yz q", "abc de ghi\n  a  ", "long " * 9 + "x", "long " * 9 + "y"])]
+    for least in (1, 3, 12):
+        df = spark.createDataFrame(short, "doc_id long, text string")
+        assert {r.doc_id: r.text for r in lines.dedup_lines(df, least).collect()} == brute.dedup_lines(short, least)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs, 1).collect()} == brute.dedup_lines(texts_of(docs), 1)
     assert lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(empty).count() == 0
     assert lines.with_lines_dropped(odd).columns == odd.columns
 
@@ -207,6 +212,12 @@ def test_line_dedup_with_shared_segments(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == brute.dedup_lines(rows, lines.MIN_CHARS)
 
 
+def test_line_dedup_of_a_line_in_every_document(spark):
+    rows = [(i, f"The licence of this text is the usual one.\nline number {i * i} of many others\nThe licence of this text is the usual on{'ea'[i % 2]}.") for i in range(400)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.dedup_lines(rows, lines.MIN_CHARS)
+
+
 def test_edit_distances():
     rng = random.Random(3)
     left = ["".join(rng.choices("abé", k=rng.randrange(10))) for _ in range(1500)]

@@ -51,7 +51,7 @@ def test_stages_on_odd_rows(spark):
             assert got.columns == docs.columns, name
             assert all((r.copies, r.row, r.language) == (1, 2, 3) for r in got.collect()), name
         else:
-            assert got.count() == 10
+            assert got.where("piece = 0").count() == 10  # a long text has several pieces
 
 
 def test_near_copies_of_repeated_ids(spark):
