@@ -31,7 +31,7 @@ from quarrymap.llm.common import new_folder, partitions
 
 END_ID = 2
 FRAME_IDS = 1 << 16
-CACHE_PARTS, LONGEST_CACHED = 500_000, 40
+CACHE_PARTS, LONGEST_CACHED, LEVEL = 800_000, 40, 1
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 # Fixed values of the zstandard seekable format.
@@ -138,7 +138,10 @@ class Encoder:
             words.update(rest)
             split.append((head, rest))
         part, word = self._learn(self.parts, heads, self._whole), self._learn(self.words, words, self._after_spaces)
-        out = [b"".join([*map(part.__getitem__, head), *map(word.__getitem__, rest)]) for head, rest in split]
+        out = [
+            (part[head[0]] if len(head) == 1 else b"".join(map(part.__getitem__, head))) + b"".join(map(word.__getitem__, rest))
+            for head, rest in split
+        ]
         self.parts.aged()
         self.words.aged()
         return out
@@ -154,7 +157,7 @@ def write_shard(docs: Iterator[tuple[int | None, bytes]], sink, frame_ids: int =
     import xxhash
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+    packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
     table, frame, held, ids, lengths, per_frame, total = [], [], 0, [], [], [], 0
 
     def close() -> None:
