@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrymap.operators import graph
 from quarrymap.plans.registry import query
 from quarrymap.sources import tables as t
+from quarrymap.storage import stored
 from quarrymap.sources.tables import COMMITS_SQL, DEPENDENCIES_SQL, EDGES_SQL, NODES_SQL, UNCERTAIN_SQL  # noqa: F401
 
 TOP = 25
@@ -84,7 +85,7 @@ def relation_quality(spark, sf_dir):
     return graph.quality(t.edges(spark, sf_dir))
 
 
-_WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in graph.KIND_WEIGHTS.items()) + " END"
+_WEIGHT = "CASE kind WHEN 'calls' THEN 1.0 WHEN 'instantiates' THEN 0.95 WHEN 'overrides' THEN 0.85 WHEN 'references_type' THEN 0.7 ELSE 0.9 END"
 # Every path of these tables has one directory: two of the same one are 0 steps apart, others 2.
 GRAPH_SQL = f"""{BASE}, by_kind AS (
     SELECT least(a.file, b.file) AS "left", greatest(a.file, b.file) AS "right", e.kind, sum(CASE WHEN resolution IN {UNCERTAIN_SQL} THEN 0.5::DOUBLE ELSE 1::DOUBLE END) AS f
@@ -97,7 +98,10 @@ GRAPH_SQL = f"""{BASE}, by_kind AS (
   degrees AS (SELECT file, round(sum(weight), 6) AS degree FROM (SELECT "left" AS file, weight FROM pairs UNION ALL SELECT "right", weight FROM pairs) GROUP BY 1),
   placed AS (SELECT degree, row_number() OVER (ORDER BY degree) AS rn, count(*) OVER () AS n FROM degrees),
   stats AS (SELECT min(degree) FILTER (rn = 1 + floor((n - 1) * 0.9)) AS p90, min(degree) FILTER (rn = 1 + floor((n - 1) * 0.5)) AS median, max(degree) AS top FROM placed),
-  scores AS (SELECT file, degree, CASE WHEN degree >= greatest(p90, 1.5 * median) AND degree > median THEN round(0.75 * degree / top, 6) ELSE 0 END AS score FROM degrees, stats)"""
+  judged AS (SELECT file, degree, degree >= greatest(p90, 1.5 * median) AND degree > median AS high, top, len(list_intersect(regexp_split_to_array(lower(file), '[\\\\/._-]+'),
+    ['base','common','config','constant','constants','core','framework','helper','helpers','log','logger','logging','shared','util','utils'])) > 0 AS utility FROM degrees, stats),
+  scores AS (SELECT file, degree, least(1, round(CASE WHEN high THEN 0.75 * degree / top ELSE 0 END + CASE WHEN utility THEN 0.125 ELSE 0 END, 6)) AS score,
+    concat_ws(',', CASE WHEN high THEN 'high_degree' END, CASE WHEN utility THEN 'utility_path' END) AS signals FROM judged)"""
 
 
 def _graph(spark, sf_dir):
@@ -109,15 +113,22 @@ def file_graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir).select("left", "right", F.round("weight", 5).alias("weight"))
 
 
-@query("crosscut_evidence", f"{GRAPH_SQL} SELECT file, round(degree, 4) AS degree, round(score, 5)::DOUBLE AS score FROM scores")
+@query("crosscut_evidence", f"{GRAPH_SQL} SELECT file, round(degree, 4) AS degree, round(score, 5)::DOUBLE AS score, signals FROM scores")
 def crosscut_evidence(spark, sf_dir):
-    return graph.crosscut(_graph(spark, sf_dir)).select("file", F.round("degree", 4).alias("degree"), F.round("score", 5).alias("score"))
+    out = graph.crosscut(stored(_graph(spark, sf_dir), "graph"))
+    return out.select("file", F.round("degree", 4).alias("degree"), F.round("score", 5).alias("score"), "signals")
+
+
+@query("crosscut_report", f"{GRAPH_SQL} SELECT file, round(score, 5)::DOUBLE AS score, signals FROM scores WHERE score >= 0.4 ORDER BY score DESC, file")
+def crosscut_report(spark, sf_dir):
+    out = graph.crosscut_report(graph.crosscut(stored(_graph(spark, sf_dir), "graph")))
+    return out.select("file", F.round("score", 5).alias("score"), "signals")
 
 
 @query("penalized_edges", f"""{GRAPH_SQL} SELECT "left", "right", round(weight * (1 - 0.4::DOUBLE * (a.score + b.score) / 2), 4) AS weight
   FROM pairs JOIN scores a ON a.file = "left" JOIN scores b ON b.file = "right\"""")
 def penalized_edges(spark, sf_dir):
-    pairs = _graph(spark, sf_dir)
+    pairs = stored(_graph(spark, sf_dir), "graph")
     return graph.penalised(pairs, graph.crosscut(pairs)).select("left", "right", F.round("weight", 4).alias("weight"))
 
 
@@ -152,14 +163,73 @@ REGIONS_SQL = "regions AS (SELECT DISTINCT file, split_part(file, '/', 1) AS reg
 
 
 @query("region_evidence", f"""{GRAPH_SQL}, {REGIONS_SQL}, ins AS (SELECT a.region, sum(weight) AS i FROM pairs JOIN regions a ON a.file = "left" JOIN regions b ON b.file = "right" WHERE a.region = b.region GROUP BY 1),
-  outs AS (SELECT region, sum(weight) AS o FROM (SELECT unnest([a.region, b.region]) AS region, weight FROM pairs JOIN regions a ON a.file = "left" JOIN regions b ON b.file = "right" WHERE a.region <> b.region) GROUP BY 1),
-  e AS (SELECT region, count(*) AS files, coalesce(max(i), 0)::DOUBLE AS i, coalesce(max(o), 0)::DOUBLE AS o FROM regions LEFT JOIN ins USING (region) LEFT JOIN outs USING (region) GROUP BY 1)
-  SELECT region, files, round(i, 4) AS internal, round(o, 4) AS external, round(CASE WHEN o < 1e-9 THEN CASE WHEN i > 0 THEN 100 ELSE 0 END ELSE least(100, i / o) END, 4)::DOUBLE AS ratio,
-  round(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END, 4)::DOUBLE AS strength FROM e""")
+  ends AS (SELECT unnest([a.region, b.region]) AS region, unnest(["left", "right"]) AS file, weight FROM pairs JOIN regions a ON a.file = "left" JOIN regions b ON b.file = "right" WHERE a.region <> b.region),
+  outs AS (SELECT region, sum(weight) AS o, count(DISTINCT file) AS interface_files FROM ends GROUP BY 1),
+  e AS (SELECT region, count(*) AS files, coalesce(max(i), 0)::DOUBLE AS i, coalesce(max(o), 0)::DOUBLE AS o, coalesce(max(interface_files), 0) AS interface_files, avg(coalesce(score, 0)) AS c
+    FROM regions LEFT JOIN ins USING (region) LEFT JOIN outs USING (region) LEFT JOIN scores USING (file) GROUP BY 1),
+  spaces AS (SELECT region, max(n) AS n FROM (SELECT region, namespace, count(*) AS n FROM (SELECT file, split_part(file, '/', 1) AS region, min(namespace) AS namespace FROM nodes GROUP BY 1) GROUP BY 1, 2) GROUP BY 1),
+  kinds AS (SELECT "left", "right", kind AS signal, {_WEIGHT} * ln(1 + f) AS w FROM by_kind UNION ALL
+    SELECT "left", "right", 'path', 0.25::DOUBLE * (CASE WHEN split_part("left", '/', 1) = split_part("right", '/', 1) THEN 1::DOUBLE ELSE 1 / 3::DOUBLE END) FROM pairs),
+  sums AS (SELECT a.region, signal, round(sum(w), 6) AS w FROM kinds JOIN regions a ON a.file = "left" JOIN regions b ON b.file = "right" WHERE a.region = b.region GROUP BY 1, 2),
+  tops AS (SELECT region, string_agg(signal, ',' ORDER BY w DESC, signal) AS signals FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY w DESC, signal) AS rn FROM sums) WHERE rn <= 3 GROUP BY 1)
+  SELECT region, files, round(i, 4) AS internal, round(o, 4) AS external, round(CASE WHEN o <= 1e-6 THEN CASE WHEN i > 0 THEN 100 ELSE 0 END ELSE least(100, i / o) END, 4)::DOUBLE AS ratio,
+  round(CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0 END, 4)::DOUBLE AS strength, round(i / greatest(1, files * (files - 1) / 2::DOUBLE), 4) AS density, round(c, 4)::DOUBLE AS crosscut,
+  round(spaces.n / files::DOUBLE, 4) AS namespace_agreement, 1::DOUBLE AS directory_agreement, interface_files, coalesce(signals, '') AS signals FROM e LEFT JOIN spaces USING (region) LEFT JOIN tops USING (region)""")
 def region_evidence(spark, sf_dir):
     nodes = t.nodes(spark, sf_dir)
-    regions = nodes.select("file", F.substring_index("file", "/", 1).alias("region")).distinct()
-    return graph.region_evidence(_graph(spark, sf_dir), regions)
+    regions = nodes.groupBy("file", F.substring_index("file", "/", 1).alias("region")).agg(F.min("namespace").alias("namespace"))
+    signals = stored(graph.file_signals(nodes, t.edges(spark, sf_dir)), "signals")
+    pairs = signals.groupBy("left", "right").agg(F.sum("weight").alias("weight"))
+    return graph.region_evidence(signals, regions, graph.crosscut(pairs))
+
+
+LEVELS_SQL = """placed AS (SELECT 1 AS level, 'part:' || p_partkey AS file, p_brand AS community FROM part UNION ALL SELECT 2, 'part:' || p_partkey, p_type FROM part),
+  drafts AS (SELECT level, community, list(file ORDER BY file) AS members FROM placed GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+
+def _levels(spark, sf_dir):
+    p = t.table(spark, sf_dir, "part")
+    file = F.concat(F.lit("part:"), "p_partkey").alias("file")
+    return p.select(F.lit(1).alias("level"), file, F.col("p_brand").alias("community")).union(p.select(F.lit(2), file, "p_type"))
+
+
+@query("region_drafts", f"""WITH {LEVELS_SQL} SELECT 'region:' || sha256(level || chr(0) || array_to_string(members, chr(0))) AS id, CASE WHEN level = 2 THEN 'system' ELSE 'module' END AS kind, level, len(members)::INT AS files
+  FROM drafts ORDER BY level DESC, community, id""")
+def region_drafts(spark, sf_dir):
+    out = graph.region_drafts(_levels(spark, sf_dir)).orderBy(F.desc("level"), "community", "id")
+    return out.select("id", "kind", "level", "files")
+
+
+@query("region_labels", r"""WITH m AS (SELECT p_type AS region, 'src/' || replace(lower(p_type), ' ', '/') || '/f' || p_partkey AS file, CASE WHEN p_size % 3 = 0 THEN 'Shop\Stock' ELSE '' END AS namespace FROM part
+    UNION ALL SELECT p_brand, 'lib/' || p_brand || '/f' || p_partkey, CASE WHEN p_brand LIKE '%1' THEN 'Shop\Brand' ELSE '' END FROM part),
+  s AS (SELECT region, count(*) AS n FROM m GROUP BY 1),
+  ns AS (SELECT region, namespace, count(*) AS c FROM m WHERE namespace <> '' GROUP BY 1, 2), nb AS (SELECT region, arg_max(namespace, (c, namespace)) AS ns, max(c) AS c FROM ns GROUP BY 1),
+  sp AS (SELECT region, string_split(ns, '\')[-1] AS by_space FROM nb JOIN s USING (region) WHERE c / n >= 0.6),
+  d AS (SELECT region, string_split(file, '/')[:-2] AS d FROM m), x AS (SELECT region, d, unnest(range(1, len(d) + 1)) AS depth FROM d),
+  pf AS (SELECT region, depth, d[:depth] AS p, count(*) AS c FROM x GROUP BY 1, 2, 3), co AS (SELECT region, arg_max(p[-1], depth) AS by_prefix FROM pf JOIN s USING (region) WHERE c = n AND p[-1] NOT IN ('src', 'lib') GROUP BY 1),
+  vo AS (SELECT region, d[depth] AS part, round(sum(1 + (depth - 1) / greatest(1, len(d) - 1)), 6) AS v FROM x WHERE d[depth] NOT IN ('src', 'lib') GROUP BY 1, 2), vb AS (SELECT region, arg_max(part, (v, part)) AS by_vote FROM vo GROUP BY 1)
+  SELECT region, coalesce(by_space, upper(by_prefix[1]) || lower(by_prefix[2:]), upper(by_vote[1]) || lower(by_vote[2:]), 'Region') AS label FROM s LEFT JOIN sp USING (region) LEFT JOIN co USING (region) LEFT JOIN vb USING (region)""")
+def region_labels(spark, sf_dir):
+    p = t.table(spark, sf_dir, "part")
+    by_type = p.select(F.col("p_type").alias("region"), F.concat(F.lit("src/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.lit("/f"), "p_partkey").alias("file"), F.when(F.col("p_size") % 3 == 0, r"Shop\Stock").otherwise("").alias("namespace"))
+    by_brand = p.select("p_brand", F.concat(F.lit("lib/"), "p_brand", F.lit("/f"), "p_partkey"), F.when(F.col("p_brand").endswith("1"), r"Shop\Brand").otherwise(""))
+    return graph.region_labels(by_type.union(by_brand))
+
+
+@query("region_paths", """WITH n AS (SELECT 'nation/' || n_nationkey AS region, 'region/' || n_regionkey AS up FROM nation)
+  SELECT region, region || ' > ' || up || ' > world' AS path FROM n UNION ALL SELECT DISTINCT up, up || ' > world' FROM n UNION ALL SELECT 'world', 'world'""")
+def region_paths(spark, sf_dir):
+    return graph.region_paths(region_hierarchy(spark, sf_dir).select("region", "parent"))
+
+
+@query("unassigned_files", f"""WITH {NODES_SQL}, one AS (SELECT file, count(*) OVER (PARTITION BY kind, split_part(file, '/', 2)[1:2]) AS n FROM (SELECT DISTINCT kind, file FROM nodes WHERE kind = 'class'))
+  SELECT DISTINCT file FROM nodes WHERE file NOT IN (SELECT file FROM one WHERE n > 1)""")
+def unassigned_files(spark, sf_dir):
+    """Files that no region of the finest level holds; a region has at least two files."""
+    nodes = t.nodes(spark, sf_dir)
+    files = nodes.where("kind = 'class'").select(F.lit(1).alias("level"), "file", F.substring(F.substring_index("file", "/", -1), 1, 2).alias("community")).distinct()
+    regions = graph.region_drafts(files).select(F.explode("all").alias("file"))
+    return nodes.select("file").distinct().join(regions, "file", "left_anti")
 
 
 @query("region_hierarchy", """WITH r AS (SELECT 'nation/' || n_nationkey AS region, 1 AS level, [n_nationkey] AS members FROM nation
