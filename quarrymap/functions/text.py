@@ -56,8 +56,36 @@ def nul_hash(*parts: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    steps = [(2**30, "GB"), (2**20, "MB"), (2**10, "KB")]
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for size, unit in reversed(steps):
-        out = F.when(n >= size, F.concat(F.format_number(n / size, 1), F.lit(f" {unit}"))).otherwise(out)
-    return out
+    """Bytes below 1024, else KB with one place unless it is 0."""
+    kb = F.regexp_replace(F.round(n / 1024, 1).cast("decimal(30,1)").cast("string"), r"\.0$", "")
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(kb, F.lit(" KB")))
+
+
+def is_method_name(name: Column) -> Column:
+    """Letters, digits and underscores, not a digit first; code points from 128 on count as letters."""
+    return F.coalesce(name.rlike(r"^[A-Za-z_\x{80}-\x{10ffff}][A-Za-z0-9_\x{80}-\x{10ffff}]*\z"), F.lit(False))
+
+
+def with_last_segment(token: Column, replacement: Column) -> Column:
+    """The token with what follows its last backslash (or all of it) replaced."""
+    return F.concat(F.regexp_extract(token, r"^(.*\\)?", 0), replacement)
+
+
+def _list(label: str, values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"{label} "), F.array_join(F.array_sort(values), ",")))
+
+
+def symbol_signature(kind: Column, fqn: Column, parameters: Column, returns: Column, lists: dict[str, Column]) -> Column:
+    """`kind fqn (parameters) : type extends a,b ...` of a symbol; lists by label, sorted."""
+    parts = [
+        kind, F.regexp_replace(fqn, r"^\\+", ""), F.when(F.size(parameters) > 0, F.concat(F.lit("("), F.array_join(parameters, ", "), F.lit(")"))),
+        F.when(returns.isNotNull(), F.concat(F.lit(": "), returns)), *[_list(k, v) for k, v in lists.items()],
+    ]
+    return F.concat_ws(" ", *parts)
+
+
+def method_signature(visibility: Column, static: Column, abstract: Column, final: Column, name: Column, parameters: Column, returns: Column, attributes: Column) -> Column:
+    """`public static name(parameters): type attributes a,b` of a method."""
+    modifiers = F.concat_ws(" ", visibility, F.when(static, "static"), F.when(abstract, "abstract"), F.when(final, "final"))
+    head = F.concat(modifiers, F.lit(" "), name, F.lit("("), F.array_join(parameters, ", "), F.lit(")"), F.when(returns.isNotNull(), F.concat(F.lit(": "), returns)).otherwise(""))
+    return F.trim(F.concat_ws(" ", head, _list("attributes", attributes)))

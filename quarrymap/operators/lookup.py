@@ -52,3 +52,66 @@ def next_ids(ids: DataFrame, column: str, width: int = 100_000) -> DataFrame:
     firsts = firsts.select("_r", F.lead("_first").over(Window.orderBy("_r")).alias("_after"))  # one row for each range
     out = inner.join(firsts, "_r").select(column, F.coalesce("next_id", "_after").alias("next_id"))
     return out.where("next_id is not null")
+
+
+def by_path(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """files of the asked paths, written with either slash and with or without `./` before them."""
+    path = F.regexp_replace(F.replace("asked", F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    return asked.distinct().withColumn("path", path).join(files, "path")
+
+
+def stats(nodes: DataFrame, limit: int) -> DataFrame:
+    """(files, symbols, methods, file, in_file): totals, beside the files with most symbols (ties by path)."""
+    by = nodes.groupBy("file").agg(F.count_if(F.col("kind") != "method").alias("in_file"), F.count_if(F.col("kind") == "method").alias("m"))
+    totals = by.agg(F.count("*").alias("files"), F.sum("in_file").alias("symbols"), F.sum("m").alias("methods"))
+    top = by.orderBy(F.desc("in_file"), "file").limit(limit)
+    return top.crossJoin(F.broadcast(totals)).select("files", "symbols", "methods", "file", "in_file")  # one row
+
+
+def shown(rows: DataFrame, group: str, item: str, limit: int) -> DataFrame:
+    """(group, shown, omitted): the first items of each group and how many are left out. Only the first ones are brought together."""
+    first = rows.select(group, item).withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(item))).where(F.col("rn") <= limit)
+    first = first.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("shown"))
+    size = rows.groupBy(group).agg(F.greatest(F.lit(0), F.count("*") - limit).alias("omitted"))
+    return first.join(size, group).select(group, "shown", "omitted")
+
+
+def readiness(maps: DataFrame, files: DataFrame, current: DataFrame) -> DataFrame:
+    """(map, map_state, search_state) of maps (map, snapshot, search): stale if any of its files (path, map, sha256) is, and only a
+    map that is ready is held against the snapshot that its search index names (null: no index)."""
+    found = stale(files, current).join(files.select("path", "map"), "path").groupBy("map").agg(F.count("*").alias("stale"))
+    out = maps.join(found, "map", "left").fillna(0, ["stale"])
+    search = F.when(F.col("stale") > 0, "unavailable").when(F.col("search").isNull(), "missing").when(F.col("search") == "", "invalid")
+    search = search.when(F.col("search") == F.col("snapshot"), "ready").otherwise("stale")
+    return out.select("map", F.when(F.col("stale") == 0, "ready").otherwise("stale").alias("map_state"), search.alias("search_state"))
+
+
+def slices(files: DataFrame) -> DataFrame:
+    """(path, slice): the lines start to end of files (path, sha256, current, content, start, end) that are as the map knows them."""
+    lines = F.split("content", "\n")
+    some = files.where((F.col("current") == F.col("sha256")) & (F.size(lines) >= F.col("start")))
+    return some.select("path", F.array_join(F.slice(lines, F.col("start"), F.col("end") - F.col("start") + 1), "\n").alias("slice"))
+
+
+def merged_hits(literal: DataFrame, normalized: DataFrame) -> DataFrame:
+    """(symbol, methods, hit): a normalised hit takes the place of the literal one if it has more methods."""
+    rows = literal.withColumn("hit", F.lit("literal")).unionByName(normalized.withColumn("hit", F.lit("normalized")))
+    best = F.max_by(F.struct("methods", "hit"), F.struct("methods", (F.col("hit") == "literal").cast("int")))
+    return rows.groupBy("symbol").agg(best.alias("v")).select("symbol", "v.methods", "v.hit")
+
+
+def related(files: DataFrame, term: str, limit: int) -> DataFrame:
+    """(section, path): files (path, namespace) whose path holds the term and is no test, tests that are likely theirs (the base
+    name of one holds that of the other) and others of their namespace. What is looked around from is a top list of at most
+    max(10, 3 * limit) files, so it is broadcast."""
+    base = F.regexp_replace(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""), r"(?i)(test|cest)$", "")
+    files = files.withColumn("base", base).withColumn("test", tx.is_test_path("path"))
+    found = files.where(~F.col("test") & F.lower("path").contains(term.lower())).orderBy("path").limit(max(10, 3 * limit))
+    around = F.broadcast(found.select(F.col("path").alias("p"), F.col("base").alias("b"), F.col("namespace").alias("ns")))
+    holds = (F.col("path") != F.col("p")) & (F.col("base").contains(F.col("b")) | F.col("b").contains(F.col("base")))
+    tests = files.where("test").join(around, holds, "left_semi").select("path").distinct().orderBy("path").limit(limit)
+    peers = files.where("namespace != ''").join(around, F.col("namespace") == F.col("ns"), "left_semi")
+    peers = peers.join(around, F.col("path") == F.col("p"), "left_anti").select("path").distinct().orderBy("path").limit(limit)
+    primary = found.select("path").orderBy("path").limit(limit)
+    named = lambda df, name: df.select(F.lit(name).alias("section"), "path")
+    return named(primary, "primary").union(named(tests, "likely_tests")).union(named(peers, "same_namespace"))
