@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrymap.operators import resolve
+
 K1, B = 1.2, 0.75
 BUCKETS = 256
 # Weights of the channels and the constant of reciprocal rank fusion.
 RRF_K, RRF_WEIGHTS = 60, {"structural": 1.0, "lexical": 1.0, "semantic": 0.5}
-STOP_WORDS = ["the", "and", "der", "die", "das", "und", "los", "que", "les", "des", "return", "function", "class", "this"]
+#: Own short list, English and German, and words that mean nothing in code; lower case.
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was",
+    "what", "where", "which", "with", "aber", "als", "auch", "auf", "das", "dem", "den", "der", "des", "die", "ein", "eine", "für", "im", "ist",
+    "mit", "nicht", "oder", "und", "von", "welche", "wie", "wo", "zu", "class", "file", "function", "method", "return",
+]
 
 
 def terms(content: Column, least: int = 2) -> Column:
@@ -17,6 +26,26 @@ def terms(content: Column, least: int = 2) -> Column:
     return F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}_:\\]+"), lambda x: F.length(x) >= least)
 
 
+def search_text() -> Column:
+    """What a search looks at: name, signature and content of a chunk."""
+    return F.concat_ws(" ", "symbol_name", "signature", "content")
+
+
+def query_terms(query: str) -> list[str]:
+    """The different words of a query that are no stop words, in order. None of a query of only stop words: it finds nothing."""
+    found = [w for w in re.split(r"[^\w:\\]+", query.lower()) if len(w) >= 2 and w not in STOP_WORDS]
+    return list(dict.fromkeys(found))
+
+
+# Fixed value: what of a query may name a symbol.
+CANDIDATE = r"[\p{L}_\\][\p{L}\p{N}_\\]*(?:::[\p{L}_][\p{L}\p{N}_]*)?"
+
+
+def is_structural(term: Column) -> Column:
+    """Whether a word has the shape of an identifier: qualified, camel case, short and capital, capitalised, or with an underscore."""
+    shape = term.rlike(r"\p{Ll}\p{Lu}") | term.rlike(r"^[\p{Lu}\p{N}_]{2,4}$") | term.rlike(r"^\p{Lu}") | term.contains("_")
+    return ~F.lower(term).isin(STOP_WORDS) & (term.contains("::") | term.contains("\\") | ((F.length(term) >= 2) & shape))
+
 
 def _is(term: str):
     return lambda x: x == F.lit(term)
@@ -25,7 +54,7 @@ def _is(term: str):
 def bm25(chunks: DataFrame, query_terms: list[str], every: bool) -> DataFrame:
     """(chunk_id, matched, score) by Okapi BM25. Term counts are taken inside each row, so only rows that hold a query term
     and one row of corpus statistics are shuffled."""
-    words = terms(F.col("content"))
+    words = terms(search_text())
     tf = [F.size(F.filter("ws", _is(q))).alias(f"tf{i}") for i, q in enumerate(query_terms)]
     rows = chunks.select("chunk_id", words.alias("ws")).select("chunk_id", F.size("ws").alias("len"), *tf)
     aggs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query_terms))]
@@ -41,6 +70,51 @@ def bm25(chunks: DataFrame, query_terms: list[str], every: bool) -> DataFrame:
     return rows.select("chunk_id", matched.alias("matched"), F.round(score, 6).alias("score")).where(F.col("matched") >= need)
 
 
+def lexical(chunks: DataFrame, words: list[str]) -> DataFrame:
+    """(chunk_id, matched, score): chunks with every word, or, where there are none, those with any."""
+    if not words:
+        return chunks.select("chunk_id", F.lit(0).alias("matched"), F.lit(0.0).alias("score")).limit(0)
+    some = bm25(chunks, words, False)
+    return _all_or_any(some, len(words))
+
+
+def _all_or_any(some: DataFrame, n: int) -> DataFrame:
+    best = F.broadcast(some.agg((F.max("matched") == n).alias("_all")))  # one row
+    return some.crossJoin(best).where(~F.col("_all") | (F.col("matched") == n)).drop("_all")
+
+
+TERM_BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def write_index(chunks: DataFrame, folder: str) -> None:
+    """Postings (term, chunk_id, tf, len) by bucket of the term, in order of the term, and one row of statistics. A search reads the
+    buckets of its words, and of these only the row groups that may hold them."""
+    rows = chunks.select("chunk_id", terms(search_text()).alias("ws")).select("chunk_id", F.size("ws").alias("len"), F.explode_outer("ws").alias("term"))
+    postings = rows.where("term is not null").groupBy("term", "chunk_id", "len").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", _bucket(F.col("term")))
+    # a bucket is cut into parts by chunk, so that no word makes one large task
+    parts = postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    parts.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    stats = chunks.select(F.size(terms(search_text())).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def search_index(spark: SparkSession, folder: str, words: list[str]) -> DataFrame:
+    """(chunk_id, matched, score) as `lexical` gives, from the stored postings."""
+    buckets = spark.createDataFrame([(w,) for w in words], "term string").select(_bucket(F.col("term")).alias("b")).distinct()
+    buckets = [r.b for r in buckets.collect()]  # of the words of the query
+    hits = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each word of the query
+    rows = hits.join(df, "term").crossJoin(F.broadcast(spark.read.parquet(f"{folder}/stats")))  # one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    some = rows.groupBy("chunk_id").agg(F.count("*").cast("int").alias("matched"), F.round(F.sum(score), 6).alias("score"))
+    return _all_or_any(some, len(words))
+
+
 def idf(chunks: DataFrame) -> DataFrame:
     """(term, df, idf) with idf = ln((n + 1) / (df + 1)) + 1; n comes from the same pass as a row for each chunk would cost a shuffle."""
     n = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
@@ -48,20 +122,33 @@ def idf(chunks: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
-def hashed_embedding(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, bucket, value): signed sums of idf by hash bucket, scaled to length one; only buckets that are not 0."""
+def weighted_terms(known: DataFrame) -> DataFrame:
+    """(term, w, bucket) of (term, idf): each distinct term is hashed once."""
+    known = known.withColumn("hex", F.sha2("term", 256))
+    sign = F.when(F.conv(F.substring("hex", 9, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
+    bucket = F.conv(F.substring("hex", 1, 8), 16, 10).cast("long") % BUCKETS
+    return known.select("term", (sign * F.col("idf")).alias("w"), bucket.alias("bucket"))
+
+
+def hashed_embedding(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk_id, bucket, v): signed sums of idf by hash bucket, with the idf of (term, idf); not yet scaled."""
     words = chunks.select("chunk_id", F.explode(terms(F.col("content"), 3)).alias("term"))
     tf = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    # each distinct term is hashed once
-    known = idf(chunks).withColumn("hex", F.sha2("term", 256))
-    known = known.select(
-        "term", "idf", (F.conv(F.substring("hex", 1, 8), 16, 10).cast("long") % BUCKETS).alias("bucket"),
-        F.when(F.conv(F.substring("hex", 9, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"),
-    )
-    sums = tf.join(known, "term").groupBy("chunk_id", "bucket").agg(F.sum(F.col("tf") * F.col("sign") * F.col("idf")).alias("v"))
-    norm = sums.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    out = sums.join(norm, "chunk_id").where("norm > 0")
-    return out.select("chunk_id", "bucket", F.round(F.col("v") / F.col("norm"), 4).alias("value")).where("value != 0")
+    sums = tf.join(weighted_terms(known), "term").groupBy("chunk_id", "bucket")
+    return sums.agg(F.sum(F.col("tf") * F.col("w")).alias("v"))
+
+
+def semantic(chunks: DataFrame, known: DataFrame, words: list[str], k: int, cutoff: float | None = 1.0) -> DataFrame:
+    """(chunk_id, distance) of the k chunks whose embeddings are nearest to that of the words; the cutoff applies after k."""
+    query = known.where(F.col("term").isin(words))
+    query = weighted_terms(query).groupBy("bucket").agg(F.sum("w").alias("q"))  # a row for each word at most
+    norm = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+    rows = hashed_embedding(chunks, known).join(F.broadcast(query), "bucket", "left")
+    by = rows.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum(F.col("v") * F.coalesce("q", F.lit(0.0))).alias("dot"))
+    by = by.crossJoin(F.broadcast(norm)).where("norm > 0 and q_norm > 0")  # one row
+    apart = F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot") / (F.col("norm") * F.col("q_norm")))), 4)
+    top = by.select("chunk_id", apart.alias("distance")).orderBy("distance", "chunk_id").limit(k)
+    return top if cutoff is None else top.where(F.col("distance") <= cutoff)
 
 
 def distance(a: str, b: str) -> Column:
@@ -93,6 +180,41 @@ def rrf(channels: dict[str, DataFrame], limit: int) -> DataFrame:
     return out.orderBy(F.desc("score"), "best", "chunk_id").limit(limit)
 
 
+MOST_FILES = 3
+
+
+def structural(chunks: DataFrame, terms_: list[str], limit: int) -> DataFrame:
+    """(chunk_id, rank) of chunks (chunk_id, symbol_id, symbol_name, file) that a term identifies, in the order of terms and chunks;
+    terms that more than three files match are words, not symbols."""
+    found = None
+    for i, term in enumerate(terms_):
+        hit = resolve.identifies(F.lit(term), F.col("symbol_id"), F.col("symbol_name"))
+        rows = chunks.where(hit).select("chunk_id", "ord", "file", F.lit(i).alias("term"))
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return chunks.select("chunk_id", F.lit(0).alias("rank")).limit(0)
+    many = found.groupBy("term").agg(F.countDistinct("file").alias("files")).where(F.col("files") > MOST_FILES)
+    found = found.join(F.broadcast(many), "term", "left_anti")  # a row for each term at most
+    top = found.groupBy("chunk_id").agg(F.min(F.struct("term", "ord")).alias("at")).orderBy("at", "chunk_id").limit(limit)
+    return top.select("chunk_id", F.row_number().over(Window.orderBy("at", "chunk_id")).alias("rank"))
+
+
+def benchmark(cases: DataFrame, channels: dict[str, DataFrame]) -> DataFrame:
+    """(category, channel, cases, recall5, mrr10) of cases (category, expected) against ranked lists (expected, rank) of each
+    channel, by category and over all. A case that is not found has no rank and counts as 0."""
+    rows = None
+    for name, hits in channels.items():
+        first = hits.groupBy("expected").agg(F.min("rank").alias("rank"))
+        some = cases.join(first, "expected", "left").select("category", F.lit(name).alias("channel"), "rank")
+        rows = some if rows is None else rows.unionByName(some)
+    rank = F.col("rank")
+    out = rows.groupingSets([["category", "channel"], ["channel"]], "category", "channel").agg(
+        F.count("*").alias("cases"), F.round(F.avg(F.when(rank <= 5, 1.0).otherwise(0.0)), 4).alias("recall5"),
+        F.round(F.avg(F.when(rank <= 10, 1 / rank).otherwise(0.0)), 4).alias("mrr10"),
+    )
+    return out.select(F.coalesce("category", F.lit("_all")).alias("category"), "channel", "cases", "recall5", "mrr10")
+
+
 def top_ranks(scored: DataFrame, limit: int) -> DataFrame:
     """(chunk_id, rank) of the best scores; only they are put in order."""
     top = scored.orderBy(F.desc("score"), "chunk_id").limit(limit)

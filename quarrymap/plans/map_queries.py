@@ -301,7 +301,7 @@ def merged_symbol_hits(spark, sf_dir):
 #: Parts as source files, each third with a test.
 CODE_SQL = """code AS (SELECT 'src/' || p_brand || '/' || replace(p_name, ' ', '') || p_partkey % 7 || '.php' AS path, p_brand AS namespace FROM part UNION ALL SELECT 'tests/' || replace(p_name, ' ', '') || p_partkey % 7 || 'Test.php', '' FROM part WHERE p_partkey % 3 = 0),
   bases AS (SELECT DISTINCT path, namespace, regexp_replace(regexp_replace(string_split(path, '/')[-1], '[.][^.]*$', ''), '(?i)(test|cest)$', '') AS base, starts_with(path, 'tests/') AS test FROM code)"""
-RELATED = "part1"
+RELATED = "ring"
 
 
 def _code(spark, sf_dir):

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymap.functions import text as tx
 from quarrymap.operators import retrieval as r
 from quarrymap.plans.registry import query
 from quarrymap.sources import tables as t
+from quarrymap.storage import new_folder, stored
 
 SEGMENT = 3
 TERMS = ["license", "the", "public"]
 #: Terms by the same rule as the operator's, from a list of lower-cased runs.
 TERMS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_:\\\\]+'), lambda x: length(x) >= 2)"
+SEARCH_SQL = TERMS_SQL.replace("lower(text)", "lower(source || ' ' || lang || ' ' || text)")
 
 
 @query("chunk_segments", f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), s AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1, {SEGMENT})) AS a FROM d)
@@ -41,12 +44,15 @@ def prune_missing(spark, sf_dir):
     return gone.groupBy(F.col("namespace").alias("lang")).agg(F.count("*").alias("pruned"), F.countDistinct("directory").alias("sources"))
 
 
-@query("structural_terms", """WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS term FROM documents)
-  SELECT term, count(*) AS chunks FROM w WHERE (regexp_matches(term, '[a-z][A-Z]') OR contains(term, '_')) AND lower(term) NOT IN ('the', 'and') GROUP BY 1""")
+_STOP_SQL = ", ".join(f"'{w}'" for w in r.STOP_WORDS)
+
+
+@query("structural_terms", rf"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{{L}}_\\][\p{{L}}\p{{N}}_\\]*(?:::[\p{{L}}_][\p{{L}}\p{{N}}_]*)?'))) AS term FROM documents)
+  SELECT term, count(*) AS chunks FROM w WHERE lower(term) NOT IN ({_STOP_SQL}) AND (contains(term, '::') OR contains(term, '\') OR (length(term) >= 2 AND
+  (regexp_matches(term, '\p{{Ll}}\p{{Lu}}') OR regexp_matches(term, '^[\p{{Lu}}\p{{N}}_]{{2,4}}$') OR regexp_matches(term, '^\p{{Lu}}') OR contains(term, '_')))) GROUP BY 1""")
 def structural_terms(spark, sf_dir):
-    w = t.chunks(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("term"))
-    shape = F.col("term").rlike("[a-z][A-Z]") | F.col("term").contains("_")
-    return w.where(shape & ~F.lower("term").isin("the", "and")).groupBy("term").agg(F.count("*").alias("chunks"))
+    w = t.chunks(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r.CANDIDATE), F.lit(0)))).alias("term"))
+    return w.where(r.is_structural(F.col("term"))).groupBy("term").agg(F.count("*").alias("chunks"))
 
 
 def _bm25_sql(every: bool) -> str:
@@ -55,7 +61,7 @@ def _bm25_sql(every: bool) -> str:
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(n))
     score = " + ".join(f"greatest(ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 1e-6) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))" for i in range(n))
     matched = " + ".join(f"(tf{i} > 0)::INT" for i in range(n))
-    return f"""WITH w AS (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, {TERMS_SQL} AS ws FROM documents), c AS (SELECT chunk_id, len(ws) AS len, {tf} FROM w),
+    return f"""WITH w AS (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, {SEARCH_SQL} AS ws FROM documents), c AS (SELECT chunk_id, len(ws) AS len, {tf} FROM w),
       s AS (SELECT count(*) AS n, avg(len) AS av, {df} FROM c), scored AS (SELECT chunk_id, {matched} AS matched, {score} AS score FROM c, s)
       SELECT chunk_id, matched, round(score, 4) AS score FROM scored WHERE matched >= {n if every else 1}"""
 
@@ -85,13 +91,8 @@ def idf_table(spark, sf_dir):
 def hashed_embedding(spark, sf_dir):
     """A summary of each chunk's vector: its buckets and the sum of absolute values."""
     chunks = t.chunks(spark, sf_dir)
-    words = chunks.select("chunk_id", F.explode(r.terms(F.col("content"), 3)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    known = r.idf(chunks).withColumn("hex", F.sha2("term", 256))
-    bucket = F.conv(F.substring("hex", 1, 8), 16, 10).cast("long") % r.BUCKETS
-    sign = F.when(F.conv(F.substring("hex", 9, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = words.join(known.select("term", (sign * F.col("idf")).alias("w"), bucket.alias("bucket")), "term")
-    sums = sums.groupBy("chunk_id", "bucket").agg(F.sum(F.col("tf") * F.col("w")).alias("v"))
-    out = sums.groupBy("chunk_id").agg(F.count_if(F.abs("v") > 1e-9).alias("buckets"), F.sum(F.abs("v")).alias("a"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    out = r.hashed_embedding(chunks, r.idf(chunks)).groupBy("chunk_id")
+    out = out.agg(F.count_if(F.abs("v") > 1e-9).alias("buckets"), F.sum(F.abs("v")).alias("a"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return out.where("norm > 0").select("chunk_id", "buckets", F.round(F.col("a") / F.col("norm"), 2).alias("mass"))
 
 
@@ -110,42 +111,111 @@ def knn_cutoff(spark, sf_dir):
     return r.knn(t.table(spark, sf_dir, "embeddings"), 0, 60, 1.0)
 
 
+QUERY, LIMIT = "the licence of doc:7 and the public license", 10
+WORDS = r.query_terms(QUERY)
+#: Of the reference 1.0; these chunks are whole documents, far from any query, so that a wider one is needed to see any.
+CUTOFF = 1.4
+_WORDS_SQL = ", ".join(f"'{w}'" for w in WORDS)
+
+
+def _lexical_sql() -> str:
+    tf = ", ".join(f"len(list_filter(ws, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(WORDS))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(WORDS)))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 1e-6) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))" for i in range(len(WORDS)))
+    matched = " + ".join(f"(tf{i} > 0)::INT" for i in range(len(WORDS)))
+    return f"""lw AS (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, {SEARCH_SQL} AS ws FROM documents), lc AS (SELECT chunk_id, len(ws) AS len, {tf} FROM lw),
+      ls AS (SELECT count(*) AS n, avg(len) AS av, {df} FROM lc), lx AS (SELECT chunk_id, {matched} AS matched, round({score}, 4) AS score FROM lc, ls),
+      lex AS (SELECT * FROM lx WHERE matched >= 1 AND (matched = {len(WORDS)} OR (SELECT max(matched) FROM lx) < {len(WORDS)}))"""
+
+
+def _scored(spark, sf_dir):
+    return r.lexical(t.chunks(spark, sf_dir), WORDS).withColumn("score", F.round("score", 4))
+
+
+@query("lexical_search", f"WITH {_lexical_sql()} SELECT chunk_id, matched, score FROM lex")
+def lexical_search(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+@query("lexical_postings", f"WITH {_lexical_sql()} SELECT chunk_id, matched, score FROM lex")
+def lexical_postings(spark, sf_dir):
+    """The same from stored postings."""
+    folder = new_folder(spark, "index")
+    r.write_index(t.chunks(spark, sf_dir), folder)
+    return r.search_index(spark, folder, WORDS).withColumn("score", F.round("score", 4))
+
+
+@query("stop_word_terms", f"""WITH w AS (SELECT DISTINCT unnest({TERMS_SQL}) AS term FROM documents) SELECT count(*) AS terms, count(*) FILTER (term IN ({_STOP_SQL})) AS stop_words FROM w""")
+def stop_word_terms(spark, sf_dir):
+    w = t.chunks(spark, sf_dir).select(F.explode(r.terms(F.col("content"))).alias("term")).distinct()
+    return w.agg(F.count("*").alias("terms"), F.count_if(F.col("term").isin(r.STOP_WORDS)).alias("stop_words"))
+
+
+SEMANTIC_SQL = f"""{IDF_SQL}, h AS (SELECT term, idf, sha256(term) AS x FROM known), b AS (SELECT term, ('0x' || x[1:8])::BIGINT % 256 AS bucket, CASE WHEN ('0x' || x[9:10])::BIGINT % 2 = 0 THEN idf ELSE -idf END AS w FROM h),
+  v AS (SELECT doc_id, bucket, sum(w) AS v FROM t JOIN b USING (term) GROUP BY 1, 2), q AS (SELECT bucket, sum(w) AS q FROM b WHERE term IN ({_WORDS_SQL}) GROUP BY 1),
+  d AS (SELECT doc_id, sqrt(sum(v * v)) AS norm, sum(v * coalesce(q, 0)) AS dot FROM v LEFT JOIN q USING (bucket) GROUP BY 1),
+  near AS (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, round(sqrt(greatest(0, 2 - 2 * dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)))), 4) AS distance FROM d WHERE norm > 0 ORDER BY 2, 1 LIMIT {3 * LIMIT})"""
+
+
+def _semantic(spark, sf_dir):
+    chunks = t.chunks(spark, sf_dir)
+    return r.semantic(chunks, stored(r.idf(chunks), "idf"), WORDS, 3 * LIMIT, CUTOFF)
+
+
+@query("semantic_search", f"WITH {SEMANTIC_SQL} SELECT chunk_id, distance FROM near WHERE distance <= {CUTOFF}")
+def semantic_search(spark, sf_dir):
+    return _semantic(spark, sf_dir)
+
+
 def _structural(spark, sf_dir):
-    """Chunks identified by the symbol name src1, first ids first."""
-    c = t.chunks(spark, sf_dir).where(F.col("symbol_name") == "src1")
-    return r.top_ranks(c.select("chunk_id", (-F.col("doc_id")).alias("score")), 30)
+    """The documents that the query names, by symbol id; `src1`, which is many files, names none."""
+    c = t.chunks(spark, sf_dir).withColumn("file", F.col("symbol_id")).withColumn("ord", F.col("doc_id"))
+    return r.structural(c, ["doc:7", "src1", "doc:12", "DOC:3"], LIMIT)
 
 
-def _lexical(spark, sf_dir):
-    return r.top_ranks(r.bm25(t.chunks(spark, sf_dir), TERMS, False).withColumn("score", F.round("score", 4)), 30)
+STRUCTURAL_SQL = f"""structural AS (SELECT chunk_id, row_number() OVER (ORDER BY place) AS rank FROM (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, CASE doc_id WHEN 7 THEN 0 WHEN 12 THEN 2 ELSE 3 END AS place FROM documents WHERE doc_id IN (7, 12, 3)) LIMIT {LIMIT})"""
 
 
-HYBRID_SQL = f"""{_bm25_sql(False).replace("SELECT chunk_id, matched, round", "SELECT chunk_id, round")}"""
-FUSED_SQL = f"""WITH lex AS ({HYBRID_SQL}), l AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM lex ORDER BY score DESC, chunk_id LIMIT 30),
-  s AS (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 30),
-  a AS (SELECT chunk_id, rank, 1.0::DOUBLE AS w, 'lexical' AS c FROM l UNION ALL SELECT chunk_id, rank, 1.0::DOUBLE, 'structural' FROM s)
-  SELECT chunk_id, round(sum(w / (60 + rank)), 6) AS score, min(rank) AS best, string_agg(DISTINCT c, '+' ORDER BY c) AS reasons FROM a GROUP BY 1 ORDER BY 2 DESC, 3, 1 LIMIT 20"""
+@query("structural_search", f"WITH {STRUCTURAL_SQL} SELECT * FROM structural")
+def structural_search(spark, sf_dir):
+    return _structural(spark, sf_dir)
 
 
-@query("hybrid_rrf", FUSED_SQL)
-def hybrid_rrf(spark, sf_dir):
-    return r.rrf({"structural": _structural(spark, sf_dir), "lexical": _lexical(spark, sf_dir)}, 20)
+CHANNELS_SQL = f"""WITH {_lexical_sql()}, l AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM lex ORDER BY score DESC, chunk_id LIMIT {3 * LIMIT}), {STRUCTURAL_SQL}, {SEMANTIC_SQL},
+  s AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM near WHERE distance <= {CUTOFF}),
+  a AS (SELECT chunk_id, rank, 1.0::DOUBLE AS w, 'lexical' AS c FROM l UNION ALL SELECT chunk_id, rank, 1.0::DOUBLE, 'structural' FROM structural UNION ALL SELECT chunk_id, rank, 0.5::DOUBLE, 'semantic' FROM s),
+  fused AS (SELECT chunk_id, round(sum(w / (60 + rank)), 6) AS score, min(rank) AS best, string_agg(DISTINCT c, '+' ORDER BY c) AS reasons FROM a GROUP BY 1 ORDER BY 2 DESC, 3, 1 LIMIT {2 * LIMIT})"""
 
 
-@query("search_benchmark", f"""WITH lex AS ({HYBRID_SQL}), l AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM lex ORDER BY score DESC, chunk_id LIMIT 200),
-  h AS (SELECT lang AS category, source, rank FROM l JOIN documents ON chunk_id = 'doc:' || doc_id || '#body:v1'), f AS (SELECT category, source, min(rank) AS rank FROM h GROUP BY 1, 2)
-  SELECT coalesce(category, '_all') AS category, count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 4)::DOUBLE AS recall5, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6)::DOUBLE AS mrr10
-  FROM f GROUP BY GROUPING SETS ((category), ())""")
+def _channels(spark, sf_dir) -> dict:
+    near = stored(_semantic(spark, sf_dir), "semantic")
+    ranked = near.select("chunk_id", F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("rank"))  # 3 * LIMIT rows at most
+    lists = {"structural": _structural(spark, sf_dir), "lexical": r.top_ranks(_scored(spark, sf_dir), 3 * LIMIT), "semantic": ranked}
+    return {name: stored(df, name) for name, df in lists.items()}
+
+
+@query("hybrid_rrf", f"{CHANNELS_SQL} SELECT *, CASE WHEN (SELECT count(*) FROM s) = 0 THEN 'semantic_channel_unavailable' END AS degraded FROM fused")
+def hybrid_rrf(spark, sf_dir):
+    """Three channels; where the semantic one has nothing to say the rows tell so."""
+    channels = _channels(spark, sf_dir)
+    degraded = "semantic_channel_unavailable" if channels["semantic"].isEmpty() else None
+    return r.rrf(channels, 2 * LIMIT).withColumn("degraded", F.lit(degraded).cast("string"))
+
+
+@query("search_benchmark", f"""{CHANNELS_SQL}, f AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, best, chunk_id) AS rank FROM fused),
+  lists AS (SELECT 'lexical' AS channel, chunk_id, rank FROM l UNION ALL SELECT 'structural', chunk_id, rank FROM structural UNION ALL SELECT 'semantic', chunk_id, rank FROM s UNION ALL SELECT 'hybrid', chunk_id, rank FROM f),
+  hits AS (SELECT channel, lang || '/' || source AS expected, min(rank) AS rank FROM lists JOIN documents ON chunk_id = 'doc:' || doc_id || '#body:v1' GROUP BY 1, 2),
+  cases AS (SELECT DISTINCT lang AS category, lang || '/' || source AS expected FROM documents), c AS (SELECT category, channel, rank FROM cases CROSS JOIN (SELECT unnest(['lexical', 'structural', 'semantic', 'hybrid']) AS channel) LEFT JOIN hits USING (channel, expected))
+  SELECT coalesce(category, '_all') AS category, channel, count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 4)::DOUBLE AS recall5, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 4)::DOUBLE AS mrr10
+  FROM c GROUP BY GROUPING SETS ((category, channel), (channel))""")
 def search_benchmark(spark, sf_dir):
-    """Each language and source is a case: the rank of its first chunk in one result list."""
-    lex = r.top_ranks(r.bm25(t.chunks(spark, sf_dir), TERMS, False).withColumn("score", F.round("score", 4)), 200)
-    c = t.chunks(spark, sf_dir).select("chunk_id", F.col("signature").alias("category"), F.col("symbol_name").alias("source"))
-    first = c.join(lex, "chunk_id").groupBy("category", "source").agg(F.min("rank").alias("rank"))
-    out = first.rollup("category").agg(
-        F.count("*").alias("cases"), F.round(F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)), 4).alias("recall5"),
-        F.round(F.avg(F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr10"),
-    )
-    return out.select(F.coalesce("category", F.lit("_all")).alias("category"), "cases", "recall5", "mrr10")
+    """Each language and source is a case that expects one of its chunks, in four result lists."""
+    c = t.chunks(spark, sf_dir).select("chunk_id", F.col("signature").alias("category"), F.concat("signature", F.lit("/"), "symbol_name").alias("expected"))
+    channels = _channels(spark, sf_dir)
+    fused = r.rrf(channels, 2 * LIMIT)
+    channels["hybrid"] = fused.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("score"), "best", "chunk_id")).alias("rank"))
+    hits = {name: c.join(F.broadcast(df), "chunk_id").select("expected", "rank") for name, df in channels.items()}  # lists of a few rows
+    return r.benchmark(c.select("category", "expected").distinct(), hits)
 
 
 @query("embedding_cache", """SELECT sha256(text) AS content_sha256, bool_or(doc_id % 2 = 0) AS cached, count(*) AS chunks FROM documents GROUP BY 1""")
