@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymap.functions.text import nul_hash
+
 
 def cochange(commits: DataFrame, most_files: int, at_least: int) -> DataFrame:
     """Pairs of files of (commit_ord, file) that change together, left < right. Commits of more than most_files files are
@@ -23,15 +25,51 @@ def cochange(commits: DataFrame, most_files: int, at_least: int) -> DataFrame:
     return out.select("left", "right", "together", F.round(smaller, 6).alias("smaller_ratio"), F.round(jaccard, 6).alias("jaccard"), "revisions")
 
 
-def diff(before: DataFrame, after: DataFrame, key: list[str], value: str, kinds: tuple[str, str, str]) -> DataFrame:
-    """(kind, id, old, new) of keys that were added, removed or whose value changed."""
-    a = before.select(*key, F.col(value).cast("string").alias("old"), F.lit(1).alias("_a"))
-    b = after.select(*key, F.col(value).cast("string").alias("new"), F.lit(1).alias("_b"))
-    both = a.join(b, key, "full_outer")
-    kind = F.when(F.col("_a").isNull(), kinds[0]).when(F.col("_b").isNull(), kinds[1]).when(~F.col("old").eqNullSafe(F.col("new")), kinds[2])
+def diff(rows: DataFrame, key: list[str], value: str, late: str, kinds: tuple[str, str, str]) -> DataFrame:
+    """(kind, id, old, new) of keys that were added, removed or whose value changed between the rows that are not late and those
+    that are; each key at most once on either side. One grouped pass, no join."""
+    v = F.col(value).cast("string")
+    both = rows.groupBy(*key).agg(
+        F.max(F.when(~F.col(late), v)).alias("old"), F.max(F.when(F.col(late), v)).alias("new"),
+        F.bool_or(~F.col(late)).alias("before"), F.bool_or(late).alias("after"),
+    )
+    kind = F.when(~F.col("before"), kinds[0]).when(~F.col("after"), kinds[1]).when(~F.col("old").eqNullSafe(F.col("new")), kinds[2])
     return both.withColumn("kind", kind).where("kind is not null").select("kind", F.concat_ws(">", *key).alias("id"), "old", "new")
 
 
+def symbol_events(rows: DataFrame) -> DataFrame:
+    """(kind, id, old, new) of symbols (id, path, signature, late): added, removed, moved to another path, or of another signature;
+    a symbol may do both of the last two."""
+    at = lambda c, side: F.max(F.when(side, F.col(c)))
+    both = rows.groupBy("id").agg(
+        at("path", ~F.col("late")).alias("p0"), at("path", F.col("late")).alias("p1"), at("signature", ~F.col("late")).alias("s0"),
+        at("signature", F.col("late")).alias("s1"), F.bool_or(~F.col("late")).alias("before"), F.bool_or("late").alias("after"),
+    )
+    event = lambda kind, old, new: F.struct(F.lit(kind).alias("kind"), old.cast("string").alias("old"), new.cast("string").alias("new"))
+    stay = F.col("before") & F.col("after")
+    found = F.array(
+        F.when(~F.col("before"), event("symbol_added", F.lit(None), F.col("s1"))), F.when(~F.col("after"), event("symbol_removed", F.col("s0"), F.lit(None))),
+        F.when(stay & ~F.col("p0").eqNullSafe(F.col("p1")), event("symbol_moved", F.col("p0"), F.col("p1"))),
+        F.when(stay & ~F.col("s0").eqNullSafe(F.col("s1")), event("symbol_signature_changed", F.col("s0"), F.col("s1"))),
+    )
+    return both.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e")).select("e.kind", "id", "e.old", "e.new")
+
+
+def semantic_relation_id(*parts) -> Column:
+    """An id of what a relation says (source, kind, targets, resolution, receiver, result), wherever it stands."""
+    return F.concat(F.lit("relation-semantic:"), nul_hash(*parts))
+
+
+def with_static(pairs: DataFrame, static: DataFrame) -> DataFrame:
+    """pairs with the semantic and path weights of static (left, right, semantic, path), 0 where there are none."""
+    return pairs.join(static, ["left", "right"], "left").fillna(0.0, ["semantic", "path"])
+
+
+def hidden_coupling(pairs: DataFrame, ratio: float = 0.6) -> DataFrame:
+    """Pairs that change together without a semantic tie, by the share of the side that changes less."""
+    return pairs.where((F.col("semantic") <= 1e-6) & (F.col("smaller_ratio") >= ratio))
+
+
 def history(observations: DataFrame, metrics: list[str]) -> DataFrame:
     """Of (snapshot_id, entity, signature, metrics...): status, number of observations, variants and the change of each
     metric from first to last."""
