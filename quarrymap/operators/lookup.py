@@ -23,6 +23,31 @@ def fuzzy(paths: DataFrame, term: str) -> DataFrame:
     return out.where("score > 0").select("page_id", "path", "score", match.alias("match"))
 
 
+# What a match counts by where it is, as it stands and without punctuation.
+BASES = {"name": (10_000, 7_000), "fqn": (9_500, 6_500), "method": (9_000, 6_000), "path": (8_000, 5_000)}
+
+
+def fuzzy_files(candidates: DataFrame, term: str) -> DataFrame:
+    """(path, score, match) of candidates (path, part, value), part one of BASES: the best score over all that a file has, and whether
+    the term was found as it stands (exact), without punctuation (normalized), or some of both (mixed)."""
+    plain = "".join(c for c in term.lower() if c.isascii() and c.isalnum())
+    literal = normal = F.lit(0)
+    for part, (a, b) in BASES.items():
+        is_part = F.col("part") == part
+        literal = F.when(is_part, tx.match_score(F.lower("value"), term.lower(), a)).otherwise(literal)
+        normal = F.when(is_part, tx.match_score(tx.normalized(F.col("value")), plain, b)).otherwise(normal)
+    rows = candidates.select("path", literal.alias("literal"), (normal if plain else F.lit(0)).alias("normal"))
+    by = rows.groupBy("path").agg(F.max(F.greatest("literal", "normal")).alias("score"), F.bool_or(F.col("literal") > 0).alias("l"), F.bool_or((F.col("literal") == 0) & (F.col("normal") > 0)).alias("n"))
+    match = F.when(F.col("l") & F.col("n"), "mixed").when(F.col("l"), "exact").otherwise("normalized")
+    return by.where("score > 0").select("path", F.col("score").cast("long").alias("score"), match.alias("match")).orderBy(F.desc("score"), "path")
+
+
+def mention_files(files: DataFrame, term: str, skipped: DataFrame, limit: int) -> DataFrame:
+    """The first files (path, ord, content, symbols) whose content has the term as it stands; not those without symbols or skipped."""
+    some = files.where((F.col("symbols") > 0) & F.col("content").contains(term)).join(skipped.select("path"), "path", "left_anti")
+    return some.orderBy("ord").limit(limit).select("path", "ord")
+
+
 def stale(files: DataFrame, current: DataFrame) -> DataFrame:
     out = files.select("path", "sha256").join(current, "path", "left").where("current is null or current != sha256")
     return out.select("path", F.when(F.col("current").isNull(), "missing").otherwise("hash").alias("reason"))

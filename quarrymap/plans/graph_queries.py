@@ -146,17 +146,30 @@ def _impact(spark, sf_dir):
     return graph.impact(t.edges(spark, sf_dir), TARGET, DEPTH)
 
 
-@query("impact_depth3", f"{IMPACT_SQL} SELECT node, depth, uncertain, kinds, sha256(via) AS via_sha256 FROM impacts")
+@query("impact_depth3", f"""{IMPACT_SQL}, rels AS (SELECT source_id, target_id, kind, resolution IN {UNCERTAIN_SQL} AS tie, count(*) AS relations FROM edges WHERE kind IN {DEPENDENCIES_SQL} GROUP BY 1, 2, 3, 4),
+  ev AS (SELECT node, sum(relations)::BIGINT AS evidence FROM (SELECT DISTINCT node, via, kind FROM steps) x JOIN rels ON source_id = node AND target_id = via AND rels.kind = x.kind GROUP BY 1)
+  SELECT node, depth, uncertain, kinds, sha256(via) AS via_sha256, evidence FROM impacts JOIN ev USING (node)""")
 def impact_depth3(spark, sf_dir):
-    return _impact(spark, sf_dir).select("node", "depth", "uncertain", "kinds", F.sha2("via", 256).alias("via_sha256"))
+    return _impact(spark, sf_dir).select("node", "depth", "uncertain", "kinds", F.sha2("via", 256).alias("via_sha256"), "evidence")
 
 
-@query("impact_by_region", f"""{IMPACT_SQL} SELECT split_part(file, '/', 2) AS region, count(*) AS impacted, count(*) FILTER (uncertain) AS uncertain, max(depth) AS max_depth
+MOST = 40
+
+
+@query("impact_capped", f"""{BASE}, live AS (SELECT source_id, target_id, min(rel_id) AS first FROM edges WHERE kind IN {DEPENDENCIES_SQL} AND source_id <> '{TARGET}' GROUP BY 1, 2),
+  n1 AS (SELECT source_id AS node FROM live WHERE target_id = '{TARGET}' GROUP BY 1 ORDER BY min(first), 1 LIMIT {MOST}),
+  x2 AS (SELECT source_id AS node, min(first) AS first FROM live JOIN n1 ON n1.node = target_id WHERE source_id NOT IN (SELECT node FROM n1) GROUP BY 1),
+  n2 AS (SELECT node FROM x2 ORDER BY first, node LIMIT {MOST} - (SELECT count(*) FROM n1))
+  SELECT node, 1 AS depth, (SELECT count(*) FROM x2) > (SELECT count(*) FROM n2) AS truncated FROM n1 UNION ALL SELECT node, 2, (SELECT count(*) FROM x2) > (SELECT count(*) FROM n2) FROM n2""")
+def impact_capped(spark, sf_dir):
+    return graph.impact(t.edges(spark, sf_dir), TARGET, 2, MOST).select("node", "depth", "truncated")
+
+
+@query("impact_by_region", f"""{IMPACT_SQL} SELECT CASE WHEN id LIKE 'supplier:%' AND file LIKE '%1' THEN 'unassigned' ELSE split_part(file, '/', 2) END AS region, count(*) AS impacted, count(*) FILTER (uncertain) AS uncertain, max(depth) AS max_depth
   FROM impacts JOIN nodes ON id = node GROUP BY 1""")
 def impact_by_region(spark, sf_dir):
-    nodes = t.nodes(spark, sf_dir).select(F.col("id").alias("node"), F.substring_index("file", "/", -1).alias("region"))
-    out = _impact(spark, sf_dir).join(nodes, "node").groupBy("region")
-    return out.agg(F.count("*").alias("impacted"), F.count_if("uncertain").alias("uncertain"), F.max("depth").alias("max_depth"))
+    nodes = t.nodes(spark, sf_dir).where(~(F.col("id").startswith("supplier:") & F.col("file").endswith("1")))
+    return graph.impact_by_region(_impact(spark, sf_dir), nodes.select(F.col("id").alias("node"), F.substring_index("file", "/", -1).alias("region")))
 
 
 REGIONS_SQL = "regions AS (SELECT DISTINCT file, split_part(file, '/', 1) AS region FROM nodes)"

@@ -38,8 +38,10 @@ def top_directories(spark, sf_dir):
 
 @query("largest_files", f"{FILES} SELECT path, len(string_split(text, chr(10))) AS lines FROM files JOIN documents USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 20")
 def largest_files(spark, sf_dir):
-    d = t.table(spark, sf_dir, "documents").select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("lines"))
-    return t.files(spark, sf_dir).join(d, "doc_id").orderBy(F.desc("lines"), "path").select("path", "lines").limit(20)
+    d = t.table(spark, sf_dir, "documents")
+    lines = (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("lines")
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/doc"), "doc_id", F.lit(".txt")).alias("path")
+    return d.select(path, lines).orderBy(F.desc("lines"), "path").limit(20)
 
 
 TERM = "docs"
@@ -120,23 +122,6 @@ def same_namespace(spark, sf_dir):
     return first.join(size, "namespace").where("n > 1").select("path", (F.col("n") - 1).alias("peers"))
 
 
-@query("likely_tests", f"""WITH {URLS_SQL}, p AS (SELECT path, string_split(lower(path), '/') AS parts FROM (SELECT DISTINCT path FROM urls)), n AS (SELECT path, regexp_replace(parts[-1], '\\.[a-z0-9]+$', '') AS base FROM p),
-  m AS (SELECT path, regexp_replace(base, '(test|cest)$', '') AS base FROM n WHERE base <> '' AND base <> 'test' AND base <> 'cest')
-  SELECT base, count(*) AS files, count(DISTINCT path) AS paths FROM m GROUP BY 1""")
-def likely_tests(spark, sf_dir):
-    """Files and tests that share a base name once the suffixes of tests are gone."""
-    p = _paths(spark, sf_dir).select("path").distinct()
-    base = F.regexp_replace(F.substring_index(F.lower("path"), "/", -1), r"\.[a-z0-9]+$", "")
-    m = p.withColumn("base", base).where("base not in ('', 'test', 'cest')").withColumn("base", F.regexp_replace("base", "(test|cest)$", ""))
-    return m.groupBy("base").agg(F.count("*").alias("files"), F.countDistinct("path").alias("paths"))
-
-
-@query("mentions", "SELECT doc_id FROM documents WHERE contains(text, 'license') OR contains(text, 'License') ORDER BY doc_id LIMIT 20")
-def mentions(spark, sf_dir):
-    d = t.table(spark, sf_dir, "documents")
-    return d.where(F.contains("text", F.lit("license")) | F.contains("text", F.lit("License"))).select("doc_id").orderBy("doc_id").limit(20)
-
-
 @query("refresh_stream")
 def refresh_stream(spark, sf_dir):
     from quarrymap.streaming import refresh

@@ -319,3 +319,40 @@ _PRIMARY_SQL = f"p AS (SELECT * FROM bases WHERE NOT test AND contains(lower(pat
   SELECT 'primary' AS section, path FROM (SELECT path FROM p ORDER BY path LIMIT 10) UNION ALL SELECT 'likely_tests', path FROM x UNION ALL SELECT 'same_namespace', path FROM y""")
 def related_files(spark, sf_dir):
     return lookup.related(_code(spark, sf_dir), RELATED, 10)
+
+
+_PARTS_SQL = """parts AS (SELECT path, 'path' AS part, path AS value FROM bases UNION ALL SELECT path, 'name', base FROM bases UNION ALL SELECT path, 'fqn', namespace || '::' || base FROM bases UNION ALL SELECT path, 'method', 'get_' || left(base, 4) FROM bases WHERE NOT test)"""
+
+
+def _score_sql(c: str, term: str, base: str) -> str:
+    return f"""CASE WHEN strpos({c}, '{term}') = 0 THEN 0 WHEN {c} = '{term}' THEN {base} + 1000 ELSE {base} + CASE WHEN strpos({c}, '{term}') = 1 THEN 600 ELSE 0 END - least(500, 10 * (strpos({c}, '{term}') - 1)) - least(99, greatest(0, length({c}) - length('{term}'))) END"""
+
+
+@query("fuzzy_symbols", f"""WITH {CODE_SQL}, {_PARTS_SQL}, b AS (SELECT path, lower(value) AS l, regexp_replace(lower(value), '[^a-z0-9]+', '', 'g') AS n, CASE part WHEN 'name' THEN 10000 WHEN 'fqn' THEN 9500 WHEN 'method' THEN 9000 ELSE 8000 END AS x FROM parts),
+  s AS (SELECT path, {_score_sql("l", "get_r", "x")} AS literal, {_score_sql("n", "getr", "(x - 3000)")} AS normal FROM b), g AS (SELECT path, max(greatest(literal, normal))::BIGINT AS score, bool_or(literal > 0) AS l, bool_or(literal = 0 AND normal > 0) AS n FROM s GROUP BY 1)
+  SELECT path, score, CASE WHEN l AND n THEN 'mixed' WHEN l THEN 'exact' ELSE 'normalized' END AS match FROM g WHERE score > 0 ORDER BY score DESC, path""")
+def fuzzy_symbols(spark, sf_dir):
+    f = _code(spark, sf_dir)
+    base = F.regexp_replace(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""), r"(?i)(test|cest)$", "")
+    f = f.withColumn("base", base)
+    part = lambda name, value: F.struct(F.lit(name).alias("part"), value.alias("value"))
+    method = F.when(~F.col("path").startswith("tests/"), part("method", F.concat(F.lit("get_"), F.substring("base", 1, 4))))
+    parts = F.array(part("path", F.col("path")), part("name", F.col("base")), part("fqn", F.concat("namespace", F.lit("::"), "base")), method)
+    rows = f.select("path", F.explode(parts).alias("p")).where("p is not null").select("path", "p.part", "p.value")
+    return lookup.fuzzy_files(rows, "get_r")
+
+
+@query("mention_files", f"""WITH {FILES_SQL} SELECT path, doc_id AS ord FROM files JOIN documents d USING (doc_id) WHERE contains(text, 'the') AND n_chars > 100 AND d.source <> 'src1' ORDER BY doc_id LIMIT 10""")
+def mention_files(spark, sf_dir):
+    f = t.files(spark, sf_dir).join(t.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", "source"), "doc_id")
+    f = f.select("path", F.col("doc_id").alias("ord"), F.col("text").alias("content"), (F.col("n_chars") > 100).cast("int").alias("symbols"), "source")
+    return lookup.mention_files(f, "the", f.where("source = 'src1'"), 10)
+
+
+@query("tests_by_name", f"""WITH {CODE_SQL} SELECT s.path, string_agg(DISTINCT c.path, ',' ORDER BY c.path) AS tests FROM bases s JOIN bases c ON c.test AND c.base = s.base WHERE NOT s.test AND s.base <> '' GROUP BY 1""")
+def tests_by_name(spark, sf_dir):
+    """Every source file with the tests of its base name."""
+    base = F.regexp_replace(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""), r"(?i)(test|cest)$", "")
+    f = _code(spark, sf_dir).withColumn("base", base).withColumn("test", tx.is_test_path("path"))
+    tests = f.where("test").groupBy("base").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("tests"))
+    return f.where("not test and base != ''").join(tests, "base").select("path", "tests")
