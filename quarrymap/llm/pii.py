@@ -169,9 +169,11 @@ def find_spans(
     told = pairs.join(scored, ["entity", "term"]).groupBy("same", "term").agg(F.max("kind").alias("kind"))
     added = words.where("not touches").join(told, ["same", "term"]).groupBy("same")
     added = added.agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("added"))
-    out = found.select("doc_id", "key", "base", "same").join(added, "same", "left")
     none = F.expr("cast(array() as array<struct<kind:int,s:int,e:int>>)")
-    return out.select("doc_id", "key", "base", F.concat("base", F.coalesce("added", none)).alias("spans"))
+    out = held.select("doc_id", "key", "base", "same").join(added, "same", "left")
+    out = out.select("doc_id", "key", "base", F.concat("base", F.coalesce("added", none)).alias("spans"))
+    # documents without base spans meet no words: they aren't joined
+    return found.where("same is null").select("doc_id", "key", "base", F.col("base").alias("spans")).unionByName(out)
 
 
 def spans_text(spans: str) -> Column:
