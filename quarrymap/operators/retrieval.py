@@ -21,9 +21,21 @@ STOP_WORDS = [
 ]
 
 
+_CHAR = r"[\p{L}\p{N}_:\\]"
+
+
 def terms(content: Column, least: int = 2) -> Column:
     """Lower-cased runs of letters, digits, underscores, colons and backslashes."""
-    return F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}_:\\]+"), lambda x: F.length(x) >= least)
+    return F.regexp_extract_all(F.lower(content), F.lit(f"{_CHAR}{{{least},}}"), F.lit(0))
+
+
+def term_count(content: Column, term: str | None = None, least: int = 2) -> Column:
+    """How many terms a content has, or how often it has one of them; no list is made."""
+    low = F.lower(content)
+    if term is None:
+        return F.regexp_count(low, F.lit(f"{_CHAR}{{{least},}}"))
+    quoted = "".join("\\" + c if not c.isalnum() and c != "_" else c for c in term)
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(f"(?<!{_CHAR}){quoted}(?!{_CHAR})"))).otherwise(0)
 
 
 def search_text() -> Column:
@@ -47,16 +59,12 @@ def is_structural(term: Column) -> Column:
     return ~F.lower(term).isin(STOP_WORDS) & (term.contains("::") | term.contains("\\") | ((F.length(term) >= 2) & shape))
 
 
-def _is(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def bm25(chunks: DataFrame, query_terms: list[str], every: bool) -> DataFrame:
     """(chunk_id, matched, score) by Okapi BM25. Term counts are taken inside each row, so only rows that hold a query term
     and one row of corpus statistics are shuffled."""
-    words = terms(search_text())
-    tf = [F.size(F.filter("ws", _is(q))).alias(f"tf{i}") for i, q in enumerate(query_terms)]
-    rows = chunks.select("chunk_id", words.alias("ws")).select("chunk_id", F.size("ws").alias("len"), *tf)
+    text = search_text()
+    tf = [term_count(text, q).alias(f"tf{i}") for i, q in enumerate(query_terms)]
+    rows = chunks.select("chunk_id", term_count(text).alias("len"), *tf)
     aggs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query_terms))]
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *aggs)
     rows = rows.crossJoin(F.broadcast(stats))  # one row
@@ -98,7 +106,7 @@ def write_index(chunks: DataFrame, folder: str) -> None:
     # a bucket is cut into parts by chunk, so that no word makes one large task
     parts = postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
     parts.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    stats = chunks.select(F.size(terms(search_text())).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    stats = chunks.select(term_count(search_text()).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
 
@@ -115,11 +123,23 @@ def search_index(spark: SparkSession, folder: str, words: list[str]) -> DataFram
     return _all_or_any(some, len(words))
 
 
-def idf(chunks: DataFrame) -> DataFrame:
-    """(term, df, idf) with idf = ln((n + 1) / (df + 1)) + 1; n comes from the same pass as a row for each chunk would cost a shuffle."""
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf) of terms of three letters and more."""
+    words = chunks.select("chunk_id", F.explode(terms(F.col("content"), 3)).alias("term"))
+    return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+
+
+def _idf(df: DataFrame, chunks: DataFrame) -> DataFrame:
     n = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))  # one row
+
+
+def idf(chunks: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) with idf = ln((n + 1) / (df + 1)) + 1; from stored term_counts, if there are any, the texts aren't read again."""
+    if counts is not None:
+        return _idf(counts.groupBy("term").agg(F.count("*").alias("df")), chunks)
     df = chunks.select(F.explode(F.array_distinct(terms(F.col("content"), 3))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return _idf(df, chunks)
 
 
 def weighted_terms(known: DataFrame) -> DataFrame:
@@ -130,20 +150,20 @@ def weighted_terms(known: DataFrame) -> DataFrame:
     return known.select("term", (sign * F.col("idf")).alias("w"), bucket.alias("bucket"))
 
 
-def hashed_embedding(chunks: DataFrame, known: DataFrame) -> DataFrame:
-    """(chunk_id, bucket, v): signed sums of idf by hash bucket, with the idf of (term, idf); not yet scaled."""
-    words = chunks.select("chunk_id", F.explode(terms(F.col("content"), 3)).alias("term"))
-    tf = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    sums = tf.join(weighted_terms(known), "term").groupBy("chunk_id", "bucket")
+def hashed_embedding(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk_id, bucket, v): signed sums of idf by hash bucket over term_counts, with the idf of (term, idf) and, for a restored model,
+    without the terms that it doesn't know; not yet scaled."""
+    sums = counts.join(weighted_terms(known), "term").groupBy("chunk_id", "bucket")
     return sums.agg(F.sum(F.col("tf") * F.col("w")).alias("v"))
 
 
-def semantic(chunks: DataFrame, known: DataFrame, words: list[str], k: int, cutoff: float | None = 1.0) -> DataFrame:
-    """(chunk_id, distance) of the k chunks whose embeddings are nearest to that of the words; the cutoff applies after k."""
+def semantic(counts: DataFrame, known: DataFrame, words: list[str], k: int, cutoff: float | None = 1.0) -> DataFrame:
+    """(chunk_id, distance) of the k chunks (of term_counts) whose embeddings are nearest to that of the words; the cutoff applies
+    after k."""
     query = known.where(F.col("term").isin(words))
     query = weighted_terms(query).groupBy("bucket").agg(F.sum("w").alias("q"))  # a row for each word at most
     norm = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    rows = hashed_embedding(chunks, known).join(F.broadcast(query), "bucket", "left")
+    rows = hashed_embedding(counts, known).join(F.broadcast(query), "bucket", "left")
     by = rows.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum(F.col("v") * F.coalesce("q", F.lit(0.0))).alias("dot"))
     by = by.crossJoin(F.broadcast(norm)).where("norm > 0 and q_norm > 0")  # one row
     apart = F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot") / (F.col("norm") * F.col("q_norm")))), 4)

@@ -91,7 +91,8 @@ def idf_table(spark, sf_dir):
 def hashed_embedding(spark, sf_dir):
     """A summary of each chunk's vector: its buckets and the sum of absolute values."""
     chunks = t.chunks(spark, sf_dir)
-    out = r.hashed_embedding(chunks, r.idf(chunks)).groupBy("chunk_id")
+    counts = stored(r.term_counts(chunks), "terms")
+    out = r.hashed_embedding(counts, r.idf(chunks, counts)).groupBy("chunk_id")
     out = out.agg(F.count_if(F.abs("v") > 1e-9).alias("buckets"), F.sum(F.abs("v")).alias("a"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return out.where("norm > 0").select("chunk_id", "buckets", F.round(F.col("a") / F.col("norm"), 2).alias("mass"))
 
@@ -159,7 +160,19 @@ SEMANTIC_SQL = f"""{IDF_SQL}, h AS (SELECT term, idf, sha256(term) AS x FROM kno
 
 def _semantic(spark, sf_dir):
     chunks = t.chunks(spark, sf_dir)
-    return r.semantic(chunks, stored(r.idf(chunks), "idf"), WORDS, 3 * LIMIT, CUTOFF)
+    counts = stored(r.term_counts(chunks), "terms")
+    return r.semantic(counts, stored(r.idf(chunks, counts), "idf"), WORDS, 3 * LIMIT, CUTOFF)
+
+
+@query("embedding_restored", f"""WITH {IDF_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 2 = 0)").replace("t AS (SELECT doc_id", "t0 AS (SELECT doc_id").replace("FROM t GROUP", "FROM t0 GROUP")}, t AS (SELECT doc_id, unnest({TERMS_SQL.replace(">= 2", ">= 3")}) AS term FROM documents),
+  h AS (SELECT term, idf, sha256(term) AS x FROM known), b AS (SELECT term, ('0x' || x[1:8])::BIGINT % 256 AS bucket, CASE WHEN ('0x' || x[9:10])::BIGINT % 2 = 0 THEN idf ELSE -idf END AS w FROM h),
+  s AS (SELECT doc_id, bucket, sum(w) AS v FROM t JOIN b USING (term) GROUP BY 1, 2) SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, count(*) AS buckets, round(sum(v), 6) AS total FROM s GROUP BY 1""")
+def embedding_restored(spark, sf_dir):
+    """A refresh takes the weights that were fitted before, here on every other document, and doesn't fit again."""
+    chunks = t.chunks(spark, sf_dir)
+    fitted = stored(r.idf(chunks.where("doc_id % 2 = 0")), "model")
+    out = r.hashed_embedding(r.term_counts(chunks), fitted).groupBy("chunk_id")
+    return out.agg(F.count("*").alias("buckets"), F.round(F.sum("v"), 6).alias("total"))
 
 
 @query("semantic_search", f"WITH {SEMANTIC_SQL} SELECT chunk_id, distance FROM near WHERE distance <= {CUTOFF}")
