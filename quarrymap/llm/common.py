@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymap.storage import delete_folder, new_folder, stored  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -26,26 +24,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-_OWN_FOLDER: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="quarrymap-"))
-    return _OWN_FOLDER[0]
-
-
-def delete_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spare(name: str, columns: list[str]) -> str:
     """name, with underscores before it until no column is called so (whatever the case)."""
     taken = {c.lower() for c in columns}
@@ -54,27 +32,6 @@ def spare(name: str, columns: list[str]) -> str:
     return name
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one; it goes when the driver's Python ends, or by `dropped` before."""
-    folder = f"{shared_folder(spark)}/quarrymap-{name}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            delete_folder(spark, folder)
-        except Exception:  # noqa: BLE001  the session has ended already
-            pass
-
-    atexit.register(drop)
-    return folder
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives the executors that wrote it."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def dropped(*tables: DataFrame | None) -> None:
     """Delete the files of stored tables that nothing reads any more. Only folders of `new_folder` are touched."""
     for df in tables:

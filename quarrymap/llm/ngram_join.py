@@ -262,7 +262,8 @@ def _shared_buckets(prefixes: DataFrame, tasks: int) -> DataFrame:
 
 
 def _candidates(buckets: DataFrame, tasks: int, percent: int, stage: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes of different components that may link; see the head of the module."""
+    """Distinct pairs (a, b), a < b, of classes of different components that may link; see the head of the module. At the last
+    stage all such pairs of a bucket, a row of the triangle at a time."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -421,6 +422,35 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     return features, labels
 
 
+def ngram_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Features (doc_id, n, cls) of (doc_id, text), and every link (a, b), a < b, between different classes.
+
+    Each distinct candidate is verified, also where its ends are in one component already: a group of n different near copies
+    costs n * (n - 1) / 2 of them. `ngram_components` doesn't pay for that."""
+    tasks = partitions(docs.sparkSession)
+    features = stored(_features(docs, words), "features")
+    levels = _sketch(features)
+    features = features.where("chunk < 0").select("doc_id", "n", "cls")
+    buckets = stored(_shared_buckets(_prefixes(docs, words, percent, levels), tasks), "buckets")
+    ids = features.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    pairs = stored(_candidates(buckets.withColumn("comp", F.col("cls")), tasks, percent, STAR_ROUNDS), "pairs")
+    sets = stored(_class_sets(docs, ids, pairs, words), "sets")
+    links = stored(_verified(pairs, sets, percent), "links")
+    dropped(buckets, sets, pairs)
+    return features, links
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_links) of each document of (doc_id, text): how many other documents it links with, equal ones included."""
+    features, links = ngram_pairs(docs, words, percent)
+    live = features.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.count("*").alias("size"))
+    both = links.union(links.select("b", "a")).toDF("cls", "other")
+    near = both.join(live.select(F.col("cls").alias("other"), "size"), "other").groupBy("cls").agg(F.sum("size").alias("near"))
+    counts = live.join(near, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    counted = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("links")).otherwise(F.lit(0)).alias("n_links")
+    return features.join(counts, "cls", "left").select("doc_id", counted)
+
+
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document of (doc_id, text)."""
     features, labels = ngram_links(docs, words, percent)

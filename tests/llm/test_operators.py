@@ -252,6 +252,15 @@ def test_ngram_large_groups(spark):
     assert got == brute.ngram_components(rows, 4, 85)
 
 
+def test_ngram_link_counts(spark, odd, docs):
+    for df, rows in ((docs, texts_of(docs)), (odd, [r for r in ODD if r[0] is not None])):
+        sets = [(d, brute.shingles(t, 4)) for d, t in rows]
+        want = sorted((d, sum(1 for j, (_, y) in enumerate(sets) if i != j and x and y and 100 * len(x & y) >= 85 * len(x | y))) for i, (d, x) in enumerate(sets))
+        got = sorted((r.doc_id, r.n_links) for r in ngram_join.link_counts(df).collect() if r.doc_id is not None)
+        assert got == want
+    assert ngram_join.link_counts(odd.limit(0)).count() == 0
+
+
 def test_token_files(spark, odd, empty, docs):
     from tokenizers import Tokenizer
 
