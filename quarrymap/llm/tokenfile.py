@@ -41,12 +41,14 @@ SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Parts of a text that byte-level pre-tokenising never joins: each run of white space with what follows it.
 _PARTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_RARE = re.compile(f"[{WHITE}]".replace("\t-\r \x85", "\t\x0b-\r\x85"))
+#: White space other than blanks and line ends, each searched for by itself: a text of narrow characters ends the search for wide
+#: ones at once.
+_RARE = [chr(c) for c in range(0x110000) if re.match(f"[{WHITE}]", chr(c)) and chr(c) not in " \n"]
 
 
 def _has_runs(text: str) -> bool:
     """Whether white space may stand beside white space or at the start, or other than blanks and line ends occurs."""
-    return text[:1] in (" ", "\n") or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or bool(_RARE.search(text))
+    return text[:1] in (" ", "\n") or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or any(c in text for c in _RARE)
 
 
 class Recent(dict):
@@ -66,7 +68,7 @@ class Recent(dict):
 
     def aged(self) -> None:
         if len(self) > self.size:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
 
 
