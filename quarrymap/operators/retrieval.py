@@ -230,7 +230,7 @@ def benchmark(cases: DataFrame, channels: dict[str, DataFrame]) -> DataFrame:
     rank = F.col("rank")
     out = rows.groupingSets([["category", "channel"], ["channel"]], "category", "channel").agg(
         F.count("*").alias("cases"), F.round(F.avg(F.when(rank <= 5, 1.0).otherwise(0.0)), 4).alias("recall5"),
-        F.round(F.avg(F.when(rank <= 10, 1 / rank).otherwise(0.0)), 4).alias("mrr10"),
+        F.round(F.avg(F.when(rank <= 10, 1 / rank).otherwise(0.0)), 6).alias("mrr10"),
     )
     return out.select(F.coalesce("category", F.lit("_all")).alias("category"), "channel", "cases", "recall5", "mrr10")
 

@@ -219,7 +219,7 @@ def hybrid_rrf(spark, sf_dir):
   lists AS (SELECT 'lexical' AS channel, chunk_id, rank FROM l UNION ALL SELECT 'structural', chunk_id, rank FROM structural UNION ALL SELECT 'semantic', chunk_id, rank FROM s UNION ALL SELECT 'hybrid', chunk_id, rank FROM f),
   hits AS (SELECT channel, lang || '/' || source AS expected, min(rank) AS rank FROM lists JOIN documents ON chunk_id = 'doc:' || doc_id || '#body:v1' GROUP BY 1, 2),
   cases AS (SELECT DISTINCT lang AS category, lang || '/' || source AS expected FROM documents), c AS (SELECT category, channel, rank FROM cases CROSS JOIN (SELECT unnest(['lexical', 'structural', 'semantic', 'hybrid']) AS channel) LEFT JOIN hits USING (channel, expected))
-  SELECT coalesce(category, '_all') AS category, channel, count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 4)::DOUBLE AS recall5, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 4)::DOUBLE AS mrr10
+  SELECT coalesce(category, '_all') AS category, channel, count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 4)::DOUBLE AS recall5, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6)::DOUBLE AS mrr10
   FROM c GROUP BY GROUPING SETS ((category, channel), (channel))""")
 def search_benchmark(spark, sf_dir):
     """Each language and source is a case that expects one of its chunks, in four result lists."""
