@@ -31,7 +31,9 @@ from quarrymap.llm.common import new_folder, partitions
 
 END_ID = 2
 FRAME_IDS = 1 << 16
-CACHE_PARTS, LONGEST_CACHED, LEVEL = 800_000, 40, 1
+CACHE_PARTS, CACHE_WORDS, LONGEST_CACHED, LEVEL = 200_000, 2_000_000, 40, 1
+#: Code points of texts that are encoded together.
+TOGETHER = 16_000_000
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 # Fixed values of the zstandard seekable format.
@@ -80,6 +82,7 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -94,8 +97,9 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
-        #: Ids of parts as they are, and of parts by what follows their one space.
-        self.parts, self.words = Recent(CACHE_PARTS), Recent(CACHE_PARTS)
+        #: Ids of parts as they are; and words after a space: the words, how many ids each has, and the ids of all in a row.
+        self.parts = Recent(CACHE_PARTS)
+        self.known, self.sizes, self.pool = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,41 +117,81 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
         return out
 
-    @staticmethod
-    def _learn(known: Recent, wanted: set[str], encode) -> dict[str, bytes]:
-        """known with the ids of what is wanted; parts that are too long to keep go to a copy."""
-        new = known.unknown(wanted)
-        out = dict(known) if any(len(p) > LONGEST_CACHED for p in new) else known
-        for p, ids in zip(new, encode(new) if new else ()):
-            out[p] = ids
-            if len(p) <= LONGEST_CACHED:
-                known[p] = ids
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of different parts as they stand, by the cache; long ones aren't kept."""
+        new = self.parts.unknown(set(parts))
+        found = dict(zip(new, self._whole(new))) if new else {}
+        self.parts.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST_CACHED)
+        out = {p: found[p] if p in found else self.parts[p] for p in parts}
+        self.parts.aged()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.parted:
             return self._whole(texts)
-        heads, words, split = set(), set(), []
-        for text in texts:
-            if text and _has_runs(text):
-                head, rest = _PARTS.findall(text), []
-            else:
-                rest = text.split(" ")
-                head = [rest.pop(0)] if text else []
-                if not text:
-                    rest = []
-            heads.update(head)
-            words.update(rest)
-            split.append((head, rest))
-        part, word = self._learn(self.parts, heads, self._whole), self._learn(self.words, words, self._after_spaces)
-        out = [
-            (part[head[0]] if len(head) == 1 else b"".join(map(part.__getitem__, head))) + b"".join(map(word.__getitem__, rest))
-            for head, rest in split
-        ]
-        self.parts.aged()
-        self.words.aged()
+        out: list[bytes] = [b""] * len(texts)
+        runs = [i for i, t in enumerate(texts) if t and _has_runs(t)]
+        split = [_PARTS.findall(texts[i]) for i in runs]
+        known = self._parts(list({p for parts in split for p in parts}))
+        for i, parts in zip(runs, split):
+            out[i] = b"".join(map(known.__getitem__, parts))
+        plain = sorted(set(range(len(texts))).difference(runs))
+        for i, ids in zip(plain, self._in_words([texts[i] for i in plain])):
+            out[i] = ids
         return out
 
+    def _in_words(self, texts: list[str]) -> list[bytes]:
+        """Texts in which single spaces stand between words. Words become numbers of a dictionary, known words are found in the cache
+        as a whole, and ids are gathered by number: only new words are handled one by one."""
+        if not texts:
+            return []
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(split.values)
+        words, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(place))
+        found = self._after_spaces(new.to_pylist())
+        # entries: cached words, new words, and the first words of texts, which have no space before them
+        heads, head_at = np.unique(at[bounds[:-1]], return_inverse=True)
+        head_words = words.take(pa.array(heads)).to_pylist()
+        head_ids = self._parts(head_words)
+        more = [*found, *(head_ids[w] for w in head_words)]
+        more_sizes = np.array([len(x) for x in more], np.int64) // 4
+        sizes = np.concatenate([self.sizes, more_sizes])
+        pool = np.concatenate([self.pool, np.frombuffer(b"".join(more), "<u4")])
+        starts = np.cumsum(sizes) - sizes
+        entry = place.fill_null(-1).to_numpy().astype(np.int64)
+        entry[entry < 0] = len(self.known) + np.arange(len(new))
+        at = entry[at]
+        at[bounds[:-1]] = len(self.known) + len(new) + head_at
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        self._remember(words, entry, new, sizes, starts, pool)
+        cuts = [0, *(4 * ends[bounds[1:] - 1]).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _remember(self, words, entry: np.ndarray, new, sizes: np.ndarray, starts: np.ndarray, pool: np.ndarray) -> None:
+        """Add the new words to the cache; once it is full it begins anew with the words of these texts. Long words aren't kept."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        full = len(self.known) + len(new) > CACHE_WORDS
+        some, at = (words, entry) if full else (new, len(self.known) + np.arange(len(new)))
+        short = pc.less_equal(pc.utf8_length(some), LONGEST_CACHED).to_numpy(zero_copy_only=False)
+        at, n = at[short], sizes[at[short]]
+        ids = pool[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        some = some.filter(pa.array(short))
+        if full:
+            self.known, self.sizes, self.pool = some, n, ids
+        else:
+            self.known = pa.concat_arrays([self.known, some])
+            self.sizes, self.pool = np.concatenate([self.sizes, n]), np.concatenate([self.pool, ids])
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -284,10 +328,19 @@ def write_ids(df: DataFrame, tokenizer_path: str, folder: str, end_id: int = END
         end = np.array([end_id], "<u4").tobytes()
 
         def rows():
+            doc_ids, texts, size = [], [], 0
             for part in batches:
-                texts = [t or "" for t in part["text"]]
-                for i, ids in zip(part["doc_id"].astype("Int64"), tool.encode(texts)):
-                    yield (None if i is pd.NA else int(i)), ids + end
+                doc_ids += part["doc_id"].astype("Int64")
+                texts += [t or "" for t in part["text"]]
+                size += int(part["text"].str.len().sum())
+                if size >= TOGETHER:
+                    yield from encoded(doc_ids, texts)
+                    doc_ids, texts, size = [], [], 0
+            yield from encoded(doc_ids, texts)
+
+        def encoded(doc_ids: list, texts: list[str]):
+            for i, ids in zip(doc_ids, tool.encode(texts)):
+                yield (None if i is pd.NA else int(i)), ids + end
 
         system, path = _open(f"{folder}/shard-{shard:06d}.ids.zst")
         own = f"{path}.{uuid.uuid4().hex}.part"
