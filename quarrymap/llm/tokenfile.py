@@ -330,8 +330,8 @@ def write_ids(df: DataFrame, tokenizer_path: str, folder: str, end_id: int = END
         def rows():
             doc_ids, texts, size = [], [], 0
             for part in batches:
-                doc_ids += part["doc_id"].astype("Int64")
-                texts += [t or "" for t in part["text"]]
+                doc_ids.extend(part["doc_id"].astype("Int64"))
+                texts.extend(t or "" for t in part["text"])
                 size += int(part["text"].str.len().sum())
                 if size >= TOGETHER:
                     yield from encoded(doc_ids, texts)
