@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymap.llm import fingerprint, language, lines, media, mixing, ngram_join, packing, pii, tokenfile, tokens
+from quarrymap.llm import fingerprint, language, lines, media, mixing, ngram_join, packing, pii, tokenfile, tokens, toxicity, vectors
 from quarrymap.llm.common import documents, small_batches
 
 TOKEN_LIMIT = 4096
@@ -96,6 +96,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(documents(spark, sf_dir))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    coded, books = vectors.compress(rows)
+    out = vectors.with_group_error(coded, "label", "label_error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    t = F.col("toxicity")
+    places = F.array_join(F.transform(t.passages, lambda p: F.concat_ws(":", p["start"], p["end"])), ",")
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), t.score.alias("score"), (t.score >= 0.5).cast("int").alias("predicted"), places.alias("passages")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_media, op2_tokens, op3_language, op4_pii, op5_line_dedup, op6_ngram_join, op7_token_files, op8_mixing,
-        op9_packing, op10_fingerprints, pipeline,
+        op9_packing, op10_fingerprints, op12_vector_codes, op13_toxicity, pipeline,
     )
 }
 
