@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymap.llm import fingerprint, language, lines, media, mixing, ngram_join, packing, pii, tokenfile, tokens, toxicity, vectors
+from quarrymap.llm import (
+    fingerprint, language, lines, media, mixing, ngram_join, packing, pii, spelling, tokenfile, tokens, toxicity, vectors,
+)
 from quarrymap.llm.common import documents, small_batches
 
 TOKEN_LIMIT = 4096
@@ -96,6 +98,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    words = spelling.vocabulary(documents(spark, sf_dir).select("doc_id", "text"))
+    return spelling.with_roots(spelling.variants(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     coded, books = vectors.compress(rows)
@@ -124,7 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_media, op2_tokens, op3_language, op4_pii, op5_line_dedup, op6_ngram_join, op7_token_files, op8_mixing,
-        op9_packing, op10_fingerprints, op12_vector_codes, op13_toxicity, pipeline,
+        op9_packing, op10_fingerprints, op11_spelling, op12_vector_codes, op13_toxicity, pipeline,
     )
 }
 
