@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymap.plans import context_queries, graph_queries, lookup_queries, map_queries, retrieval_queries, temporal_queries  # noqa: F401
+from quarrymap.plans import (  # noqa: F401
+    context_queries, graph_queries, lookup_queries, map_queries, retrieval_queries, source_queries, temporal_queries,
+)
 from quarrymap.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
