@@ -185,9 +185,3 @@ def rename_status(spark, sf_dir):
     r = edits.groupBy("path").agg(F.count("*").alias("edits"), F.count_if(F.col("token").startswith("R")).alias("reviews"))
     out = r.join(b, "path", "left").fillna(0, ["blockers"])
     return out.select("path", context.status("blockers", "reviews").alias("status"), F.when(F.col("blockers") > 0, 0).otherwise(F.col("edits")).alias("edits"))
-
-
-@query("rename_capabilities", """SELECT * FROM (VALUES ('method', TRUE, FALSE), ('class', TRUE, TRUE), ('function', TRUE, FALSE), ('property', TRUE, FALSE)) v(target, publishes_edits, moves_files)""")
-def rename_capabilities(spark, sf_dir):
-    rows = [("method", True, False), ("class", True, True), ("function", True, False), ("property", True, False)]
-    return spark.createDataFrame(rows, "target string, publishes_edits boolean, moves_files boolean")

@@ -18,8 +18,8 @@ def _rank_sql(metric: str) -> str:
     kinds, at, other = graph.METRICS[metric]
     some = ", ".join(f"'{k}'" for k in kinds)
     return f"""{BASE}, counted AS (SELECT {at} AS id, count(DISTINCT {other}) AS score,
-      count(DISTINCT CASE WHEN resolution IN {UNCERTAIN_SQL} THEN rel_id END) AS uncertain FROM edges
-      WHERE kind IN ({some}) AND {other} NOT LIKE 'unresolved:%' GROUP BY 1)
+      count(DISTINCT CASE WHEN resolution IN {UNCERTAIN_SQL} THEN rel_id END) AS uncertain FROM (SELECT * REPLACE (CASE WHEN {other} NOT LIKE 'unresolved:%' THEN {other} END AS {other}) FROM edges)
+      WHERE kind IN ({some}) GROUP BY 1)
     SELECT id, kind, coalesce(score, 0) AS score, coalesce(uncertain, 0) AS uncertain FROM nodes LEFT JOIN counted USING (id)
     ORDER BY score DESC, uncertain, id LIMIT {TOP}"""
 
@@ -35,11 +35,14 @@ for _metric in graph.METRICS:
     query(f"rank_{_metric}", _rank_sql(_metric))(_rank(_metric))
 
 
-@query("entrypoint_candidates", f"""{BASE}, sure AS (SELECT source_id AS id, count(DISTINCT target_id) AS score FROM edges WHERE kind = 'calls' AND resolution = 'resolved' GROUP BY 1)
-  SELECT id, score FROM nodes JOIN sure USING (id) WHERE kind = 'method' AND id NOT IN (SELECT target_id FROM edges WHERE kind = 'calls')
-  ORDER BY score DESC, id LIMIT {TOP}""")
+@query("entrypoint_candidates", f"""{BASE}, known AS (SELECT source_id AS id, count(DISTINCT target_id) AS score FROM edges WHERE kind = 'calls' AND target_id NOT LIKE 'unresolved:%' GROUP BY 1),
+  odd AS (SELECT source_id AS id, count(DISTINCT rel_id) AS uncertain FROM edges WHERE kind = 'calls' AND resolution IN {UNCERTAIN_SQL} GROUP BY 1)
+  SELECT id, score, coalesce(uncertain, 0) AS uncertain FROM nodes JOIN known USING (id) LEFT JOIN odd USING (id) WHERE kind = 'method' AND id NOT LIKE '%7' AND id NOT IN (SELECT target_id FROM edges WHERE kind = 'calls')
+  ORDER BY score DESC, uncertain, id LIMIT {TOP}""")
 def entrypoint_candidates(spark, sf_dir):
-    return graph.entrypoints(t.nodes(spark, sf_dir), t.edges(spark, sf_dir, ["calls"]), TOP)
+    """Methods whose id ends in 7 are abstract."""
+    nodes = t.nodes(spark, sf_dir).withColumn("abstract", F.col("id").endswith("7"))
+    return graph.entrypoints(nodes, t.edges(spark, sf_dir, ["calls"]), TOP)
 
 
 def _hubs(name: str, metric: str, kinds: list[str]):
@@ -133,7 +136,7 @@ def penalized_edges(spark, sf_dir):
 
 
 TARGET, DEPTH = "part:1", 3
-IMPACT_SQL = f"""{BASE}, live AS (SELECT DISTINCT source_id, target_id, kind, resolution IN {UNCERTAIN_SQL} AS unsure FROM edges WHERE kind IN {DEPENDENCIES_SQL} AND source_id <> '{TARGET}'),
+IMPACT_SQL = f"""{BASE}, live AS (SELECT DISTINCT source_id, target_id, kind, resolution IN {UNCERTAIN_SQL} AS unsure FROM edges WHERE kind IN {DEPENDENCIES_SQL} AND source_id <> '{TARGET}' AND source_id IN (SELECT id FROM nodes)),
   s1 AS (SELECT source_id AS node, unsure, kind, target_id AS via FROM live WHERE target_id = '{TARGET}'), f1 AS (SELECT DISTINCT node, unsure FROM s1),
   s2 AS (SELECT source_id AS node, f.unsure OR l.unsure AS unsure, kind, target_id AS via FROM live l JOIN f1 f ON f.node = target_id),
   f2 AS (SELECT DISTINCT node, unsure FROM s2 EXCEPT SELECT * FROM f1),
@@ -143,10 +146,10 @@ IMPACT_SQL = f"""{BASE}, live AS (SELECT DISTINCT source_id, target_id, kind, re
 
 
 def _impact(spark, sf_dir):
-    return graph.impact(t.edges(spark, sf_dir), TARGET, DEPTH)
+    return graph.impact(t.nodes(spark, sf_dir), t.edges(spark, sf_dir), TARGET, DEPTH)
 
 
-@query("impact_depth3", f"""{IMPACT_SQL}, rels AS (SELECT source_id, target_id, kind, resolution IN {UNCERTAIN_SQL} AS tie, count(*) AS relations FROM edges WHERE kind IN {DEPENDENCIES_SQL} GROUP BY 1, 2, 3, 4),
+@query("impact_depth3", f"""{IMPACT_SQL}, rels AS (SELECT source_id, target_id, kind, resolution IN {UNCERTAIN_SQL} AS tie, count(DISTINCT rel_id) AS relations FROM edges WHERE kind IN {DEPENDENCIES_SQL} GROUP BY 1, 2, 3, 4),
   ev AS (SELECT node, sum(relations)::BIGINT AS evidence FROM (SELECT DISTINCT node, via, kind FROM steps) x JOIN rels ON source_id = node AND target_id = via AND rels.kind = x.kind GROUP BY 1)
   SELECT node, depth, uncertain, kinds, sha256(via) AS via_sha256, evidence FROM impacts JOIN ev USING (node)""")
 def impact_depth3(spark, sf_dir):
@@ -156,13 +159,20 @@ def impact_depth3(spark, sf_dir):
 MOST = 40
 
 
-@query("impact_capped", f"""{BASE}, live AS (SELECT source_id, target_id, min(rel_id) AS first FROM edges WHERE kind IN {DEPENDENCIES_SQL} AND source_id <> '{TARGET}' GROUP BY 1, 2),
+@query("impact_capped", f"""{BASE}, live AS (SELECT source_id, target_id, resolution IN {UNCERTAIN_SQL} AS unsure, min(rel_id) AS first FROM edges WHERE kind IN {DEPENDENCIES_SQL} AND source_id <> '{TARGET}' AND source_id IN (SELECT id FROM nodes) GROUP BY 1, 2, 3),
   n1 AS (SELECT source_id AS node FROM live WHERE target_id = '{TARGET}' GROUP BY 1 ORDER BY min(first), 1 LIMIT {MOST}),
-  x2 AS (SELECT source_id AS node, min(first) AS first FROM live JOIN n1 ON n1.node = target_id WHERE source_id NOT IN (SELECT node FROM n1) GROUP BY 1),
-  n2 AS (SELECT node FROM x2 ORDER BY first, node LIMIT {MOST} - (SELECT count(*) FROM n1))
+  q1 AS (SELECT source_id AS node, unsure, min(first) AS place FROM live JOIN n1 ON n1.node = source_id WHERE target_id = '{TARGET}' GROUP BY 1, 2),
+  x2 AS (SELECT source_id AS node, min([place, first]) AS place FROM live JOIN q1 ON q1.node = target_id WHERE source_id NOT IN (SELECT node FROM n1) GROUP BY 1),
+  n2 AS (SELECT node FROM x2 ORDER BY place, node LIMIT {MOST} - (SELECT count(*) FROM n1))
   SELECT node, 1 AS depth, (SELECT count(*) FROM x2) > (SELECT count(*) FROM n2) AS truncated FROM n1 UNION ALL SELECT node, 2, (SELECT count(*) FROM x2) > (SELECT count(*) FROM n2) FROM n2""")
 def impact_capped(spark, sf_dir):
-    return graph.impact(t.edges(spark, sf_dir), TARGET, 2, MOST).select("node", "depth", "truncated")
+    return graph.impact(t.nodes(spark, sf_dir), t.edges(spark, sf_dir), TARGET, 2, MOST).select("node", "depth", "truncated")
+
+
+@query("impact_evidence", f"""{IMPACT_SQL} SELECT DISTINCT source_id AS node, rel_id FROM edges JOIN impacts i ON i.node = source_id WHERE kind IN {DEPENDENCIES_SQL} AND (target_id = '{TARGET}' OR target_id IN (SELECT node FROM impacts WHERE depth < {DEPTH}))""")
+def impact_evidence(spark, sf_dir):
+    """The relations behind each impact, a row each."""
+    return graph.impact_evidence(t.edges(spark, sf_dir), stored(_impact(spark, sf_dir), "impacts"), TARGET, DEPTH)
 
 
 @query("impact_by_region", f"""{IMPACT_SQL} SELECT CASE WHEN id LIKE 'supplier:%' AND file LIKE '%1' THEN 'unassigned' ELSE split_part(file, '/', 2) END AS region, count(*) AS impacted, count(*) FILTER (uncertain) AS uncertain, max(depth) AS max_depth
@@ -214,19 +224,24 @@ def region_drafts(spark, sf_dir):
 
 
 @query("region_labels", r"""WITH m AS (SELECT p_type AS region, 'src/' || replace(lower(p_type), ' ', '/') || '/f' || p_partkey AS file, CASE WHEN p_size % 3 = 0 THEN 'Shop\Stock' ELSE '' END AS namespace FROM part
-    UNION ALL SELECT p_brand, 'lib/' || p_brand || '/f' || p_partkey, CASE WHEN p_brand LIKE '%1' THEN 'Shop\Brand' ELSE '' END FROM part),
+    UNION ALL SELECT p_brand, 'lib/' || p_brand || '/f' || p_partkey, CASE WHEN p_brand LIKE '%1' THEN '\Shop\Brand' ELSE '' END FROM part
+    UNION ALL SELECT 'size' || p_size, 'src/' || CASE p_partkey % 3 WHEN 0 THEN 'httpClient' WHEN 1 THEN 'HTTPpool_x' ELSE 'ab' END || string_split(p_name, ' ')[1] || p_size || 'X.php', '' FROM part),
   s AS (SELECT region, count(*) AS n FROM m GROUP BY 1),
-  ns AS (SELECT region, namespace, count(*) AS c FROM m WHERE namespace <> '' GROUP BY 1, 2), nb AS (SELECT region, arg_max(namespace, (c, namespace)) AS ns, max(c) AS c FROM ns GROUP BY 1),
+  ns AS (SELECT region, trim(namespace, '\') AS namespace, count(*) AS c, min(file) AS f FROM m WHERE namespace <> '' GROUP BY 1, 2), nb AS (SELECT region, arg_min(namespace, (-c, f)) AS ns, arg_min(c, (-c, f)) AS c FROM ns GROUP BY 1),
   sp AS (SELECT region, string_split(ns, '\')[-1] AS by_space FROM nb JOIN s USING (region) WHERE c / n >= 0.6),
-  d AS (SELECT region, string_split(file, '/')[:-2] AS d FROM m), x AS (SELECT region, d, unnest(range(1, len(d) + 1)) AS depth FROM d),
+  d AS (SELECT region, file, string_split(file, '/')[:-2] AS d FROM m), x AS (SELECT region, file, d, unnest(range(1, len(d) + 1)) AS depth FROM d),
   pf AS (SELECT region, depth, d[:depth] AS p, count(*) AS c FROM x GROUP BY 1, 2, 3), co AS (SELECT region, arg_max(p[-1], depth) AS by_prefix FROM pf JOIN s USING (region) WHERE c = n AND p[-1] NOT IN ('src', 'lib') GROUP BY 1),
-  vo AS (SELECT region, d[depth] AS part, round(sum(1 + (depth - 1) / greatest(1, len(d) - 1)), 6) AS v FROM x WHERE d[depth] NOT IN ('src', 'lib') GROUP BY 1, 2), vb AS (SELECT region, arg_max(part, (v, part)) AS by_vote FROM vo GROUP BY 1)
-  SELECT region, coalesce(by_space, upper(by_prefix[1]) || lower(by_prefix[2:]), upper(by_vote[1]) || lower(by_vote[2:]), 'Region') AS label FROM s LEFT JOIN sp USING (region) LEFT JOIN co USING (region) LEFT JOIN vb USING (region)""")
+  vo AS (SELECT region, d[depth] AS part, round(sum(1 + (depth - 1) / greatest(1, len(d) - 1)), 6) AS v, min((file, depth)) AS f FROM x WHERE d[depth] NOT IN ('src', 'lib') GROUP BY 1, 2), vb AS (SELECT region, arg_min(part, (-v, f)) AS by_vote FROM vo GROUP BY 1),
+  w AS (SELECT region, file, unnest(ws) AS part, generate_subscripts(ws, 1) AS i FROM (SELECT region, file, string_split(regexp_replace(regexp_replace(regexp_replace(string_split(file, '/')[-1], '[.][^.]*$', ''), '([a-z])([A-Z])', '\1_\2', 'g'), '[_-]+', '_', 'g'), '_') AS ws FROM m)),
+  wo AS (SELECT region, part, count(*) AS v, min((file, i)) AS f FROM w WHERE strlen(part) >= 3 GROUP BY 1, 2), wb AS (SELECT region, arg_min(part, (-v, f)) AS by_name FROM wo GROUP BY 1)
+  SELECT region, coalesce(by_space, upper(by_prefix[1]) || by_prefix[2:], upper(by_vote[1]) || by_vote[2:], upper(by_name[1]) || by_name[2:], 'Region') AS label FROM s LEFT JOIN sp USING (region) LEFT JOIN co USING (region) LEFT JOIN vb USING (region) LEFT JOIN wb USING (region)""")
 def region_labels(spark, sf_dir):
     p = t.table(spark, sf_dir, "part")
     by_type = p.select(F.col("p_type").alias("region"), F.concat(F.lit("src/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.lit("/f"), "p_partkey").alias("file"), F.when(F.col("p_size") % 3 == 0, r"Shop\Stock").otherwise("").alias("namespace"))
-    by_brand = p.select("p_brand", F.concat(F.lit("lib/"), "p_brand", F.lit("/f"), "p_partkey"), F.when(F.col("p_brand").endswith("1"), r"Shop\Brand").otherwise(""))
-    return graph.region_labels(by_type.union(by_brand))
+    by_brand = p.select("p_brand", F.concat(F.lit("lib/"), "p_brand", F.lit("/f"), "p_partkey"), F.when(F.col("p_brand").endswith("1"), r"\Shop\Brand").otherwise(""))
+    head = F.element_at(F.array(F.lit("httpClient"), F.lit("HTTPpool_x"), F.lit("ab")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    by_size = p.select(F.concat(F.lit("size"), "p_size"), F.concat(F.lit("src/"), head, F.element_at(F.split("p_name", " "), 1), "p_size", F.lit("X.php")), F.lit(""))
+    return graph.region_labels(by_type.union(by_brand).union(by_size))
 
 
 @query("region_paths", """WITH n AS (SELECT 'nation/' || n_nationkey AS region, 'region/' || n_regionkey AS up FROM nation)
@@ -266,11 +281,6 @@ def region_hierarchy(spark, sf_dir):
     return size.select("region", "level").join(best, "region", "left")
 
 
-@query("communities")
-def communities(spark, sf_dir):
-    return graph.communities(_graph(spark, sf_dir), t.nodes(spark, sf_dir).select("file"))
-
-
 TURNS_SQL = """turns AS (SELECT 'turn:' || conv_id || ':' || turn AS id, conv_id, turn, role FROM conversations),
   calls AS (SELECT a.id AS source_id, b.id AS target_id, CASE WHEN a.role = 'assistant' THEN 'multiple_targets' ELSE 'resolved' END AS resolution FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"""
 

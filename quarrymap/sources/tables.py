@@ -49,14 +49,17 @@ NODES_SQL = """nodes AS (
 
 def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
     """(rel_id, source_id, target_id, kind, resolution): one row for each relation and target; only some kinds if given, so
-    that tables which give none of them are not read."""
+    that tables which give none of them are not read. Customers in debt also call something unresolved, and the file of a nation calls
+    its suppliers by itself."""
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
-    resolution = F.when(c("l_returnflag") == "R", "dynamic").when(c("l_returnflag") == "A", "multiple_targets").otherwise("resolved")
+    resolution = F.when(c("l_returnflag") == "R", "dynamic").when(c("l_returnflag") == "A", "multiple_targets").otherwise("phpstan_resolved")
     line = [c("l_orderkey"), ":", c("l_linenumber"), ":", c("l_partkey"), ":", c("l_suppkey")]
-    sure = F.lit("resolved")
+    sure = F.lit("phpstan_resolved")
     parts = {
-        CALLS: lambda: [t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey")).select(_text("c:", *line).alias("rel_id"), _text("customer:", c("o_custkey")).alias("source_id"), _text("supplier:", c("l_suppkey")).alias("target_id"), F.lit(CALLS).alias("kind"), resolution.alias("resolution"))],
+        CALLS: lambda: [t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey")).select(_text("c:", *line).alias("rel_id"), _text("customer:", c("o_custkey")).alias("source_id"), _text("supplier:", c("l_suppkey")).alias("target_id"), F.lit(CALLS).alias("kind"), resolution.alias("resolution")),
+            t("customer").where("c_acctbal < 0").select(_text("x:", c("c_custkey")).alias("rel_id"), _text("customer:", c("c_custkey")).alias("source_id"), F.lit("unresolved:calls").alias("target_id"), F.lit(CALLS).alias("kind"), F.lit("dynamic").alias("resolution")),
+            t("supplier").select(_text("f:", c("s_suppkey")).alias("rel_id"), _text("file:nation/", c("s_nationkey")).alias("source_id"), _text("supplier:", c("s_suppkey")).alias("target_id"), F.lit(CALLS).alias("kind"), sure.alias("resolution"))],
         TYPES: lambda: [t("lineitem").select(_text("t:", *line).alias("rel_id"), _text("supplier:", c("l_suppkey")).alias("source_id"), _text("part:", c("l_partkey")).alias("target_id"), F.lit(TYPES).alias("kind"), resolution.alias("resolution"))],
         NEW: lambda: [
             t("customer").select(_text("n:c", c("c_custkey")).alias("rel_id"), _text("customer:", c("c_custkey")).alias("source_id"), _text("nation:", c("c_nationkey")).alias("target_id"), F.lit(NEW).alias("kind"), sure.alias("resolution")),
@@ -74,13 +77,15 @@ def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> D
 
 EDGES_SQL = """edges AS (
   SELECT 'c:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS rel_id, 'customer:' || o_custkey AS source_id, 'supplier:' || l_suppkey AS target_id, 'calls' AS kind,
-    CASE l_returnflag WHEN 'R' THEN 'dynamic' WHEN 'A' THEN 'multiple_targets' ELSE 'resolved' END AS resolution FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    CASE l_returnflag WHEN 'R' THEN 'dynamic' WHEN 'A' THEN 'multiple_targets' ELSE 'phpstan_resolved' END AS resolution FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   UNION ALL SELECT 't:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey, 'supplier:' || l_suppkey, 'part:' || l_partkey, 'references_type',
-    CASE l_returnflag WHEN 'R' THEN 'dynamic' WHEN 'A' THEN 'multiple_targets' ELSE 'resolved' END FROM lineitem
-  UNION ALL SELECT 'n:c' || c_custkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'instantiates', 'resolved' FROM customer
-  UNION ALL SELECT 'n:s' || s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'instantiates', 'resolved' FROM supplier
-  UNION ALL SELECT 'e:' || n_nationkey, 'nation:' || n_nationkey, 'region:' || n_regionkey, 'extends', 'resolved' FROM nation
-  UNION ALL SELECT 'd:' || c_custkey, 'nation:' || c_nationkey, 'customer:' || c_custkey, 'declares_method', 'resolved' FROM customer)"""
+    CASE l_returnflag WHEN 'R' THEN 'dynamic' WHEN 'A' THEN 'multiple_targets' ELSE 'phpstan_resolved' END FROM lineitem
+  UNION ALL SELECT 'n:c' || c_custkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'instantiates', 'phpstan_resolved' FROM customer
+  UNION ALL SELECT 'n:s' || s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'instantiates', 'phpstan_resolved' FROM supplier
+  UNION ALL SELECT 'e:' || n_nationkey, 'nation:' || n_nationkey, 'region:' || n_regionkey, 'extends', 'phpstan_resolved' FROM nation
+  UNION ALL SELECT 'd:' || c_custkey, 'nation:' || c_nationkey, 'customer:' || c_custkey, 'declares_method', 'phpstan_resolved' FROM customer
+  UNION ALL SELECT 'x:' || c_custkey, 'customer:' || c_custkey, 'unresolved:calls', 'calls', 'dynamic' FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT 'f:' || s_suppkey, 'file:nation/' || s_nationkey, 'supplier:' || s_suppkey, 'calls', 'phpstan_resolved' FROM supplier)"""
 DEPENDENCIES_SQL = "('calls','extends','implements','instantiates','overrides','references_type','uses_trait')"
 UNCERTAIN_SQL = "('dynamic','multiple_targets')"
 

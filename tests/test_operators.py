@@ -62,9 +62,10 @@ def test_values_at_ranks(spark):
 def test_region_labels(spark):
     rows = [("a", f"src/Shop/f{i}.php", r"Acme\Shop") for i in range(3)] + [("a", "src/Other/g.php", "")]
     rows += [("b", "src/billing_core/x.php", ""), ("b", "src/billing_core/y.php", r"Acme\Z")]
-    rows += [("c", "one.php", ""), ("d", "lib/x/deep/f.php", ""), ("d", "lib/y/deep/f.php", "")]
+    rows += [("c", "fooBar.php", ""), ("c", "fooBaz.php", ""), ("e", "a.php", ""), ("f", "src/HTTPClient/x.php", ""), ("f", "src/HTTPClient/y.php", "")]
+    rows += [("d", "lib/x/deep/f.php", ""), ("d", "lib/y/deep/f.php", "")]
     df = spark.createDataFrame(rows, "region string, file string, namespace string")
-    assert dict(map(tuple, graph.region_labels(df).collect())) == {"a": "Shop", "b": "Billing Core", "c": "Region", "d": "Deep"}
+    assert dict(map(tuple, graph.region_labels(df).collect())) == {"a": "Shop", "b": "Billing Core", "c": "Foo", "d": "Deep", "e": "Region", "f": "HTTPClient"}
 
 
 def test_regions_have_two_files(spark):
@@ -74,13 +75,43 @@ def test_regions_have_two_files(spark):
     assert {r.id for r in got if r.level == 1} == {"region:" + hashlib.sha256(b"1\0a\0b").hexdigest()}
 
 
-def test_impact_is_capped_by_step_then_relation(spark):
-    e = edges(spark, ("9", "a", "t", "calls", "resolved"), ("1", "b", "t", "calls", "dynamic"), ("5", "c", "a", "calls", "resolved"), ("3", "d", "b", "calls", "resolved"))
-    got = {r.node: (r.depth, r.uncertain, r.evidence, r.truncated) for r in graph.impact(e, "t", 2).collect()}
-    assert got == {"a": (1, False, 1, False), "b": (1, True, 1, False), "c": (2, False, 1, False), "d": (2, True, 1, False)}
-    got = {r.node: r.truncated for r in graph.impact(e, "t", 2, 3).collect()}
-    assert got == {"a": True, "b": True, "d": True}
-    assert {r.node for r in graph.impact(e, "t", 2, 1).collect()} == {"b"}
+def test_impact(spark):
+    n = nodes(spark, *[(x, "method", "src/A.php") for x in "tabcd"])
+    e = edges(
+        spark, ("9", "a", "t", "calls", "phpstan_resolved"), ("1", "b", "t", "calls", "dynamic"), ("5", "c", "a", "calls", "phpstan_resolved"), ("3", "d", "b", "calls", "phpstan_resolved"),
+        ("0", "file:src/A.php", "t", "calls", "phpstan_resolved"), ("6", "c", "a", "calls", "phpstan_resolved"),
+    )
+    rows = graph.impact(n, e, "t", 2).collect()
+    assert [r.node for r in rows] == ["a", "b", "c", "d"]  # by depth, certain ones first, id; a file is no node
+    got = {r.node: (r.depth, r.uncertain, r.evidence, r.truncated) for r in rows}
+    assert got == {"a": (1, False, 1, False), "b": (1, True, 1, False), "c": (2, False, 2, False), "d": (2, True, 1, False)}
+    evidence = graph.impact_evidence(e, graph.impact(n, e, "t", 2), "t", 2)
+    assert sorted(map(tuple, evidence.collect())) == [("a", "9"), ("b", "1"), ("c", "5"), ("c", "6"), ("d", "3")]
+    # relation 1 comes before 9, so b is come upon first, and d before c
+    assert {r.node: r.truncated for r in graph.impact(n, e, "t", 2, 3).collect()} == {"a": True, "b": True, "d": True}
+    assert {r.node for r in graph.impact(n, e, "t", 2, 1).collect()} == {"b"}
+    assert graph.impact(n, e, "none", 2).count() == 0
+
+
+def test_rank_counts_unresolved_relations_as_uncertain(spark):
+    n = nodes(spark, ("a", "method", "x"), ("b", "method", "x"), ("c", "method", "x"))
+    e = edges(
+        spark, ("1", "a", "unresolved:calls", "calls", "dynamic"), ("2", "a", "b", "calls", "multiple_targets"), ("2", "a", "c", "calls", "multiple_targets"), ("3", "b", "c", "calls", "phpstan_resolved"),
+        ("4", "c", "unresolved:calls", "calls", "dynamic"),
+    )
+    assert [tuple(r) for r in graph.rank(n, e, "callees").select("id", "score", "uncertain").collect()] == [("a", 2, 2), ("b", 1, 0), ("c", 0, 1)]
+    assert [tuple(r) for r in graph.rank(n, e, "callers").select("id", "score", "uncertain").collect()] == [("c", 2, 1), ("b", 1, 1), ("a", 0, 0)]
+
+
+def test_entrypoints_call_but_are_not_called(spark):
+    n = spark.createDataFrame(
+        [("a", "method", False), ("b", "method", False), ("c", "method", True), ("d", "function", None), ("e", "class", False), ("f", "method", False)], "id string, kind string, abstract boolean"
+    )
+    e = edges(
+        spark, ("1", "a", "b", "calls", "phpstan_resolved"), ("2", "c", "b", "calls", "phpstan_resolved"), ("3", "d", "b", "calls", "structural_only"), ("4", "e", "b", "calls", "phpstan_resolved"),
+        ("5", "f", "unresolved:calls", "calls", "dynamic"), ("6", "a", "unresolved:calls", "calls", "dynamic"), ("7", "b", "c", "extends", "phpstan_resolved"),
+    )
+    assert [tuple(r) for r in graph.entrypoints(n, e, 9).collect()] == [("d", 1, 0), ("a", 1, 1)]
 
 
 def test_resolution_is_case_sensitive_and_names_what_it_found(spark):
