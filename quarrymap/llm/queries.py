@@ -136,4 +136,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ROUNDS = "".join(
+    f"""a{r} AS MATERIALIZED (SELECT part, id, v, arg_min(entry, (d, entry)) AS entry FROM (SELECT p.part, id, v, entry, list_inner_product(v, v) - 2 * list_inner_product(v, e) + list_inner_product(e, e) AS d FROM p JOIN c{r} USING (part)) GROUP BY 1, 2, 3),
+  m{r} AS (SELECT part, entry, list(x ORDER BY pos) AS e FROM (SELECT part, entry, pos, floor(sum(v[pos]) / count(*)) AS x FROM a{r}, (SELECT unnest(range(1, 1 + (SELECT max(w) FROM k))) AS pos) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (part, entry)), """
+    for r in range(4)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": f"""WITH k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS id, len(embedding) // 4 AS w, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+  p AS MATERIALIZED (SELECT part, id, v[part * w + 1 : part * w + w] AS v FROM k, (SELECT unnest([0, 1, 2, 3]) AS part)), c0 AS (SELECT part, id - 1 AS entry, v AS e FROM p WHERE id <= 256),
+  {_ROUNDS}f AS (SELECT part, id, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT p.part, id, entry, list_inner_product(v, v) - 2 * list_inner_product(v, e) + list_inner_product(e, e) AS d FROM p JOIN c4 USING (part)) GROUP BY 1, 2),
+  g AS (SELECT id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY 1),
+  h AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)
+  SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM g JOIN k USING (id), h""",
+}

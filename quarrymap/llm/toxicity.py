@@ -5,9 +5,9 @@ log of how much more of the toxic documents' tokens it is than of the others', u
 in both, drawn towards 0 by DEVIATIONS standard deviations; tokens without significance score 0. Every token loses DRIFT, so that
 ordinary text runs downwards, and all maximal scoring segments of a document are found in one scan over its tokens.
 
-Scores of segments are set against chance as extreme values: a quarter of the labelled documents is judged by the counts of the rest. On it, LAMBDA solves
-mean(exp(LAMBDA * score)) = 1 over the tokens of the documents that are not toxic, and K makes the number of segments of at least s in n tokens
-K * n * exp(-LAMBDA * s). A passage is significant if that number is at most SIGNIFICANT. The best r segments of a document count together by the
+Scores of segments are set against chance as extreme values: a quarter of the labelled documents is judged by the counts of the rest. The
+segments of those that are not toxic are K a token and their scores lie exponentially about 1 / LAMBDA, so that n tokens have K * n * exp(-LAMBDA * s)
+of at least s; one segment of score 1 is added to those that were found, for where there are few. A passage is significant if that number is at most SIGNIFICANT. The best r segments of a document count together by the
 probability of such a sum; the least over r is the document's evidence. On the same labelled documents a logistic curve from evidence to
 label is fitted by sums over bins of evidence, and gives the score of any document, 0 to 1.
 
@@ -36,10 +36,10 @@ from quarrymap.llm.common import spare, stored
 
 MOST_LABELS = 400_000
 DEVIATIONS, PRIOR, LEAST_COUNT, DRIFT = 3.0, 0.1, 0.01, 0.1
-SIGNIFICANT, BEST, LONGEST, CACHE = 0.01, 8, 64, 400_000
+SIGNIFICANT, BEST, LONGEST, CACHE = 0.01, 2, 64, 400_000
 COUNTS = ["other", "toxic", "other_apart", "toxic_apart"]
-#: Where the mean of exp(lambda * score) is taken, and the bins of evidence.
-LAMBDAS, BIN, MOST_EVIDENCE = [2.0 ** (i / 4) for i in range(-8, 13)], 0.25, 400.0
+#: The bins of evidence.
+BIN, MOST_EVIDENCE = 0.25, 400.0
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -192,42 +192,27 @@ def _weights(counted: DataFrame, other: str, toxic: str) -> dict[str, float]:
 
 
 def _measured(texts: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(toxic, tokens, best, scores, means) of labelled texts: means has the mean of exp(lambda * score) over tokens for each of LAMBDAS."""
+    """(toxic, tokens, found, total, scores) of labelled texts: their segments, the sum of these and the best of them."""
     shared = texts.sparkSession.sparkContext.broadcast(pickle.dumps(weights))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, grid = _Scores(pickle.loads(shared.value)), np.array(LAMBDAS)
+        known = _Scores(pickle.loads(shared.value))
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.text, batch.toxic):
                 scores, found = _of_text(text, known)
-                best = sorted((s for *_, s in found), reverse=True)[:BEST]
-                values, n = np.unique(np.array(scores), return_counts=True)
-                means = np.exp(np.minimum(np.outer(grid, values), 500)) @ n
-                rows.append((int(toxic), len(scores), best[0] if best else 0.0, best, means))
-            yield pd.DataFrame(rows, columns=["toxic", "tokens", "best", "scores", "sums"])
+                sums = sorted((s for *_, s in found), reverse=True)
+                rows.append((int(toxic), len(scores), len(sums), float(sum(sums)), sums[:BEST]))
+            yield pd.DataFrame(rows, columns=["toxic", "tokens", "found", "total", "scores"])
 
-    return texts.mapInPandas(work, "toxic int, tokens long, best double, scores array<double>, sums array<double>")
+    return texts.mapInPandas(work, "toxic int, tokens long, found long, total double, scores array<double>")
 
 
 def _chance(measured: DataFrame) -> Chance:
-    clean = measured.where("toxic = 0 and tokens > 0")
-    sums = clean.agg(F.sum("tokens").alias("n"), *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(len(LAMBDAS))]).first()
-    chance = Chance()
+    sums = measured.where("toxic = 0").agg(F.sum("tokens").alias("n"), F.sum("found").alias("m"), F.sum("total").alias("s")).first()
     if not sums.n:
-        return chance
-    means = [sums[f"s{i}"] / sums.n for i in range(len(LAMBDAS))]
-    above = next((i for i, m in enumerate(means) if m > 1), None)
-    if above is None:
-        chance.rate = 1.0  # no token of these texts scores above 0: log-odds are their own scale
-    elif above == 0:
-        chance.rate = LAMBDAS[0]
-    else:
-        low, high = math.log(means[above - 1]), math.log(means[above])
-        chance.rate = LAMBDAS[above - 1] + (LAMBDAS[above] - LAMBDAS[above - 1]) * -low / (high - low)
-    fitted = clean.agg(F.count("*").alias("n"), F.sum(F.col("tokens") * F.exp(-chance.rate * F.col("best"))).alias("s")).first()
-    chance.k = fitted.n / fitted.s
-    return chance
+        return Chance()
+    return Chance(rate=(sums.m + 1) / (sums.s + 1), k=(sums.m + 1) / sums.n)
 
 
 def _curve(measured: DataFrame, chance: Chance) -> Chance:

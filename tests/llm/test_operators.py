@@ -1,6 +1,8 @@
 import hashlib
 import io
+import math
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -10,7 +12,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymap.llm import fingerprint, language, lines, media, mixing, ngram_join, packing, pii, queries, tokenfile, tokens
+from quarrymap.llm import (
+    fingerprint, language, lines, media, mixing, ngram_join, packing, pii, queries, spelling, tokenfile, tokens, toxicity, vectors,
+)
 from tests.conftest import SF
 from tests.llm import brute
 
@@ -507,3 +511,207 @@ def test_queries_return_their_columns(spark):
     for name, columns in want.items():
         df = queries.QUERIES[name](spark, SF)
         assert df.columns == columns.split() and df.count() == 200
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, code string, integers int")
+
+
+def _by_hand(rows, parts, entries, rounds):
+    """Plain k-means over the integers, as the contract states it: vec_id -> (code, error), and the books."""
+    kept = sorted(((v[0] is None, v[0] or 0, [math.floor(1024 * x) for x in v[1]]), v[0], [math.floor(1024 * x) for x in v[1]]) for v in rows)
+    vectors = [v for _, _, v in kept]
+    width = len(vectors[0]) // parts
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(v, p) for v in vectors[:entries]] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e)), i) for i, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            groups = {}
+            for v in vectors:
+                groups.setdefault(near(cut(v, p), books[p])[1], []).append(cut(v, p))
+            for i, g in groups.items():
+                books[p][i] = [sum(c) // len(c) for c in zip(*g)]
+    found = [(i, [near(cut(v, p), books[p]) for p in range(parts)]) for _, i, v in kept]
+    return sorted(("".join(f"{i:02x}" for _, i in n), sum(d for d, _ in n)) for _, n in found), books
+
+
+def test_vector_codes_against_plain_rounds(spark):
+    rng = random.Random(4)
+    value = lambda: rng.choice([rng.uniform(-1, 1), rng.randint(-2, 2) / 1024, -0.0005])  # noqa: E731  many ties
+    rows = [(i // 2 if i % 9 else None, [value() for _ in range(8)], i % 3 or None, "x", 1) for i in range(120)]
+    rows += [(500, rows[0][1], 1, "x", 1)] * 4
+    odd = [(1, None, 1, "x", 1), (2, [], 1, "x", 1), (3, [1.0] * 7 + [None], 1, "x", 1), (4, [1.0] * 7 + [math.nan], 1, "x", 1), (5, [1.0] * 7 + [math.inf], 2, "x", 1), (6, [1.0] * 12, 2, "x", 1), (7, [1.0] * 7, 2, "x", 1)]
+    for entries in (3, 40, 256):
+        coded, books = vectors.compress(_vectors(spark, rows + odd), entries=entries, parts=4)
+        out = vectors.with_group_error(coded, "label", "label_error").collect()
+        want, by_hand = _by_hand(rows, 4, entries, 4)
+        assert sorted((r.code, r.error) for r in out) == want
+        assert [b.tolist() for b in books.books] == by_hand
+        totals = Counter()
+        for r in out:
+            totals[r.label] += r.error
+        assert all(r.label_error == totals[r.label] and r.integers == 1 for r in out)
+    empty, books = vectors.compress(_vectors(spark, odd[:5]))
+    assert vectors.with_group_error(empty, "label", "label_error").count() == 0 and books.books == []
+    with pytest.raises(Exception, match="or more in size"):
+        vectors.compress(_vectors(spark, [(1, [1e9] * 4, 1, "x", 1)]))[0].count()
+
+
+def test_tree_keeps_lower_index_on_ties():
+    rng = np.random.default_rng(5)
+    for width, spread in ((1, 3), (2, 4), (16, 2), (3, 2**22)):
+        for k in (1, 2, 17, 256):
+            book, points = rng.integers(-spread, spread, (k, width)), rng.integers(-spread, spread, (300, width))
+            found, away = vectors.nearest(vectors.grow(book), book, points)
+            plain = ((points[:, None, :] - book[None]) ** 2).sum(axis=2)
+            assert (found == plain.argmin(axis=1)).all() and (away == plain.min(axis=1)).all()
+
+
+def test_spelling_variants_by_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    for trial, letters in enumerate(("ab", "abcéÿ", "abcdefgh")):
+        words = {"".join(rng.choice(letters) for _ in range(rng.randint(6, 8))) for _ in range(90)} | {"a" * n for n in range(6, 20)} | {"longword" * 300, "longword" * 299 + "longwird"}
+        counted = {w: rng.choice([5, 7, 25, 125, 700]) for w in words}
+        want = {}
+        for w, n in counted.items():
+            near = [(-counted[v], v) for v in words if v != w and brute.within_one_edit(w, v)]
+            best = min(near, default=(0, None))
+            want[w] = (n, len(near), best[1] if -best[0] >= 5 * n else None, -best[0] if -best[0] >= 5 * n else None)
+        df = spark.createDataFrame(list(counted.items()), "word string, n long")
+        for big, rows_per_task in ((10_000, 100_000), (4, 40)):
+            got = spelling.variants(df, big=big, rows_per_task=rows_per_task)
+            rooted = spelling.with_roots(got).collect()
+            assert {r.word: (r.n, r.n_near, r.form, r.form_n) for r in rooted} == want
+            forms = {w: f for w, (_, _, f, _) in want.items()}
+            for r in rooted:
+                at = r.word
+                while forms[at]:
+                    at = forms[at]
+                assert r.root == at
+
+
+def test_spelling_vocabulary(spark, odd, empty):
+    rows = [(d, t) for d in range(30) for t in ["Häuser HÄUSER xÿyzabc Foo_barbaz abcdefghij", None, "", "q" * 7000]] + [(None, "abcdefghij")]
+    want = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            want[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 3 == 0 else run] += 1
+    want = {w: n for w, n in want.items() if len(w) >= 6 and n >= 5}
+    got = spelling.vocabulary(spark.createDataFrame(rows, "doc_id long, text string"), garbled=3)
+    assert dict(map(tuple, got.collect())) == want
+    assert spelling.with_roots(spelling.variants(spelling.vocabulary(empty))).count() == 0
+    assert spelling.with_roots(spelling.variants(spelling.vocabulary(odd, least_count=1))).count() > 0
+
+
+def test_spelling_query_by_brute_force(spark, docs, tmp_path):
+    """The query on a part of the table: the same as counting and comparing all words with each other."""
+    some = docs.orderBy("doc_id").limit(160)
+    some.write.parquet(str(tmp_path / "documents.parquet"))
+    counts = Counter()
+    for d, t in texts_of(some):
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{d}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+    near = {w: [v for v in counts if v != w and abs(len(v) - len(w)) <= 1 and brute.within_one_edit(w, v)] for w in counts}
+    form = {w: (min((-counts[v], v) for v in vs) if vs else None) for w, vs in near.items()}
+    form = {w: f[1] if f and -f[0] >= 5 * counts[w] else None for w, f in form.items()}
+    got = {r.word: r for r in queries.op11_spelling(spark, str(tmp_path)).collect()}
+    assert len(counts) > 200 and got.keys() == counts.keys()
+    for w, r in got.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        assert (r.n, r.n_near, r.form, r.root, r.form_n) == (counts[w], len(near[w]), form[w], root, counts[form[w]] if form[w] else None)
+
+
+def _maximal(scores):
+    """Segments by the recursive definition: the best one (the first, the shortest), then those on both sides of it."""
+    if not scores:
+        return []
+    best = max(((sum(scores[i:j]), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
+    total, i, j = best[0], -best[1], -best[2]
+    if total <= 0:
+        return []
+    return _maximal(scores[:i]) + [(i, j, total)] + [(a + j, b + j, s) for a, b, s in _maximal(scores[j:])]
+
+
+def test_maximal_segments():
+    rng = random.Random(8)
+    for _ in range(300):
+        scores = [rng.choice([-3, -2, -1, 1, 2, 5]) + rng.random() for _ in range(rng.randint(0, 14))]
+        got = toxicity.segments(scores)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in _maximal(scores)]
+        assert all(s == pytest.approx(sum(scores[a:b])) for a, b, s in got)
+    many = [5.0, -4.0] * 100_000
+    start = time.time()
+    assert toxicity.segments(many) == [(0, 199_999, pytest.approx(100_004.0))] and time.time() - start < 5
+
+
+def _toxic_rows(n=400):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(2, 7)))
+    common = [word() for _ in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        text = [rng.choice(common) for _ in range(rng.randint(5, 120))]
+        toxic = i % 8 == 0
+        if toxic:
+            at = rng.randint(0, len(text))
+            text[at:at] = [rng.choice(["Vilewort", "hateling", "scumbane"]) for _ in range(rng.randint(2, 5))]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity(spark, odd):
+    rows, labels = _toxic_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels + [(None, 1), (3, None), (5, 0), (99999, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    assert {"vilewort", "hateling", "scumbane"} <= {w for w, s in model.weights.items() if s > 0}
+    got = {r.doc_id: r.toxicity for r in toxicity.toxicity(docs.withColumn("score", F.lit(1)).withColumn("toxicity", F.lit(2)), model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 50 and all((got[i].score >= 0.5) == (i % 8 == 0) for i in held)
+    for i, text in rows:
+        for p in got[i].passages:
+            assert set(text.lower()[p.start : p.end].split()) & {"vilewort", "hateling", "scumbane"}
+    bad = [p for i in got if i % 8 == 0 for p in got[i].passages]
+    assert len(bad) > 40 and all(p.expected <= toxicity.SIGNIFICANT for p in bad)
+    scored = toxicity.toxicity(odd, model).select("doc_id", "n", "toxicity.score").collect()
+    assert len(scored) == len(ODD) and all(0 <= r.score < 0.5 for r in scored)
+    few = toxicity.train(docs, known, most=100)  # a bounded sample
+    assert few.weights.keys() & {"vilewort", "hateling", "scumbane"}
+
+
+def test_toxicity_without_labels(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    one = spark.createDataFrame([(4, 1), (6, 1)], "doc_id long, toxic int")
+    for labels in (none, one):
+        model = toxicity.train(odd, labels)
+        assert all(r.toxicity.score == 0 and not r.toxicity.passages for r in toxicity.toxicity(odd, model).collect())
+        assert toxicity.toxicity(empty, model).count() == 0
+
+
+def test_toxicity_does_not_look_at_held_out_labels(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.train(docs, x) for x in (labels, turned))
+    assert a == b
+
+
+def test_toxicity_held_out_accuracy(spark):
+    sf = SF.replace("sf0.001", "sf0.1")
+    got = queries.op13_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_vector_codes_against_sql(spark):
+    from tests.parity import connect, differences
+
+    assert not differences(spark, connect(SF), "op12", queries.op12_vector_codes, queries.ORACLE_SQL["op12_vector_codes"], SF)
