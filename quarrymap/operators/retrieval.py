@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,9 +124,20 @@ def search_index(spark: SparkSession, folder: str, words: list[str]) -> DataFram
     return _all_or_any(some, len(words))
 
 
+def embedding_terms(content: Column) -> Column:
+    """The tokens that embeddings count, each as often as it stands there: runs of letters, digits and underscores of three and more, in lower case,
+    and beside each its parts of three and more between underscores and at the humps of camel case."""
+
+    def with_parts(run: Column) -> Column:
+        parts = F.transform(F.split(run, "_+|(?<=[a-z0-9])(?=[A-Z])"), F.lower)
+        return F.concat(F.array(F.lower(run)), F.filter(parts, lambda p: (F.length(p) >= 3) & (p != F.lower(run))))
+
+    return F.flatten(F.transform(F.regexp_extract_all(content, F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)), with_parts))
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) of terms of three letters and more."""
-    words = chunks.select("chunk_id", F.explode(terms(F.col("content"), 3)).alias("term"))
+    """(chunk_id, term, tf) of the tokens that embeddings count."""
+    words = chunks.select("chunk_id", F.explode(embedding_terms(F.col("content"))).alias("term"))
     return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -138,7 +150,7 @@ def idf(chunks: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) with idf = ln((n + 1) / (df + 1)) + 1; from stored term_counts, if there are any, the texts aren't read again."""
     if counts is not None:
         return _idf(counts.groupBy("term").agg(F.count("*").alias("df")), chunks)
-    df = chunks.select(F.explode(F.array_distinct(terms(F.col("content"), 3))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = chunks.select(F.explode(F.array_distinct(embedding_terms(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return _idf(df, chunks)
 
 
@@ -151,24 +163,36 @@ def weighted_terms(known: DataFrame) -> DataFrame:
 
 
 def hashed_embedding(counts: DataFrame, known: DataFrame) -> DataFrame:
-    """(chunk_id, bucket, v): signed sums of idf by hash bucket over term_counts, with the idf of (term, idf) and, for a restored model,
-    without the terms that it doesn't know; not yet scaled."""
-    sums = counts.join(weighted_terms(known), "term").groupBy("chunk_id", "bucket")
+    """(chunk_id, bucket, v): signed sums of idf by hash bucket over term_counts, with the idf of (term, idf); a term that these weights, fitted
+    before it came, don't know counts with 1. Not yet scaled: see unit_vectors."""
+    terms_ = counts.select("term").distinct().join(known.select("term", "idf"), "term", "left").fillna(1.0, ["idf"])
+    sums = counts.join(weighted_terms(terms_), "term").groupBy("chunk_id", "bucket")
     return sums.agg(F.sum(F.col("tf") * F.col("w")).alias("v"))
 
 
-def semantic(counts: DataFrame, known: DataFrame, words: list[str], k: int, cutoff: float | None = 1.0) -> DataFrame:
-    """(chunk_id, distance) of the k chunks (of term_counts) whose embeddings are nearest to that of the words; the cutoff applies
-    after k."""
-    query = known.where(F.col("term").isin(words))
-    query = weighted_terms(query).groupBy("bucket").agg(F.sum("w").alias("q"))  # a row for each word at most
-    norm = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    rows = hashed_embedding(counts, known).join(F.broadcast(query), "bucket", "left")
-    by = rows.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum(F.col("v") * F.coalesce("q", F.lit(0.0))).alias("dot"))
-    by = by.crossJoin(F.broadcast(norm)).where("norm > 0 and q_norm > 0")  # one row
-    apart = F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot") / (F.col("norm") * F.col("q_norm")))), 4)
-    top = by.select("chunk_id", apart.alias("distance")).orderBy("distance", "chunk_id").limit(k)
-    return top if cutoff is None else top.where(F.col("distance") <= cutoff)
+def unit_vectors(sums: DataFrame) -> DataFrame:
+    """(chunk_id, vector) of (chunk_id, bucket, v): an array of BUCKETS floats of length one. Chunks whose sums are all 0 have no direction and
+    are left out."""
+    rows = sums.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    each = lambda i: (F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0)) / F.col("norm")).cast("float")
+    return rows.where("norm > 1e-9").select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), each).alias("vector"))
+
+
+def query_vector(spark: SparkSession, known: DataFrame, query: str) -> list[float]:
+    """The unit vector of a query under the weights (term, idf); all zeros if it has no token."""
+    one = spark.createDataFrame([("q", query)], "chunk_id string, content string")
+    rows = hashed_embedding(term_counts(one), known.join(one.select(F.explode(embedding_terms(F.col("content"))).alias("term")).distinct(), "term", "left_semi"))
+    out = [0.0] * BUCKETS
+    for r in rows.collect():  # BUCKETS at most
+        out[r.bucket] = r.v
+    norm = sum(x * x for x in out) ** 0.5
+    return [x / norm for x in out] if norm > 1e-9 else out
+
+
+def weights_revision(known: DataFrame) -> str:
+    """A name for the terms of some weights: what was embedded under others has another one. It doesn't depend on how the rows lie."""
+    n, s = known.agg(F.count("*"), F.sum(F.xxhash64("term").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{n}:{s}".encode()).hexdigest()[:16]
 
 
 def distance(a: str, b: str) -> Column:

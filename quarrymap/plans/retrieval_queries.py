@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymap.functions import text as tx
 from quarrymap.operators import retrieval as r
+from quarrymap.operators import vector_index
 from quarrymap.plans.registry import query
 from quarrymap.sources import tables as t
 from quarrymap.storage import new_folder, stored
@@ -76,8 +77,15 @@ def lexical_bm25_or(spark, sf_dir):
     return r.bm25(t.chunks(spark, sf_dir), TERMS, False).withColumn("score", F.round("score", 4))
 
 
-IDF_SQL = f"""t AS (SELECT doc_id, unnest({TERMS_SQL.replace('>= 2', '>= 3')}) AS term FROM documents), dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY 1),
+def _embed_sql(text: str) -> str:
+    """The tokens that embeddings count, as a list: humps become underscores before the parts are cut."""
+    parts = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(w, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '_+'), lambda p: lower(p)), lambda p: length(p) >= 3 AND p <> lower(w))"
+    return rf"flatten(list_transform(list_filter(regexp_split_to_array({text}, '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3), lambda w: list_concat([lower(w)], {parts})))"
+
+
+IDF_SQL = f"""t AS (SELECT doc_id, unnest({_embed_sql('text')}) AS term FROM documents), dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY 1),
   known AS (SELECT term, df, round(ln((SELECT count(*) + 1 FROM documents)::DOUBLE / (df + 1)) + 1, 6) AS idf FROM dfs)"""
+_HASHED = "('0x' || x[1:8])::BIGINT % 256 AS bucket, CASE WHEN ('0x' || x[9:10])::BIGINT % 2 = 0 THEN idf ELSE -idf END AS w"
 
 
 @query("idf_table", f"WITH {IDF_SQL} SELECT term, df, idf FROM known")
@@ -85,16 +93,17 @@ def idf_table(spark, sf_dir):
     return r.idf(t.chunks(spark, sf_dir))
 
 
-@query("hashed_embedding", f"""WITH {IDF_SQL}, h AS (SELECT term, idf, sha256(term) AS x FROM known), b AS (SELECT term, idf, ('0x' || x[1:8])::BIGINT % 256 AS bucket, CASE WHEN ('0x' || x[9:10])::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM h),
-  s AS (SELECT doc_id, bucket, sum(sign * idf) AS v FROM t JOIN b USING (term) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1)
-  SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, count(*) AS buckets, round(sum(abs(v / norm)), 2) AS mass FROM s JOIN n USING (doc_id) WHERE norm > 0 AND abs(v) > 1e-9 GROUP BY 1""")
+@query("hashed_embedding", f"""WITH {IDF_SQL}, h AS (SELECT term, idf, sha256(term) AS x FROM known), b AS (SELECT term, {_HASHED} FROM h),
+  s AS (SELECT doc_id, bucket, sum(w) AS v FROM t JOIN b USING (term) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1)
+  SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, count(*) AS buckets, round(sum(abs(v / norm)), 2) AS mass FROM s JOIN n USING (doc_id) WHERE norm > 1e-9 AND abs(v / norm) > 1e-6 GROUP BY 1""")
 def hashed_embedding(spark, sf_dir):
-    """A summary of each chunk's vector: its buckets and the sum of absolute values."""
+    """A summary of each chunk's unit vector: its buckets and the sum of absolute values."""
     chunks = t.chunks(spark, sf_dir)
     counts = stored(r.term_counts(chunks), "terms")
-    out = r.hashed_embedding(counts, r.idf(chunks, counts)).groupBy("chunk_id")
-    out = out.agg(F.count_if(F.abs("v") > 1e-9).alias("buckets"), F.sum(F.abs("v")).alias("a"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return out.where("norm > 0").select("chunk_id", "buckets", F.round(F.col("a") / F.col("norm"), 2).alias("mass"))
+    rows = r.unit_vectors(r.hashed_embedding(counts, r.idf(chunks, counts)))
+    size = F.transform("vector", lambda x: F.abs(x).cast("double"))
+    held = F.filter(size, lambda x: x > 1e-6)
+    return rows.select("chunk_id", F.size(held).cast("long").alias("buckets"), F.round(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), 2).alias("mass"))
 
 
 DISTANCE_SQL = "round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4)"
@@ -141,9 +150,11 @@ def lexical_search(spark, sf_dir):
 @query("lexical_postings", f"WITH {_lexical_sql()} SELECT chunk_id, matched, score FROM lex")
 def lexical_postings(spark, sf_dir):
     """The same from stored postings."""
-    folder = new_folder(spark, "index")
-    r.write_index(t.chunks(spark, sf_dir), folder)
-    return r.search_index(spark, folder, WORDS).withColumn("score", F.round("score", 4))
+    return _posted(spark, sf_dir)
+
+
+def _posted(spark, sf_dir):
+    return r.search_index(spark, _index(spark, sf_dir), WORDS).withColumn("score", F.round("score", 4))
 
 
 @query("stop_word_terms", f"""WITH w AS (SELECT DISTINCT unnest({TERMS_SQL}) AS term FROM documents) SELECT count(*) AS terms, count(*) FILTER (term IN ({_STOP_SQL})) AS stop_words FROM w""")
@@ -152,29 +163,74 @@ def stop_word_terms(spark, sf_dir):
     return w.agg(F.count("*").alias("terms"), F.count_if(F.col("term").isin(r.STOP_WORDS)).alias("stop_words"))
 
 
-SEMANTIC_SQL = f"""{IDF_SQL}, h AS (SELECT term, idf, sha256(term) AS x FROM known), b AS (SELECT term, ('0x' || x[1:8])::BIGINT % 256 AS bucket, CASE WHEN ('0x' || x[9:10])::BIGINT % 2 = 0 THEN idf ELSE -idf END AS w FROM h),
-  v AS (SELECT doc_id, bucket, sum(w) AS v FROM t JOIN b USING (term) GROUP BY 1, 2), q AS (SELECT bucket, sum(w) AS q FROM b WHERE term IN ({_WORDS_SQL}) GROUP BY 1),
+SEMANTIC_SQL = f"""{IDF_SQL}, h AS (SELECT term, idf, sha256(term) AS x FROM known), b AS (SELECT term, {_HASHED} FROM h),
+  v AS (SELECT doc_id, bucket, sum(w) AS v FROM t JOIN b USING (term) GROUP BY 1, 2),
+  q AS (SELECT bucket, sum(w) AS q FROM (SELECT {_HASHED} FROM (SELECT coalesce(idf, 1) AS idf, sha256(term) AS x FROM (SELECT unnest({_embed_sql("'" + QUERY + "'")}) AS term) LEFT JOIN known USING (term))) GROUP BY 1),
   d AS (SELECT doc_id, sqrt(sum(v * v)) AS norm, sum(v * coalesce(q, 0)) AS dot FROM v LEFT JOIN q USING (bucket) GROUP BY 1),
-  near AS (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, round(sqrt(greatest(0, 2 - 2 * dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)))), 4) AS distance FROM d WHERE norm > 0 ORDER BY 2, 1 LIMIT {3 * LIMIT})"""
+  near AS (SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, round(sqrt(greatest(0, 2 - 2 * dot / (norm * (SELECT sqrt(sum(q * q)) FROM q)))), 4) AS distance FROM d WHERE norm > 1e-9 ORDER BY 2, 1 LIMIT {3 * LIMIT})"""
+
+_BUILT: dict[tuple[str, int], str] = {}
+
+
+def _index(spark, sf_dir) -> str:
+    """The folder of the stored index of a table's chunks: postings, weights, and the vectors under these. It is built once for the files as they
+    are; a search reads of it what it needs."""
+    file = F.col("_metadata")
+    files = t.table(spark, sf_dir, "documents").select(F.xxhash64(file.file_path, file.file_size, file.file_modification_time).alias("f")).distinct()
+    revision = int(files.agg(F.coalesce(F.sum(F.col("f").cast("decimal(38,0)")), F.lit(0))).first()[0])
+    if (sf_dir, revision) not in _BUILT:
+        folder, chunks = new_folder(spark, "search"), t.chunks(spark, sf_dir)
+        r.write_index(chunks, folder)
+        counts = stored(r.term_counts(chunks), "terms")
+        r.idf(chunks, counts).write.parquet(f"{folder}/weights")
+        vectors = r.unit_vectors(r.hashed_embedding(counts, spark.read.parquet(f"{folder}/weights")))
+        vector_index.write_cells(vectors.withColumnRenamed("chunk_id", "id"), folder)
+        _BUILT[sf_dir, revision] = folder
+    return _BUILT[sf_dir, revision]
 
 
 def _semantic(spark, sf_dir):
-    chunks = t.chunks(spark, sf_dir)
-    counts = stored(r.term_counts(chunks), "terms")
-    return r.semantic(counts, stored(r.idf(chunks, counts), "idf"), WORDS, 3 * LIMIT, CUTOFF)
+    folder = _index(spark, sf_dir)
+    vector = r.query_vector(spark, spark.read.parquet(f"{folder}/weights"), QUERY)
+    near = vector_index.search(spark, folder, vector, 3 * LIMIT).withColumnRenamed("id", "chunk_id")
+    return near.where(F.col("distance") <= CUTOFF)  # after the first so many, as ranks go
 
 
-@query("embedding_restored", f"""WITH {IDF_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 2 = 0)").replace("t AS (SELECT doc_id", "t0 AS (SELECT doc_id").replace("FROM t GROUP", "FROM t0 GROUP")}, t AS (SELECT doc_id, unnest({TERMS_SQL.replace(">= 2", ">= 3")}) AS term FROM documents),
-  h AS (SELECT term, idf, sha256(term) AS x FROM known), b AS (SELECT term, ('0x' || x[1:8])::BIGINT % 256 AS bucket, CASE WHEN ('0x' || x[9:10])::BIGINT % 2 = 0 THEN idf ELSE -idf END AS w FROM h),
+@query("embedding_restored", f"""WITH t AS (SELECT doc_id, unnest({_embed_sql('text')}) AS term FROM documents), dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM t WHERE doc_id % 2 = 0 GROUP BY 1),
+  known AS (SELECT term, round(ln((SELECT count(*) + 1 FROM documents WHERE doc_id % 2 = 0)::DOUBLE / (df + 1)) + 1, 6) AS idf FROM dfs),
+  h AS (SELECT term, coalesce(idf, 1) AS idf, sha256(term) AS x FROM (SELECT DISTINCT term FROM t) LEFT JOIN known USING (term)), b AS (SELECT term, {_HASHED} FROM h),
   s AS (SELECT doc_id, bucket, sum(w) AS v FROM t JOIN b USING (term) GROUP BY 1, 2) SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, count(*) AS buckets, round(sum(v), 6) AS total FROM s GROUP BY 1""")
 def embedding_restored(spark, sf_dir):
-    """A refresh takes the weights that were fitted before, here on every other document, and doesn't fit again."""
+    """A refresh takes the weights that were fitted before, here on every other document, and doesn't fit again; what they don't know counts with 1."""
     chunks = t.chunks(spark, sf_dir)
     fitted = stored(r.idf(chunks.where("doc_id % 2 = 0")), "model")
     out = r.hashed_embedding(r.term_counts(chunks), fitted).groupBy("chunk_id")
     return out.agg(F.count("*").alias("buckets"), F.round(F.sum("v"), 6).alias("total"))
 
 
+NEAR = 5
+_NEIGHBOURS_SQL = f"""SELECT q.vec_id AS query, e.vec_id AS id, {DISTANCE_SQL} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE_SQL}, e.vec_id)::INT AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id"""
+
+
+def _neighbours(spark, sf_dir, exact: bool):
+    """Of each vector whose id 50 divides, in an index of all vectors."""
+    rows = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    folder = new_folder(spark, "cells")
+    vector_index.write_cells(rows, folder)
+    return vector_index.neighbours(spark, folder, rows.where("id % 50 = 0"), NEAR, exact)
+
+
+@query("vector_neighbours", f"SELECT * FROM ({_NEIGHBOURS_SQL}) WHERE rank <= {NEAR}")
+def vector_neighbours(spark, sf_dir):
+    return _neighbours(spark, sf_dir, True)
+
+
+@query("vector_neighbours_probed")
+def vector_neighbours_probed(spark, sf_dir):
+    """The same from the nearest cells alone; tests hold the recall against the exact one."""
+    return _neighbours(spark, sf_dir, False)
+
+
 @query("semantic_search", f"WITH {SEMANTIC_SQL} SELECT chunk_id, distance FROM near WHERE distance <= {CUTOFF}")
 def semantic_search(spark, sf_dir):
     return _semantic(spark, sf_dir)
@@ -203,7 +259,7 @@ CHANNELS_SQL = f"""WITH {_lexical_sql()}, l AS (SELECT chunk_id, row_number() OV
 def _channels(spark, sf_dir) -> dict:
     near = stored(_semantic(spark, sf_dir), "semantic")
     ranked = near.select("chunk_id", F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("rank"))  # 3 * LIMIT rows at most
-    lists = {"structural": _structural(spark, sf_dir), "lexical": r.top_ranks(_scored(spark, sf_dir), 3 * LIMIT), "semantic": ranked}
+    lists = {"structural": _structural(spark, sf_dir), "lexical": r.top_ranks(_posted(spark, sf_dir), 3 * LIMIT), "semantic": ranked}
     return {name: stored(df, name) for name, df in lists.items()}
 
 
