@@ -47,18 +47,23 @@ def source_pieces(files: DataFrame) -> DataFrame:
     return rows.select("path", "no", kind.alias("kind"), "piece", so_far(F.octet_length(p)).alias("start"), (1 + so_far(breaks)).alias("line"))
 
 
+def code_pieces(files: DataFrame) -> DataFrame:
+    """source_pieces without comments and what is blank: what stands beside each other here does so for the parser."""
+    return source_pieces(files).where((F.col("kind") != "comment") & (F.btrim("piece", F.lit(" \t\r\n")) != ""))
+
+
 def name_tokens(files: DataFrame) -> DataFrame:
     """(path, role, name, actual, start, end, line): names that are called as methods (after -> or ::, before a parenthesis) or declared as functions,
     outside comments and strings; end is the last byte. name is in lower case."""
-    rows = source_pieces(files).where("kind <> 'comment'")
+    rows = code_pieces(files)
     w = Window.partitionBy("path").orderBy("no")
     rows = rows.select(
-        "path", "kind", "start", "line", F.col("piece").alias("actual"), F.trim(F.lag("piece").over(w)).alias("b1"), F.lower(F.lag("piece", 2).over(w)).alias("b2"),
+        "path", "kind", "start", "line", F.col("piece").alias("actual"), F.lag("piece").over(w).alias("b1"), F.lower(F.lag("piece", 2).over(w)).alias("b2"),
         F.lead("piece").over(w).alias("next"),
     )
     b1 = F.btrim("b1", F.lit(" \t\r\n"))
     call = (b1.endswith("->") | b1.endswith("::")) & F.btrim("next", F.lit(" \t\r\n")).startswith("(")
-    declared = b1.isin("", "&") & (F.col("b2") == "function")
+    declared = (F.lower("b1") == "function") | ((b1 == "&") & (F.col("b2") == "function"))
     rows = rows.where("kind = 'name'").withColumn("role", F.when(call, "call").when(declared, "declaration")).where("role is not null")
     return rows.select("path", "role", ascii_lower("actual").alias("name"), "actual", "start", (F.col("start") + F.octet_length("actual") - 1).alias("end"), "line")
 

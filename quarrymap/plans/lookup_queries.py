@@ -44,7 +44,7 @@ def largest_files(spark, sf_dir):
     return d.select(path, lines).orderBy(F.desc("lines"), "path").limit(20)
 
 
-TERM = "docs"
+TERM = "en"
 _C, _N = "lower(path)", "regexp_replace(lower(path), '[^a-z0-9]+', '', 'g')"
 
 

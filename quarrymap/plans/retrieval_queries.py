@@ -115,10 +115,14 @@ def knn_l2(spark, sf_dir):
     return r.knn(t.table(spark, sf_dir, "embeddings"), 0, 20)
 
 
+#: These vectors are about 1.1 to 1.7 apart; this keeps some of the sixty nearest.
+KNN_CUTOFF = 1.22
+
+
 @query("knn_cutoff", f"""WITH k AS (SELECT e.vec_id, {DISTANCE_SQL} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY 2, 1 LIMIT 60)
-  SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM k WHERE distance <= 1.0""")
+  SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM k WHERE distance <= {KNN_CUTOFF}""")
 def knn_cutoff(spark, sf_dir):
-    return r.knn(t.table(spark, sf_dir, "embeddings"), 0, 60, 1.0)
+    return r.knn(t.table(spark, sf_dir, "embeddings"), 0, 60, KNN_CUTOFF)
 
 
 QUERY, LIMIT = "the licence of doc:7 and the public license", 10
@@ -296,14 +300,17 @@ def embedding_cache(spark, sf_dir):
     return all_.join(cache, "content_sha256", "left").select("content_sha256", F.coalesce("hit", F.lit(False)).alias("cached"), "chunks")
 
 
-@query("index_health", """SELECT count(*) AS chunks, count(DISTINCT doc_id) AS ids, count(*) FILTER (trim(text, ' ' || chr(10)) = '') AS blank FROM documents""")
+@query("index_health", f"""WITH w AS (SELECT 'doc:' || doc_id || '#body:v1' AS id, len({SEARCH_SQL}) AS len, len({_embed_sql('text')}) AS tokens FROM documents)
+  SELECT count(*) AS chunks, count(*) FILTER (len = 0) AS without_postings, count(*) FILTER (tokens = 0) AS without_vector, 0 AS orphan_postings, 0 AS orphan_vectors, sum(len)::BIGINT AS terms FROM w""")
 def index_health(spark, sf_dir):
-    d = t.table(spark, sf_dir, "documents")
-    return d.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("ids"), F.count_if(~F.col("text").rlike("[^ \n]")).alias("blank"))
-
-
-@query("table_hints", """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\b(from|join|into|update)\\s+([a-z_]+)', 2)) AS name FROM documents) SELECT name, count(*) AS hints, count(DISTINCT doc_id) AS documents FROM m GROUP BY 1""")
-def table_hints(spark, sf_dir):
-    names = F.regexp_extract_all(F.lower("text"), F.lit(r"\b(from|join|into|update)\s+([a-z_]+)"), F.lit(2))
-    m = t.table(spark, sf_dir, "documents").select("doc_id", F.explode(names).alias("name"))
-    return m.groupBy("name").agg(F.count("*").alias("hints"), F.countDistinct("doc_id").alias("documents"))
+    """What the stored index has for the chunks, and what it has that no chunk stands behind."""
+    folder = _index(spark, sf_dir)
+    chunks = t.chunks(spark, sf_dir).select("chunk_id")
+    posted = spark.read.parquet(f"{folder}/postings").groupBy("chunk_id").agg(F.sum("tf").alias("terms"))
+    placed = spark.read.parquet(f"{folder}/vectors").select(F.col("id").alias("chunk_id"), F.lit(True).alias("vector"))
+    both = chunks.withColumn("chunk", F.lit(True)).join(posted, "chunk_id", "full").join(placed, "chunk_id", "full")
+    none = lambda c: F.col(c).isNull()
+    return both.agg(
+        F.count("chunk").alias("chunks"), F.count_if(~none("chunk") & none("terms")).alias("without_postings"), F.count_if(~none("chunk") & none("vector")).alias("without_vector"),
+        F.count_if(none("chunk") & ~none("terms")).alias("orphan_postings"), F.count_if(none("chunk") & ~none("vector")).alias("orphan_vectors"), F.sum("terms").alias("terms"),
+    )
