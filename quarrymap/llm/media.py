@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -117,18 +118,23 @@ def decode_png(data: bytes) -> np.ndarray:
         if struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError("checksum differs")
         if kind == b"IHDR":
+            if len(body) != 13 or head is not None:
+                raise ValueError("not one head of 13 bytes")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
         ended, at = kind == b"IEND", at + 12 + size
     if head is None or not ended or head[2] != 8 or head[3] not in CHANNELS or head[6]:
         raise ValueError("not a whole 8-bit image")
+    if not head[0] or not head[1]:
+        raise ValueError("an image without samples")
     bpp = CHANNELS[head[3]]
-    try:
-        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    size, unpacker = head[1] * (head[0] * bpp + 1), zlib.decompressobj()
+    try:  # no more is unpacked than the head says, whatever is packed
+        raw = np.frombuffer(unpacker.decompress(b"".join(packed), min(size + 1, sys.maxsize)), np.uint8)
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    if raw.size != head[1] * (head[0] * bpp + 1):
+    if raw.size != size or not unpacker.eof:
         raise ValueError("wrong amount of data")
     return unfilter(raw.reshape(head[1], -1), bpp)
 
