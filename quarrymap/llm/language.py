@@ -193,17 +193,16 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
-    """Fit on (doc_id, text, lang): per_language rows of each language, the least by a hash of doc_id and text.
+    """Fit on (doc_id, text, lang): per_language rows of each language, the least by a hash of doc_id and text. Of more than
+    most_languages labels the most frequent are learned (of as frequent ones the first by name), the others aren't.
 
     Rows above a threshold of that hash, from the count of the language, are left out where they are read, so that about three
     times per_language rows of a language go on, as vectors, whatever the number of tasks. One task fits the model; it gets
     per_language rows of a few KB for each of at most most_languages languages. Only the weights come to the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter("text"))
     rows = rows.select("lang", "doc_id", "text")
-    shares = rows.groupBy("lang").agg((F.lit(3.0 * per_language) / F.count("*")).alias("share"))
-    shares = stored(shares, "languages")
-    if shares.count() > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    shares = stored(sizes.select("lang", (F.lit(3.0 * per_language) / F.col("n")).alias("share")), "languages")
     place = F.xxhash64("doc_id", "text")
     rows = rows.withColumn("place", place).join(F.broadcast(shares), "lang")
     rows = rows.where(F.shiftrightunsigned("place", 11) * F.lit(2.0**-53) < F.col("share"))

@@ -715,3 +715,37 @@ def test_vector_codes_against_sql(spark):
     from tests.parity import connect, differences
 
     assert not differences(spark, connect(SF), "op12", queries.op12_vector_codes, queries.ORACLE_SQL["op12_vector_codes"], SF)
+
+
+def test_png_reader_only_raises_value_errors(spark):
+    """Heads of any length and size, images without samples, and whatever is packed in them, under right checksums."""
+    rng, good = random.Random(14), media.encode_png(media.payload_of("some text of an image"))
+    chunk, ihdr = media._chunk, lambda *x: media.struct.pack(">IIBBBBB", *x)
+    idat = chunk(b"IDAT", zlib.compress(bytes(65)))
+    odd = [
+        media.SIGNATURE + chunk(b"IHDR", head) + idat + chunk(b"IEND", b"")
+        for head in (b"", b"x" * 12, b"x" * 14, ihdr(0, 1, 8, 0, 0, 0, 0), ihdr(64, 0, 8, 0, 0, 0, 0), ihdr(2**32 - 1, 2**32 - 1, 8, 6, 0, 0, 0), ihdr(64, 1, 16, 0, 0, 0, 0))
+    ]
+    head = chunk(b"IHDR", ihdr(64, 1, 8, 0, 0, 0, 0))
+    odd += [media.SIGNATURE + head + head + idat + chunk(b"IEND", b""), media.SIGNATURE + head + chunk(b"IEND", b"")]
+    odd += [media.SIGNATURE + head + chunk(b"IDAT", zlib.compress(bytes(10_000_000))) + chunk(b"IEND", b""), media.SIGNATURE + head + chunk(b"IDAT", zlib.compress(b"\7" + bytes(64))) + chunk(b"IEND", b"")]
+    for _ in range(500):
+        data = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        odd.append(bytes(data[: rng.choice([len(data), rng.randrange(len(data))])]))
+        body = bytes(rng.randrange(256) for _ in range(rng.randint(0, 20)))
+        odd.append(media.SIGNATURE + chunk(b"IHDR", body) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b""))
+    for data in odd:
+        try:
+            assert media.decode_png(data).size
+        except ValueError:
+            pass
+    rows = spark.createDataFrame([(x,) for x in odd[:12] + [good, None]], "media binary").select(media.features_of("media").alias("f")).collect()
+    assert [r.f.ok for r in rows] == [False] * 11 + [rows[11].f.ok, True, False]
+
+
+def test_more_labels_than_languages(spark):
+    rows = [(i, f"{w} text of words {i}", lang) for i, (w, lang) in enumerate([("some", "aa")] * 5 + [("other", "bb")] * 4 + [("odd", f"x{i}") for i in range(30)])]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=3)
+    assert sorted(g for gs in model.languages.values() for g in gs) == ["aa", "bb", "x0"]
