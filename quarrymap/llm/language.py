@@ -6,7 +6,7 @@ the family; within it, one linear support vector machine for each two languages
 
 Margins only compare the learned languages, so the score is their product with how likely the text is to be any of them:
 the mean log-likelihood of its grams under each language's gram frequencies, less the mean for that language, in standard
-deviations for a text of its length; the best language counts. Random letters, code and languages that were not learned
+deviations for a text of its length; the best language counts, or the two nearest in parts, so that a text in two languages is known. Random letters, code and languages that were not learned
 score near 0, and so does a text of one letter, which tells no language. Short texts give little evidence either way.
 
 Training takes at most `per_language` labelled documents of each language (in the order of a hash of doc_id and text): a
@@ -51,6 +51,8 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 #: independent ones, least variance between texts of a language, grams from which texts show that variance, and the
 #: deviations below the mean at which a text is as likely as not to be of no learned language.
 EVEN, OVERLAP, LEAST_VARIANCE, LONG, FAR = 0.01, 4.0, 0.02, 3000, 4.5
+#: Texts that are farther than this from each language are held against parts of the two nearest.
+NEAR, PARTS = -2.0, (0.2, 0.35, 0.5, 0.65, 0.8)
 
 
 def grams(text: str) -> np.ndarray:
@@ -108,6 +110,13 @@ class Profile:
         between = max(LEAST_VARIANCE, float(off.var()) if len(off) else 0.0)
         return Profile(log_share, mean, float(q @ (log_share - mean) ** 2), between)
 
+    def with_part(self, other: Profile, part: float) -> Profile:
+        """The profile of texts of which such a part is in the other language."""
+        q = (1 - part) * np.exp(self.log_share) + part * np.exp(other.log_share)
+        log_share = np.log(q)
+        mean = float(q @ log_share)
+        return Profile(log_share, mean, float(q @ (log_share - mean) ** 2), max(self.between, other.between))
+
     def deviations(self, counts: np.ndarray) -> np.ndarray:
         n = counts.sum(axis=1, dtype=np.float64)
         return (counts @ self.log_share / n - self.mean) / np.sqrt(OVERLAP * self.variance / n + self.between)
@@ -122,8 +131,14 @@ class Model:
     profiles: list[Profile] = field(default_factory=list)
 
     def known(self, counts: np.ndarray) -> np.ndarray:
-        """How likely each row of counts is to be of any learned language, 0 to 1."""
-        best = np.max([p.deviations(counts) for p in self.profiles], axis=0)
+        """How likely each row of counts is to be of any learned language, or of the two nearest ones in parts, 0 to 1."""
+        each = np.stack([p.deviations(counts) for p in self.profiles])
+        best = each.max(axis=0)
+        if len(self.profiles) > 1:
+            two = np.sort(np.argsort(-each, axis=0, kind="stable")[:2], axis=0)
+            for row in np.flatnonzero(best < NEAR):  # few
+                a, b = (self.profiles[i] for i in two[:, row])
+                best[row] = max(best[row], *(a.with_part(b, w).deviations(counts[row : row + 1])[0] for w in PARTS))
         # n letters make 3 n + 3 grams, with the blanks at both ends
         return np.where(counts.sum(axis=1) <= 6, 0.0, _logistic((best + FAR) / 2))
 
