@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from quarrymap.functions.text import nul_hash
 
 
-def cochange(commits: DataFrame, most_files: int, at_least: int) -> DataFrame:
-    """Pairs of files of (commit_ord, file) that change together, left < right. Commits of more than most_files files are
-    left out before any pair is made, so a commit gives at most most_files ** 2 / 2 rows."""
+def cochange(commits: DataFrame, most_files: int, at_least: int, files: DataFrame | None = None) -> DataFrame:
+    """Pairs of files of (commit_ord, file) that change together, left < right. Changes of files that aren't in files (file), if given, don't
+    count. Then commits of more than most_files files are left out before any pair is made, so a commit gives at most most_files ** 2 / 2 rows."""
+    commits = commits.select("commit_ord", "file").distinct()
+    if files is not None:
+        commits = commits.join(files.select("file").distinct(), "file", "left_semi")
     size = commits.groupBy("commit_ord").agg(F.count("*").alias("n"))
     live = commits.join(size.where(F.col("n") <= most_files), "commit_ord").select("commit_ord", "file")
     changes = live.groupBy("file").agg(F.count("*").alias("changes"))

@@ -143,6 +143,54 @@ def reconciled_symbols(spark, sf_dir):
     return ingest.reconcile(*_records(spark, sf_dir))
 
 
+# Suppliers as classes: what the structure says of them, and for all but each sixth what a type analyser does.
+_MERGE_SQL = r"""x AS (SELECT 'class:S' || s_suppkey AS id, s_suppkey AS k, s_nationkey AS n FROM supplier),
+  s AS (SELECT id, k, CASE WHEN n % 2 = 0 THEN ['Base' || n] ELSE []::VARCHAR[] END AS own, CASE WHEN k % 5 = 2 THEN ['Base' || n, 'Extra' || k] WHEN n % 2 = 0 THEN ['Base' || n] ELSE []::VARCHAR[] END AS told FROM x)"""
+
+
+def _merged(spark, sf_dir):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    s = t.table(spark, sf_dir, "supplier")
+    ident = F.concat(F.lit("class:S"), k).alias("id")
+    base, none = F.concat(F.lit("Base"), n), F.array().cast("array<string>")
+    own = F.when(n % 2 == 0, F.array(base)).otherwise(none)
+    structural = s.select(ident, F.lit("class").alias("kind"), F.lit("f.php").alias("file"), own.alias("extends"), none.alias("implements"), none.alias("uses"))
+    told = F.when(k % 5 == 2, F.array(F.concat(F.lit("Extra"), k), F.concat(F.lit("\\"), base), base)).when(k % 5 == 3, F.lit(None)).otherwise(own)
+    kind, file = F.when(k % 11 == 4, "trait").otherwise("class"), F.when(k % 13 == 5, "g.php")
+    templates = F.when(k % 17 == 6, F.create_map(F.lit("T"), F.lit("int")))
+    records = s.where(k % 6 != 0).select(ident, kind.alias("kind"), file.alias("file"), told.alias("extends"), F.lit(None).cast("array<string>").alias("implements"), none.alias("uses"), templates.alias("templates"))
+    symbols = ingest.merge_symbols(structural, records)
+    m = F.concat(F.lit("method:S"), k, F.lit("::run")).alias("id")
+    params = F.array(F.concat(F.lit("$a"), k % 3))
+    methods = s.select(m, k.cast("int").alias("line_start"), F.when(k % 3 == 0, "int").alias("native"), params.alias("parameters"))
+    line = F.when(k % 7 == 1, k + 1).otherwise(k).cast("int")
+    known = s.where(k % 6 != 0).select(
+        m, line.alias("line_start"), F.lit(None).cast("string").alias("native"), F.when(k % 9 == 2, "list<int>").alias("phpdoc"), F.when(k % 4 == 1, "int").alias("resolved"),
+        F.when(k % 10 == 7, F.array(F.lit("$z"))).otherwise(none).alias("parameters"),
+    )
+    return symbols, ingest.merge_methods(methods, known)
+
+
+@query("merged_symbols", f"""WITH {_MERGE_SQL} SELECT id, CASE WHEN k % 6 = 0 THEN array_to_string(own, ',') ELSE array_to_string(told, ',') END AS extends, CASE WHEN k % 6 <> 0 AND k % 17 = 6 THEN 1 ELSE 0 END AS templates,
+  CASE WHEN k % 6 = 0 THEN 'structural_only' WHEN k % 11 = 4 OR k % 13 = 5 THEN 'conflict' WHEN k % 17 = 6 OR own <> told THEN 'semantic_enrichment' ELSE 'confirmed' END AS status FROM s""")
+def merged_symbols(spark, sf_dir):
+    symbols, _ = _merged(spark, sf_dir)
+    return symbols.select("id", F.array_join("extends", ",").alias("extends"), F.size(F.map_keys("templates")).alias("templates"), "status")
+
+
+@query("merged_methods", f"""WITH {_MERGE_SQL} SELECT 'method:S' || k || '::run' AS id, CASE WHEN k % 6 <> 0 AND k % 10 = 7 THEN '$z' ELSE '$a' || k % 3 END AS parameters, k % 6 <> 0 AND k % 7 = 1 AS moved,
+  CASE WHEN k % 6 = 0 THEN 'structural_only' WHEN k % 9 = 2 OR (k % 4 = 1 AND k % 3 <> 0) OR k % 10 = 7 THEN 'semantic_enrichment' ELSE 'confirmed' END AS status FROM s""")
+def merged_methods(spark, sf_dir):
+    _, methods = _merged(spark, sf_dir)
+    return methods.select("id", F.array_join("parameters", ",").alias("parameters"), "moved", "status")
+
+
+@query("merge_diagnostics", f"""WITH {_MERGE_SQL} SELECT 'error' AS level, 'symbol_conflict' AS code, id FROM s WHERE k % 6 <> 0 AND (k % 11 = 4 OR k % 13 = 5)
+  UNION ALL SELECT 'info', 'source_range_mismatch', 'method:S' || k || '::run' FROM s WHERE k % 6 <> 0 AND k % 7 = 1""")
+def merge_diagnostics(spark, sf_dir):
+    return ingest.merge_diagnostics(*_merged(spark, sf_dir))
+
+
 @query("reconciled_files", f"WITH {STRUCTURAL_SQL} SELECT file, CASE WHEN count(*) FILTER (record <> 'none') > 0 THEN 'analysed' ELSE 'no_semantic_records' END AS semantic_status, count(*) FILTER (record = 'none') AS missing FROM merged GROUP BY 1")
 def reconciled_files(spark, sf_dir):
     return ingest.file_status(ingest.reconcile(*_records(spark, sf_dir)))

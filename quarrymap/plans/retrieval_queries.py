@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymap.functions import text as tx
 from quarrymap.operators import retrieval as r
-from quarrymap.operators import vector_index
+from quarrymap.operators import segments, vector_index
 from quarrymap.plans.registry import query
 from quarrymap.sources import tables as t
 from quarrymap.storage import new_folder, stored
@@ -161,6 +161,31 @@ def _posted(spark, sf_dir):
     return r.search_index(spark, _index(spark, sf_dir), WORDS).withColumn("score", F.round("score", 4))
 
 
+def _refreshed(spark, sf_dir, merged: bool):
+    """An index of the documents as they were (each tenth said something else, each thirteenth wasn't there yet, and others were that are gone), brought up
+    to date in two refreshes."""
+    root, now = new_folder(spark, "segments"), t.chunks(spark, sf_dir).withColumn("path", F.col("symbol_id"))
+    old = now.where("doc_id % 13 != 0").withColumn("content", F.when(F.col("doc_id") % 10 == 0, "the public license was here").otherwise(F.col("content")))
+    lost = now.where("doc_id % 50 = 3").withColumns({"path": F.concat("path", F.lit("/old")), "chunk_id": F.concat("chunk_id", F.lit("/old"))})
+    segments.build(root, old.unionByName(lost))
+    segments.refresh(root, now.where("doc_id % 10 = 0").select("path").union(lost.select("path")), now)
+    segments.refresh(root, now.where("doc_id % 13 = 0").select("path"), now)
+    if merged:
+        segments.merge(spark, root)
+    return segments.search(spark, root, WORDS).withColumn("score", F.round("score", 4))
+
+
+@query("postings_refreshed", f"WITH {_lexical_sql()} SELECT chunk_id, matched, score FROM lex")
+def postings_refreshed(spark, sf_dir):
+    """A refreshed index finds what one that was built anew does."""
+    return _refreshed(spark, sf_dir, False)
+
+
+@query("postings_merged", f"WITH {_lexical_sql()} SELECT chunk_id, matched, score FROM lex")
+def postings_merged(spark, sf_dir):
+    return _refreshed(spark, sf_dir, True)
+
+
 @query("stop_word_terms", f"""WITH w AS (SELECT DISTINCT unnest({TERMS_SQL}) AS term FROM documents) SELECT count(*) AS terms, count(*) FILTER (term IN ({_STOP_SQL})) AS stop_words FROM w""")
 def stop_word_terms(spark, sf_dir):
     w = t.chunks(spark, sf_dir).select(F.explode(r.terms(F.col("content"))).alias("term")).distinct()

@@ -10,7 +10,8 @@ from quarrymap.sources import tables as t
 from quarrymap.sources.tables import COMMITS_SQL, EDGES_SQL, NODES_SQL
 
 MOST, LEAST = 6, 2
-PAIRS_SQL = f"""WITH {COMMITS_SQL}, live AS (SELECT commit_ord, file FROM commits WHERE commit_ord IN (SELECT commit_ord FROM commits GROUP BY 1 HAVING count(*) <= {MOST})),
+# Parts of the greatest size are files that the map doesn't hold.
+PAIRS_SQL = f"""WITH {COMMITS_SQL}, held AS (SELECT * FROM commits WHERE file IN (SELECT p_partkey FROM part WHERE p_size < 50)), live AS (SELECT commit_ord, file FROM held WHERE commit_ord IN (SELECT commit_ord FROM held GROUP BY 1 HAVING count(*) <= {MOST})),
   changes AS (SELECT file, count(*) AS n FROM live GROUP BY 1),
   pairs AS (SELECT a.file AS "left", b.file AS "right", count(*) AS together, string_agg(a.commit_ord, ',' ORDER BY a.commit_ord) AS revisions FROM live a JOIN live b ON a.commit_ord = b.commit_ord AND a.file < b.file GROUP BY 1, 2 HAVING count(*) >= {LEAST}),
   rated AS (SELECT "left", "right", together, round(together / least(x.n, y.n)::DOUBLE, 6) AS smaller_ratio, round(together / (x.n + y.n - together)::DOUBLE, 6) AS jaccard, revisions
@@ -18,7 +19,8 @@ PAIRS_SQL = f"""WITH {COMMITS_SQL}, live AS (SELECT commit_ord, file FROM commit
 
 
 def _pairs(spark, sf_dir):
-    return temporal.cochange(t.commits(spark, sf_dir), MOST, LEAST)
+    held = t.table(spark, sf_dir, "part").where("p_size < 50").select(F.col("p_partkey").alias("file"))
+    return temporal.cochange(t.commits(spark, sf_dir), MOST, LEAST, held)
 
 
 @query("cochange_pairs", f'{PAIRS_SQL} SELECT * FROM rated ORDER BY together DESC, smaller_ratio DESC, jaccard DESC, "left", "right"')
