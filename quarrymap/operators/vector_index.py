@@ -1,7 +1,8 @@
 """A stored index of vectors by coarse cells: a search reads the cells that matter and ranks what is in them exactly.
 
 Cells are the places nearest to centroids, which are fitted on a bounded sample of the vectors (SAMPLE, the first by a hash of their ids); every
-vector is put into a cell, and a cell remembers how far its farthest vector is from the centroid. A search looks into its nearest `probes` cells; an
+vector is put into a cell, and a cell remembers how far its farthest vector is from the centroid. On the same sample it is measured how many of the nearest
+cells hold RECALL of the true neighbours of QUERIES of its vectors, and that number is kept. A search looks into so many cells (or `probes`); an
 exact one then also into all cells that could hold something as near as what was found, by the triangle inequality. Cells are folders, so
 that a search of a few cells reads these alone; a cell of any size is written in as many files as its bytes need.
 """
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from quarrymap.operators.retrieval import distance
 from quarrymap.storage import stored
 
-SAMPLE, MOST_CELLS, FIT_ROUNDS, PROBES = 20_000, 4096, 8, 8
+SAMPLE, MOST_CELLS, FIT_ROUNDS = 20_000, 4096, 8
+RECALL, QUERIES, NEAR = 0.97, 200, 10
 #: Distances are rounded to four places; what could tie after that is looked at too.
 MARGIN = 1e-4
 
@@ -43,13 +45,30 @@ def _fitted(sample: np.ndarray, cells: int) -> np.ndarray:
     return centroids
 
 
+def _probes(sample: np.ndarray, centroids: np.ndarray) -> int:
+    """How many cells a search has to look into to find RECALL of the NEAR nearest of each of QUERIES vectors of the sample."""
+    if len(sample) < 2:
+        return 1
+    squares = lambda a, b: (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)
+    asked = sample[:QUERIES]
+    away = squares(asked, sample)
+    away[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = np.argsort(away, axis=1)[:, :NEAR]
+    cell, _ = _nearest(sample, centroids)
+    place = np.argsort(np.argsort(squares(asked, centroids), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(np.take_along_axis(place, cell[near], axis=1), RECALL, method="higher")) + 1
+
+
 def write_cells(vectors: DataFrame, folder: str, cells: int | None = None) -> None:
-    """Index vectors (id, vector) of one length under a folder: `vectors` by cell, and `cells` (cell, n, radius, centroid). Null vectors are left out."""
+    """Index vectors (id, vector) of one length under a folder: `vectors` by cell, and `cells` (cell, n, radius, centroid, probes). Null vectors are left
+    out."""
     spark = vectors.sparkSession
     vectors = stored(vectors.where("vector is not null").select("id", "vector"), "vectors")
     cells = cells or max(1, min(MOST_CELLS, int(vectors.count() ** 0.5)))
     sample = vectors.orderBy(F.xxhash64("id"), "id").select("vector").limit(min(SAMPLE, 64 * cells)).collect()
-    centroids = _fitted(np.array([r.vector for r in sample], np.float64), cells) if sample else np.zeros((0, 0))
+    sample = np.array([r.vector for r in sample], np.float64)
+    centroids = _fitted(sample, cells) if len(sample) else np.zeros((0, 0))
+    probes = _probes(sample, centroids) if len(sample) else 1
 
     @F.pandas_udf("cell int, apart double")
     def placed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -59,26 +78,29 @@ def write_cells(vectors: DataFrame, folder: str, cells: int | None = None) -> No
             yield pd.DataFrame({"cell": cell, "apart": apart})
 
     rows = vectors.withColumn("p", placed("vector")).select("id", "vector", F.col("p.apart").alias("apart"), F.col("p.cell").alias("cell"))
+    rows.limit(0).write.mode("overwrite").parquet(f"{folder}/empty")  # for the types, where there is no row
     rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
     schema = rows.schema
     known = spark.read.schema(schema).parquet(f"{folder}/vectors").groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius"))
     places = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
-    known.join(places, "cell").write.mode("overwrite").parquet(f"{folder}/cells")
+    known.join(places, "cell").withColumn("probes", F.lit(probes)).write.mode("overwrite").parquet(f"{folder}/cells")
 
 
-def _cells(spark: SparkSession, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, radius, centroid) of the cells that hold anything, MOST_CELLS at most."""
+def _cells(spark: SparkSession, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(cell, radius, centroid) of the cells that hold anything, MOST_CELLS at most, and how many to look into."""
     rows = spark.read.parquet(f"{folder}/cells").orderBy("cell").collect()
-    return np.array([r.cell for r in rows], np.int32), np.array([r.radius for r in rows]), np.array([r.centroid for r in rows], np.float64)
+    return np.array([r.cell for r in rows], np.int32), np.array([r.radius for r in rows]), np.array([r.centroid for r in rows], np.float64), max([r.probes for r in rows], default=1)
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.option("basePath", f"{folder}/vectors").parquet(f"{folder}/vectors").select("id", "vector", "cell")
+    schema = spark.read.parquet(f"{folder}/empty").schema
+    return spark.read.schema(schema).parquet(f"{folder}/vectors").select("id", "vector", "cell")
 
 
-def search(spark: SparkSession, folder: str, vector: list[float], k: int, exact: bool = True, probes: int = PROBES) -> DataFrame:
+def search(spark: SparkSession, folder: str, vector: list[float], k: int, exact: bool = True, probes: int | None = None) -> DataFrame:
     """(id, distance) of the k nearest to one vector, by distance and id. The folders of other cells are not read."""
-    cell, radius, centroid = _cells(spark, folder)
+    cell, radius, centroid, usual = _cells(spark, folder)
+    probes = probes or usual
     rows = _vectors(spark, folder)
     if not len(cell):
         return rows.select("id", F.lit(0.0).alias("distance")).limit(0)
@@ -101,10 +123,11 @@ def search(spark: SparkSession, folder: str, vector: list[float], k: int, exact:
     return found.unionByName(best(cell[could])).orderBy("distance", "id").limit(k)
 
 
-def neighbours(spark: SparkSession, folder: str, queries: DataFrame, k: int, exact: bool = True, probes: int = PROBES) -> DataFrame:
+def neighbours(spark: SparkSession, folder: str, queries: DataFrame, k: int, exact: bool = True, probes: int | None = None) -> DataFrame:
     """(query, id, distance, rank) of the k nearest other vectors of each of queries (id, vector), as one join by cell, or two if exact. A
     large cell is a hot key of the join, which adaptive execution splits."""
-    cell, radius, centroid = _cells(spark, folder)
+    cell, radius, centroid, usual = _cells(spark, folder)
+    probes = probes or usual
     rows = _vectors(spark, folder)
     queries = stored(queries.where("vector is not null").select(F.col("id").alias("query"), F.col("vector").alias("q"), F.lit(-1.0).alias("worst")), "queries")
 
