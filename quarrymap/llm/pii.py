@@ -151,17 +151,24 @@ def find_spans(
     words = stored(_placed_words(texts.select("same", "text", "base")), "words")
     entities = stored(texts.select("same", F.explode("entities").alias("entity")).join(rows, "same"), "entities")
     terms = words.groupBy("same", "term").agg(F.min("touches").alias("only"))
-    known = entities.groupBy("entity").agg(F.sum("c").alias("n_entity"), F.count("*").alias("texts"))
-    known = known.where((F.col("texts") >= support) & (F.col("n_entity") < n)).select("entity", "n_entity")
-    free = terms.where("not only").select("same", "term")
-    pairs = stored(entities.join(known, "entity").join(free, "same").select("same", "entity", "term", "c", "n_entity"), "pairs")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("c").alias("n_both"), F.first("n_entity").alias("n_entity"))
-    both = both.where(F.col("texts") >= support)
     # rows that have a word outside base spans: those that have it at all less those that have it only inside
     all_words = docs.select(F.explode(F.expr(f"array_distinct({_words('text')})")).alias("term"), F.lit(1).cast("long").alias("c"))
     inside = terms.where("only").join(rows, "same").select("term", (-F.col("c")).alias("c"))
     counts = all_words.unionByName(inside).groupBy("term").agg(F.sum("c").alias("n_term")).where(F.col("n_term") >= support)
-    scored = both.join(counts, "term")
+    free = terms.where("not only").select("same", "term").join(counts, "term")
+    # entities that are in the same texts are told by the same words: they go on as one
+    place = [F.sum(x.cast("decimal(38,0)")) for x in (F.col("same"), F.xxhash64("same"))]
+    known = entities.groupBy("entity").agg(F.sum("c").alias("n_entity"), F.count("*").alias("texts"), F.xxhash64(*place, F.count("*")).alias("twins"))
+    known = known.where((F.col("texts") >= support) & (F.col("n_entity") < n)).select("entity", "n_entity", "twins")
+    groups = entities.join(known, "entity").select("same", "c", F.col("twins").alias("entity"), "n_entity").distinct()
+    # no more rows have both than have either: pairs that could not disclose even so are never made
+    most = F.least("n_entity", "n_term")
+    could = F.log(F.lit(n) * most / (F.col("n_entity") * (F.col("n_term") + SMOOTHING))) >= generalise_at * F.log(F.lit(n) / F.col("n_entity")) - 1e-9
+    pairs = stored(groups.join(free, "same").where(could).select("same", "entity", "term", "c", "n_entity", "n_term"), "pairs")
+    both = pairs.groupBy("entity", "term").agg(
+        F.count("*").alias("texts"), F.sum("c").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
+    )
+    scored = both.where(F.col("texts") >= support)
     pmi = F.log(F.lit(n) * F.col("n_both") / (F.col("n_entity") * (F.col("n_term") + SMOOTHING)))
     told = pmi / F.log(F.lit(n) / F.col("n_entity"))
     kind = F.when(told >= remove_at, 5).when(told >= generalise_at, 4)

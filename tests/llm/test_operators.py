@@ -749,3 +749,15 @@ def test_more_labels_than_languages(spark):
     rows = [(i, f"{w} text of words {i}", lang) for i, (w, lang) in enumerate([("some", "aa")] * 5 + [("other", "bb")] * 4 + [("odd", f"x{i}") for i in range(30)])]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=3)
     assert sorted(g for gs in model.languages.values() for g in gs) == ["aa", "bb", "x0"]
+
+
+def test_pii_of_many_repeated_entities(spark):
+    """Two long texts share 5,000 addresses of different hosts and 5,000 words; entities in the same texts go on as one, so that no product is made."""
+    words = " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}word" for i in range(5000))
+    mails = " ".join(f"u{i}@h{i}.org" for i in range(5000))
+    rows = [(0, f"{words} {mails}"), (1, f"{mails} {words}")] + [(i, f"plain text of its own {i}") for i in range(2, 60)]
+    start = time.time()
+    got = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 60 and len(got[0].base) == 5000
+    assert all(len(got[d].spans) - len(got[d].base) >= 5000 for d in (0, 1)) and len(got[5].spans) == 0
+    assert time.time() - start < 120
