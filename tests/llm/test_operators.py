@@ -761,3 +761,23 @@ def test_pii_of_many_repeated_entities(spark):
     assert len(got) == 60 and len(got[0].base) == 5000
     assert all(len(got[d].spans) - len(got[d].base) >= 5000 for d in (0, 1)) and len(got[5].spans) == 0
     assert time.time() - start < 120
+
+
+def test_conflicts_are_near_copies(spark):
+    """On a whole table, against the similarity of all pairs: near copies share a cluster, and what shares one is seldom unlike."""
+    rows = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").where("text is not null").select("doc_id", "text", packing.clusters_of("text").alias("c")).collect()
+    sets = [brute.shingles(r.text, 5) for r in rows]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    shared, clustered = Counter(), set()
+    for key in (sets, [set(r.c) for r in rows]):
+        places = {}
+        for i, own in enumerate(key):
+            for g in own if sets[i] else ():
+                places.setdefault(g, []).append(i)
+        for v in places.values():
+            if len(v) < 400:
+                for a, i in enumerate(v):
+                    (shared if key is sets else clustered).update((i, j) for j in v[a + 1 :])
+    alike = {p for p in shared if near(*p) >= 0.8}
+    assert len(alike) > 50 and len(alike & clustered) >= 0.97 * len(alike)
+    assert sum(near(*p) >= 0.5 for p in clustered) >= 0.9 * len(clustered)
