@@ -781,3 +781,41 @@ def test_conflicts_are_near_copies(spark):
     alike = {p for p in shared if near(*p) >= 0.8}
     assert len(alike) > 50 and len(alike & clustered) >= 0.97 * len(alike)
     assert sum(near(*p) >= 0.5 for p in clustered) >= 0.9 * len(clustered)
+
+
+def _model_tokens(docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return {d: len(model.encode(t or "")) for d, t in texts_of(docs)}
+
+
+def test_line_dedup_query(spark, docs):
+    got = {r.doc_id: r for r in queries.op5_line_dedup(spark, SF).collect()}
+    want = brute.dedup_lines(texts_of(docs), lines.MIN_CHARS)
+    assert got.keys() == want.keys()
+    for d, r in got.items():
+        assert r.text == want[d] and r.kept_sha256 == (hashlib.sha256(r.text.encode()).hexdigest() if r.text is not None else None)
+        assert r.n_kept <= r.n_lines
+
+
+def test_mixing_query(spark, docs):
+    tokens_of = _model_tokens(docs)
+    rows = [(r.doc_id, r.source, tokens_of[r.doc_id]) for r in docs.collect()]
+    want = brute.mixed(rows, mixing.ENTROPY, mixing.MAX_EPOCHS, mixing.PASSES, mixing.BLOCK_DOCS, mixing.SEED)
+    got = {r.doc_id: r for r in queries.op8_mixing(spark, SF).collect()}
+    assert {d: (r.n_tokens, r.copies) for d, r in got.items()} == {d: (tokens_of[d], want[d][1]) for d in tokens_of}
+
+
+def test_packing_query(spark, docs):
+    tokens_of, bins, lengths = _model_tokens(docs), {}, Counter()
+    for r in queries.op9_packing(spark, SF).collect():
+        bins.setdefault(r.bin, []).append(r)
+        lengths[r.doc_id] += r.length
+    assert lengths == {d: max(1, n) for d, n in tokens_of.items()}
+    sets = {d: brute.shingles(t, packing.WORDS) for d, t in texts_of(docs) if t is not None}
+    of_source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    for rows in bins.values():
+        assert sum(r.length for r in rows) <= packing.CAPACITY and max(Counter(of_source[r.doc_id] for r in rows).values()) <= packing.PER_SOURCE
+        ids = [r.doc_id for r in rows if r.doc_id in sets and sets[r.doc_id]]
+        assert all(len(sets[a] & sets[b]) < 0.95 * len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 :])
