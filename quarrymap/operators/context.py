@@ -71,9 +71,11 @@ def blind_spots(relations: DataFrame) -> DataFrame:
 
 
 def within(relations: DataFrame, targets: DataFrame) -> DataFrame:
-    """Calls and instantiations (rel_id, file, line_start, line_end, kind, ...) inside the line ranges of targets (target, file, start, end)."""
+    """Calls and instantiations (rel_id, source_id, file, line_start, line_end, kind, ...) inside the line ranges of targets (target, source, file, start, end):
+    those of the target's source, or of any where it is null."""
     some = relations.where(F.col("kind").isin("calls", "instantiates"))
-    return some.join(targets, "file").where((F.col("line_start") >= F.col("start")) & (F.col("line_end") <= F.col("end")))
+    inside = (F.col("line_start") >= F.col("start")) & (F.col("line_end") <= F.col("end"))
+    return some.join(targets, "file").where(inside & (F.col("source").isNull() | (F.col("source") == F.col("source_id"))))
 
 
 def enrich_calls(hints: DataFrame, relations: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def blind_spots(spark, sf_dir):
 
 
 RELATIONS_SQL = r"""rels AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey || ':' || l_partkey AS rel_id, l_orderkey AS file, l_linenumber AS line, CASE l_returnflag WHEN 'R' THEN 'calls' WHEN 'A' THEN 'instantiates' ELSE 'references_type' END AS kind,
-  'class:lib\S' || l_suppkey % 5 AS target_id, l_linestatus AS resolution FROM lineitem)"""
+  'class:lib\S' || l_suppkey % 5 AS target_id, l_linestatus AS resolution, 's' || l_suppkey % 3 AS source_id FROM lineitem)"""
 
 
 def _relations(spark, sf_dir):
@@ -84,12 +84,13 @@ def _relations(spark, sf_dir):
     return t.table(spark, sf_dir, "lineitem").select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("rel_id"), c("l_orderkey").alias("file"), c("l_linenumber").alias("line_start"),
         c("l_linenumber").alias("line_end"), kind.alias("kind"), F.concat(F.lit("class:lib\\S"), c("l_suppkey") % 5).alias("target_id"), c("l_linestatus").alias("resolution"),
+        F.concat(F.lit("s"), c("l_suppkey") % 3).alias("source_id"),
     )
 
 
-@query("scope_relations", f"""WITH {RELATIONS_SQL} SELECT o_custkey AS target, count(*) AS relations, count(DISTINCT file) AS files FROM rels JOIN orders ON file = o_orderkey WHERE kind IN ('calls', 'instantiates') AND line >= 1 + o_orderkey % 2 AND line <= 3 GROUP BY 1""")
+@query("scope_relations", f"""WITH {RELATIONS_SQL} SELECT o_custkey AS target, count(*) AS relations, count(DISTINCT file) AS files FROM rels JOIN orders ON file = o_orderkey WHERE kind IN ('calls', 'instantiates') AND line >= 1 + o_orderkey % 2 AND line <= 3 AND (o_orderkey % 4 < 2 OR source_id = 's' || o_orderkey % 3) GROUP BY 1""")
 def scope_relations(spark, sf_dir):
-    targets = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("file"), (1 + F.col("o_orderkey") % 2).alias("start"), F.lit(3).alias("end"))
+    targets = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("file"), (1 + F.col("o_orderkey") % 2).alias("start"), F.lit(3).alias("end"), F.when(F.col("o_orderkey") % 4 >= 2, F.concat(F.lit("s"), F.col("o_orderkey") % 3)).alias("source"))
     return context.within(_relations(spark, sf_dir), targets).groupBy("target").agg(F.count("*").alias("relations"), F.countDistinct("file").alias("files"))
 
 
