@@ -11,10 +11,12 @@ def normalized(c: Column) -> Column:
 
 
 def match_score(candidate: Column, term: str, base: int) -> Column:
-    """0 without a match, base + 1000 if equal, else base with a bonus at the start and a loss by place and length."""
-    at = F.instr(candidate, term) - 1
-    score = base + F.when(at == 0, 600).otherwise(0) - F.least(F.lit(500), 10 * at) - F.least(F.lit(99), F.greatest(F.lit(0), F.length(candidate) - len(term)))
-    return F.when(at < 0, 0).when(candidate == term, base + 1000).otherwise(score)
+    """0 without a match, base + 1000 if equal, else base with a bonus at the start and a loss by place and length, both in bytes."""
+    found = F.instr(candidate, term)
+    at = F.octet_length(F.substring(candidate, F.lit(1), found - 1))
+    longer = F.octet_length(candidate) - len(term.encode())
+    score = base + F.when(at == 0, 600).otherwise(0) - F.least(F.lit(500), 10 * at) - F.least(F.lit(99), F.greatest(F.lit(0), longer))
+    return F.when(found == 0, 0).when(candidate == term, base + 1000).otherwise(score)
 
 
 def is_test_path(path: str) -> Column:

@@ -50,7 +50,7 @@ _C, _N = "lower(path)", "regexp_replace(lower(path), '[^a-z0-9]+', '', 'g')"
 
 def _score_sql(c: str, term: str, base: int) -> str:
     return f"""CASE WHEN strpos({c}, '{term}') = 0 THEN 0 WHEN {c} = '{term}' THEN {base + 1000} ELSE {base} + CASE WHEN strpos({c}, '{term}') = 1 THEN 600 ELSE 0 END
-      - least(500, 10 * (strpos({c}, '{term}') - 1)) - least(99, greatest(0, length({c}) - length('{term}'))) END"""
+      - least(500, 10 * strlen(left({c}, strpos({c}, '{term}') - 1))) - least(99, greatest(0, strlen({c}) - strlen('{term}'))) END"""
 
 
 @query("fuzzy_query", f"""WITH {URLS_SQL}, s AS (SELECT page_id, path, {_score_sql(_C, TERM, 8000)} AS literal, {_score_sql(_N, TERM, 5000)} AS normal FROM urls)

@@ -25,9 +25,9 @@ def chunk_segments(spark, sf_dir):
     return r.segments(t.chunks(spark, sf_dir), SEGMENT)
 
 
-@query("chunk_fingerprints", """SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, sha256('v1' || chr(0) || 'doc:' || doc_id || chr(0) || rtrim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(13) || chr(11))) AS content_sha256 FROM documents""")
+@query("chunk_fingerprints", """SELECT 'doc:' || doc_id || '#body:v1' AS chunk_id, sha256('v1' || chr(0) || 'doc:' || doc_id || chr(0) || rtrim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(0))) AS content_sha256 FROM documents""")
 def chunk_fingerprints(spark, sf_dir):
-    body = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), "[ \t\n\r\\x0B]+\\z", "")
+    body = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), "[ \t\n\r\\x0B\\x00]+\\z", "")
     return t.chunks(spark, sf_dir).select("chunk_id", tx.nul_hash(F.lit("v1"), F.col("symbol_id"), body).alias("content_sha256"))
 
 

@@ -357,3 +357,11 @@ def test_merge_states(spark):
     )
     got = {x.id: (x.status, x.extends) for x in ingest.merge_symbols(s, r).collect()}
     assert got == {"a": ("confirmed", ["A", "B"]), "b": ("conflict", ["A"]), "c": ("semantic_enrichment", ["A"]), "d": ("semantic_enrichment", ["A", "B"]), "e": ("structural_only", ["A", "B"])}
+
+
+def test_scores_count_bytes(spark):
+    from quarrymap.functions.text import match_score
+
+    rows = spark.createDataFrame([("en",), ("xen",), ("éen",), ("enéé",), ("none",), ("",)], "c string")
+    got = {r.c: r.s for r in rows.select("c", match_score(F.col("c"), "en", 8000).alias("s")).collect()}
+    assert got == {"en": 9000, "xen": 8000 - 10 - 1, "éen": 8000 - 20 - 2, "enéé": 8600 - 4, "none": 0, "": 0}
