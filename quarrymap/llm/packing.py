@@ -34,6 +34,8 @@ SCHEMA = "doc_id long, piece int, start long, length int, bin string, position i
 
 _FACTOR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PLACES = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+_WEIGHTS = np.random.default_rng(11).integers(1, 1 << 62, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_BINS = np.arange(BANDS * ROWS)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -43,19 +45,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def bands(grams: np.ndarray) -> np.ndarray:
     """The cluster numbers of a set of hashes. A bin without any takes the least of the next one that has some, told apart by how far that is."""
-    n = BANDS * ROWS
+    n = len(_BINS)
     h = _mixed(grams)
-    where = (h % np.uint64(n)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    held, starts = np.unique(where[order], return_index=True)
+    where = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint8)  # one byte: sorted by counting
+    order = where.argsort(kind="stable")
+    where = where[order]
+    starts = np.flatnonzero(np.diff(where, prepend=255))
     least = np.minimum.reduceat(h[order], starts)
-    at = np.searchsorted(held, np.arange(n))
-    away = np.where(at < len(held), held[at % len(held)], held[0] + n) - np.arange(n)
-    signature = _mixed(least[at % len(held)] + away.astype(np.uint64) * _STEP).reshape(BANDS, ROWS)
-    out = _PLACES.copy()
-    for row in signature.T:
-        out = _mixed(out * _STEP + row)
-    return out.astype(np.int64)
+    if len(starts) < n:
+        held = where[starts].astype(np.int64)
+        at = np.searchsorted(held, _BINS)
+        away = np.where(at < len(held), held[at % len(held)], held[0] + n) - _BINS
+        least = least[at % len(held)] + away.astype(np.uint64) * _STEP
+    return _mixed((_mixed(least).reshape(BANDS, ROWS) * _WEIGHTS).sum(axis=1, dtype=np.uint64) + _PLACES).astype(np.int64)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
