@@ -35,7 +35,8 @@ SCHEMA = "doc_id long, piece int, start long, length int, bin string, position i
 _FACTOR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PLACES = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 _WEIGHTS = np.random.default_rng(11).integers(1, 1 << 62, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_BINS = np.arange(BANDS * ROWS)
+#: For each bin, the bins that are asked in turn for their least hash if it has none.
+_DONORS = np.random.default_rng(12).integers(0, BANDS * ROWS, (BANDS * ROWS, 48))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -44,8 +45,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def bands(grams: np.ndarray) -> np.ndarray:
-    """The cluster numbers of a set of hashes. A bin without any takes the least of the next one that has some, told apart by how far that is."""
-    n = len(_BINS)
+    """The cluster numbers of a set of hashes. A bin without any takes the
+    least of the first of its donors that has some, told apart by its turn, so that bins beside each other don't take the same."""
+    n = len(_DONORS)
     h = _mixed(grams)
     where = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint8)  # one byte: sorted by counting
     order = where.argsort(kind="stable")
@@ -53,10 +55,12 @@ def bands(grams: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(np.diff(where, prepend=255))
     least = np.minimum.reduceat(h[order], starts)
     if len(starts) < n:
-        held = where[starts].astype(np.int64)
-        at = np.searchsorted(held, _BINS)
-        away = np.where(at < len(held), held[at % len(held)], held[0] + n) - _BINS
-        least = least[at % len(held)] + away.astype(np.uint64) * _STEP
+        place = np.full(n, -1)
+        place[where[starts]] = np.arange(len(starts))
+        asked = place[_DONORS]
+        turn = (asked >= 0).argmax(axis=1)
+        given = asked[np.arange(n), turn]  # -1: nobody asked had one
+        least = np.where(place >= 0, least[place], np.where(given >= 0, least[given] + (turn + 1).astype(np.uint64) * _STEP, least[0]))
     return _mixed((_mixed(least).reshape(BANDS, ROWS) * _WEIGHTS).sum(axis=1, dtype=np.uint64) + _PLACES).astype(np.int64)
 
 
