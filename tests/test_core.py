@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymap.operators import edit_context, graph, hints, ingest, publish, ranks, rename, retrieval, segments, source, temporal, vector_index
-from quarrymap.storage import new_folder
+from quarrymap.storage import new_folder, stored
 
 METHOD = "id string, symbol string, ord int, file string, line_start int, line_end int"
 SYMBOL = "id string, ord int, file string, line_start int, line_end int"
@@ -328,6 +328,39 @@ def test_labels_told_apart(spark):
     }
 
 
+def _told_apart_one_by_one(rows):
+    """The choices in order of the ids, each looking at all that are taken."""
+    keys = [x[1].lower() for x in rows]
+    alone = {k for k in keys if keys.count(k) == 1}
+    taken, out = set(alone), {x[0]: x[1] for x in rows if x[1].lower() in alone}
+    for i, label, first, digest in sorted(x for x in rows if x[1].lower() not in alone):
+        above = (first.rsplit("/", 1)[0] if "/" in first else ".").split("/")[-1]
+        plain = above in ("", ".") or above.lower() in graph.NOISE or above.lower() == label.lower()
+        base = f"{label} / " + (digest[:6] if plain else " ".join(w[:1].upper() + w[1:] for w in re.sub("[_-]+", " ", above).split(" ")))
+        n = 0
+        while True:
+            pick = base if n == 0 else f"{base} {digest[:6]}" if n == 1 else f"{base} {digest[:6]}-{n}"
+            if pick.lower() not in taken:
+                break
+            n += 1
+        taken.add(pick.lower())
+        out[i] = pick
+    return out
+
+
+def test_many_labels_told_apart_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"r{i:04}", rng.choice(["Shared", "shared", "Other"]), f"lib/{rng.choice(['src', 'one', 'two_b'])}/x.php", rng.choice(["aaaaaa1", "bbbbbb1"])) for i in range(400)]
+    rows += [(f"s{i}", f"Shared / One aaaaaa-{n}", "x", "d") for i, n in enumerate([2, 3, 4, 7, 9, 30, 31, 32, 33, 60, 1, 5000])]  # numbers that are taken
+    rows += [(f"q{i}", f"Other / Two b bbbbbb-{n}", "x", "d") for i, n in enumerate(["02", "x", "0"])]  # and what are none
+    rows += [("r0500", "Q", "lib/one aaaaaa-2/x.php", "aaaaaa"), ("r0501", "Q", "lib/one/x.php", "aaaaaa"), ("r0502", "q", "lib/one/x.php", "aaaaaa"), ("r0503", "q", "lib/one/x.php", "aaaaaa")]
+    rounds = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    got = dict(map(tuple, graph.unique_labels(spark.createDataFrame(rows, "id string, label string, first string, digest string")).collect()))
+    assert got == _told_apart_one_by_one(rows)
+    assert rounds.count("asking") <= 6
+
+
 def test_ranks_and_parts(spark):
     rng = random.Random(9)
     rows = [(rng.randint(0, 5), i) for i in range(103)]
