@@ -96,6 +96,30 @@ def test_plans_do_not_depend_on_how_many_are_looked_at_first(spark):
         edit_context.Policy(files=0)
 
 
+def test_covering_tests_are_counted_without_being_listed(spark, monkeypatch):
+    """Every third method is a test; some relations have several targets, so that one leads to several callers of a plan."""
+    rng, n = random.Random(11), 60
+    methods = [(f"m{i}", f"s{i % 5}", i, f"tests/T{i % 4}Test.php" if i % 3 == 0 else f"src/F{i % 7}.php", i * 10, i * 10 + i % 6) for i in range(n)]
+    relations = [(f"r{rng.randint(0, 350)}", f"m{rng.randint(0, n - 1)}", f"m{rng.randint(0, n - 1)}", rng.choice(["calls"] * 9 + ["overrides"]), "x") for _ in range(500)]
+    relations += [(f"h{i}", f"m{i}", "m1", "calls", "x") for i in range(n)] + [(f"h{i}", f"m{i}", "m2", "calls", "x") for i in range(n)]  # hot ones
+    files = spark.createDataFrame([(m[3],) for m in methods], "path string").distinct()
+    args = spark.createDataFrame(methods, METHOD), spark.createDataFrame([("s1", 0, "src/S.php", 1, 9)], SYMBOL), spark.createDataFrame(relations, RELATION), files
+    every = edit_context.unique_candidates(edit_context.context_candidates(*args, tests=2)).cache()
+    want = every.groupBy("plan", "role", "reason").agg(
+        F.min("priority"), F.bool_or("mandatory"), F.count("*"), F.min("symbol"), F.max("symbol"), F.min("file"), F.sum("line_start"), F.sum("line_end"), F.sum("evidence"), F.min("first_evidence"),
+    )
+    monkeypatch.setattr(edit_context, "ONE_GROUP", 7)
+    monkeypatch.setattr(edit_context, "ONE_TASK", 50)
+    assert sorted(map(str, map(tuple, edit_context.candidate_totals(*args, tests=2).collect()))) == sorted(map(str, map(tuple, want.collect())))
+    size = 30 * (F.col("line_end") - F.col("line_start") + 1).cast("long")
+    policy = edit_context.Policy(bytes=1500, files=2, callers=3, callees=3, tests=4, types=1)
+    want = edit_context.context_plans(every.withColumn("size", size), policy).collect()
+    for first in (2, 64):
+        assert sorted(edit_context.method_plans(*args, size, policy, tests=2, first=first).collect()) == sorted(want)
+    near, _, _ = edit_context._parts(*args, None, 2)
+    assert near.where(F.col("reason") == edit_context.COVERING).isEmpty() and not every.where(F.col("reason") == edit_context.COVERING).isEmpty()
+
+
 CODE = """<?php
 
 final class Example
