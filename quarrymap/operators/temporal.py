@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.functions.text import nul_hash
+from quarrymap.storage import stored
+
+#: So many pairs of changes are counted in one task.
+ONE_TASK = 2_000_000
 
 
 def cochange(commits: DataFrame, most_files: int, at_least: int, files: DataFrame | None = None) -> DataFrame:
@@ -16,9 +20,13 @@ def cochange(commits: DataFrame, most_files: int, at_least: int, files: DataFram
         commits = commits.join(files.select("file").distinct(), "file", "left_semi")
     size = commits.groupBy("commit_ord").agg(F.count("*").alias("n"))
     live = commits.join(size.where(F.col("n") <= most_files), "commit_ord").select("commit_ord", "file")
+    live = stored(live, "live")  # read four times
     changes = live.groupBy("file").agg(F.count("*").alias("changes"))
+    total = live.groupBy("commit_ord").agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
     a, b = live.withColumnRenamed("file", "left"), live.withColumnRenamed("file", "right")
-    pairs = a.join(b, "commit_ord").where(F.col("left") < F.col("right"))
+    # pairs grow faster than what they are made of: they are dealt into as many tasks as they need, before anything is gathered
+    tasks = max(int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // ONE_TASK)
+    pairs = a.join(b, "commit_ord").where(F.col("left") < F.col("right")).repartition(tasks, "left", "right")
     pairs = pairs.groupBy("left", "right").agg(F.count("*").alias("together"), F.array_join(F.array_sort(F.collect_list("commit_ord")), ",").alias("revisions"))
     pairs = pairs.where(F.col("together") >= at_least)
     x, y = (changes.select(F.col("file").alias(s), F.col("changes").alias(f"{s}_changes")) for s in ("left", "right"))

@@ -340,6 +340,25 @@ def test_published_maps(spark):
         publish.read_section(spark, root, "empty", "b int")
 
 
+def test_pairs_of_changes_are_dealt_by_their_number(spark, monkeypatch):
+    rows = [(c, f) for c in range(40) for f in range(c % 5, c % 5 + 6)]
+    commits = spark.createDataFrame(rows, "commit_ord int, file int")
+    want = sorted(temporal.cochange(commits, 6, 2).collect())
+    monkeypatch.setattr(temporal, "ONE_TASK", 50)  # 600 pairs
+    dealt = []
+    kind = type(commits)
+    kept = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, n, *by: dealt.append(n) or kept(df, n, *by))
+    assert sorted(temporal.cochange(commits, 6, 2).collect()) == want and dealt == [12]
+    by_hand = {}
+    for c in range(40):
+        mine = [f for x, f in rows if x == c]
+        for pair in ((x, y) for x in mine for y in mine if x < y):
+            by_hand.setdefault(pair, []).append(str(c))
+    text = {p: ",".join(sorted(v, key=int)) for p, v in by_hand.items() if len(v) > 1}
+    assert {(r.left, r.right): (r.together, r.revisions) for r in want} == {p: (v.count(",") + 1, v) for p, v in text.items()}
+
+
 def test_labels_told_apart(spark):
     rows = [
         ("r1", "Shared", "src/Feature/A.php", "aaaaaa1"), ("r2", "shared", "src/Feature/B.php", "bbbbbb1"), ("r3", "Shared", "src/Feature/C.php", "bbbbbb2"), ("r4", "Shared", "src/Feature/D.php", "bbbbbb3"),
