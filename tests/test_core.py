@@ -359,6 +359,31 @@ def test_pairs_of_changes_are_dealt_by_their_number(spark, monkeypatch):
     assert {(r.left, r.right): (r.together, r.revisions) for r in want} == {p: (v.count(",") + 1, v) for p, v in text.items()}
 
 
+def test_relations_move_once_to_their_source(spark, monkeypatch):
+    """Joins by equal keys and sums after them: the relations aren't dealt by pairs of nodes as well."""
+    monkeypatch.setattr(graph, "stored", lambda df, name: kept.append(df) or df)
+    kept = []
+    nodes = spark.createDataFrame([(f"n{i}", "method", f"d/f{i % 3}", "x") for i in range(9)], "id string, kind string, file string, namespace string")
+    edges = spark.createDataFrame([(f"r{i}", f"n{i % 9}", f"n{i % 7}", "calls", "dynamic" if i % 2 else "sure") for i in range(50)], RELATION)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        graph.file_signals(nodes, edges)
+        text = kept[0]._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\(source_id#\d+, target_id", text) and "Exchange hashpartitioning(source_id" in text
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files, want = {f"n{i}": f"d/f{i % 3}" for i in range(9)}, {}
+    for i in range(50):
+        a, b = sorted((files[f"n{i % 9}"], files[f"n{i % 7}"]))
+        if a != b:
+            want[a, b] = want.get((a, b), 0) + (0.5 if i % 2 else 1)
+    assert {(r.left, r.right): r.f for r in kept[0].collect()} == want
+
+
 def test_labels_told_apart(spark):
     rows = [
         ("r1", "Shared", "src/Feature/A.php", "aaaaaa1"), ("r2", "shared", "src/Feature/B.php", "bbbbbb1"), ("r3", "Shared", "src/Feature/C.php", "bbbbbb2"), ("r4", "Shared", "src/Feature/D.php", "bbbbbb3"),
