@@ -20,15 +20,8 @@ from quarrymap.storage import delete_folder, stored
 POSTINGS = "term string, chunk_id string, path string, tf int, len int, bucket int"
 
 
-def _postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, path, tf, len, bucket) of chunks (chunk_id, path, symbol_name, signature, content)."""
-    rows = chunks.select("chunk_id", "path", r.terms(r.search_text()).alias("ws")).select("chunk_id", "path", F.size("ws").alias("len"), F.explode("ws").alias("term"))
-    return rows.groupBy("term", "chunk_id", "path", "len").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", r._bucket(F.col("term")))
-
-
 def _write(root: str, name: str, postings: DataFrame, sizes: DataFrame, gone: DataFrame) -> None:
-    # a bucket is cut by what its rows need, so that no word makes one large file
-    postings.select("term", "chunk_id", "path", "tf", "len", "bucket").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/{name}/postings")
+    r.write_postings(postings.select("term", "chunk_id", "path", "tf", "len", "bucket"), f"{root}/{name}/postings")
     sizes.write.parquet(f"{root}/{name}/chunks")
     gone.write.parquet(f"{root}/{name}/gone")
 
@@ -68,8 +61,8 @@ def build(root: str, chunks: DataFrame) -> dict:
     """A new index of all chunks as one segment."""
     spark, name = chunks.sparkSession, f"segment-{uuid.uuid4().hex}"
     chunks = stored(chunks.select("chunk_id", "path", "symbol_name", "signature", "content"), "chunks")
-    _write(root, name, _postings(chunks), _sizes(chunks), chunks.select("path").limit(0))
-    return _publish(spark, root, [name], *_totals(_sizes(chunks)))
+    _write(root, name, r.postings(chunks, "path"), _sizes(chunks), chunks.select("path").limit(0))
+    return _publish(spark, root, [name], *_totals(spark.read.parquet(f"{root}/{name}/chunks")))
 
 
 def refresh(root: str, changed: DataFrame, chunks: DataFrame) -> dict:
@@ -80,9 +73,9 @@ def refresh(root: str, changed: DataFrame, chunks: DataFrame) -> dict:
     paths = stored(changed.select("path").distinct(), "changed")
     fresh = stored(chunks.select("chunk_id", "path", "symbol_name", "signature", "content").join(paths, "path", "left_semi"), "fresh")
     before_n, before_total = _totals(_live(spark, root, now["segments"], "chunks").join(paths, "path", "left_semi"))
-    added_n, added_total = _totals(_sizes(fresh))
     name = f"segment-{uuid.uuid4().hex}"
-    _write(root, name, _postings(fresh), _sizes(fresh), paths)
+    _write(root, name, r.postings(fresh, "path"), _sizes(fresh), paths)
+    added_n, added_total = _totals(spark.read.parquet(f"{root}/{name}/chunks"))
     return _publish(spark, root, [*now["segments"], name], now["chunks"] - before_n + added_n, now["terms"] - before_total + added_total)
 
 

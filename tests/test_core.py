@@ -320,6 +320,39 @@ def test_segments_equal_a_new_index(spark):
     assert sorted(map(tuple, segments.search(spark, root, ["beta", "eps"]).collect())) == sorted(map(tuple, retrieval.lexical(frame(docs), ["beta", "eps"]).collect()))
 
 
+def _moved(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_postings_are_counted_where_they_are_read(spark):
+    from collections import Counter
+
+    texts = {"a": "beta alpha beta x9 Beta", "b": "", "c": None, "d": "alpha " * 5000}
+    df = spark.createDataFrame([(k, "p", "n1", "s1", v) for k, v in texts.items()], "chunk_id string, path string, symbol_name string, signature string, content string")
+    found = retrieval.postings(df, "path")
+    assert _moved(found) == 0
+    want = {k: Counter(["n1", "s1", *(v or "").lower().split()]) for k, v in texts.items()}
+    assert sorted((r.chunk_id, r.term, r.tf, r.len) for r in found.collect()) == sorted((k, t, n, sum(c.values())) for k, c in want.items() for t, n in c.items())
+
+
+def test_embedding_by_blocks_equals_the_one_by_terms(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(40)] + ["camelCase", "under_score", "Other"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(25)] + [None, ""]
+    df = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, content string").repartition(3, "chunk_id")
+    known = retrieval.idf(df).where("crc32(term) % 3 <> 0")  # the others are new and count with 1
+    want = {}
+    for r in retrieval.hashed_embedding(retrieval.term_counts(df), known).collect():
+        want.setdefault(r.chunk_id, {})[r.bucket] = round(r.v, 6)
+    counts = retrieval.counted_chunks(df)
+    rows = retrieval.block_embedding(counts, known)
+    got = {r.chunk_id: {i: round(v, 6) for i, v in enumerate(r.sums) if v is not None} for r in rows.collect()}
+    assert len(got) == len(texts) and {k: v for k, v in got.items() if v} == want
+    assert sorted(map(tuple, retrieval.idf(df, counts).collect())) == sorted(map(tuple, retrieval.idf(df).collect()))
+    assert all(abs(sum(x * x for x in r.vector) - 1) < 1e-5 for r in retrieval.unit_vectors(rows).collect())
+
+
 def test_published_maps(spark):
     rows = spark.createDataFrame([(i, f"n{i % 7}", {"z": [i], "a": None}, (None, i)) for i in range(100)], "b int, a string, m map<string,array<int>>, s struct<y:string,x:int>")
     root = new_folder(spark, "test-map")
