@@ -295,6 +295,33 @@ def test_probed_neighbours_of_the_query_table(spark):
     assert len(exact & probed) >= 0.9 * len(exact)
 
 
+def test_neighbours_in_pieces_of_one_cell(spark, monkeypatch):
+    """Copies, equal distances and null vectors, in one cell that no task holds whole."""
+    monkeypatch.setattr(vector_index, "PIECE", 7)
+    rng = random.Random(3)
+    vectors = {i: [float(rng.randint(0, 2)) for _ in range(3)] if i % 9 else [1.0, 1.0, 1.0] for i in range(120)}
+    df = spark.createDataFrame([*vectors.items(), (500, None)], "id long, vector array<float>")
+    folder = new_folder(spark, "test-pieces")
+    vector_index.write_cells(df, folder, cells=1)
+    asked = df.where("id % 4 = 0")
+    got = vector_index.neighbours(spark, folder, asked, 6).collect()
+    far = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5, 4)
+    for q in range(0, 120, 4):
+        want = sorted((far(vectors[q], v), i) for i, v in vectors.items() if i != q)[:6]
+        assert [(r.distance, r.id) for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == want
+    assert {r["query"] for r in got} == set(range(0, 120, 4))
+
+
+def test_nearest_of_a_piece_looks_at_few_pairs_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector_index, "AT_ONCE", 8)
+    rows = pa.table({"id": [3, 1, 2, 9], "vector": [[0.0], [0.00025], [0.00035], [5.0]]})
+    asked = pa.table({"query": [3, 7, 8], "q": [[0.0], [0.0], [0.0]], "worst": [float("inf"), float("inf"), 0.0002]})
+    got = [tuple(r.values()) for r in vector_index._best(asked, rows, 2).to_pylist()]
+    assert got == [(3, 1, 0.0003), (3, 2, 0.0004), (7, 3, 0.0), (7, 1, 0.0003), (8, 3, 0.0), (8, 1, 0.0003)]
+
+
 def test_segments_equal_a_new_index(spark):
     rng = random.Random(7)
     text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(rng.randint(0, 12)))
