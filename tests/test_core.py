@@ -351,6 +351,22 @@ def _moved(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
 
+def test_links_move_once_to_be_counted_by_source(spark):
+    from quarrymap.operators import graph
+
+    rows = [("a", "x", "calls", "dynamic"), ("a", "x", "calls", "sure"), ("b", "x", "calls", "sure"), ("b", "b", "calls", "sure")]
+    edges = spark.createDataFrame([(f"r{i}", *r) for i, r in enumerate(rows)], "rel_id string, source_id string, target_id string, kind string, resolution string")
+    nodes = spark.createDataFrame([("a", "f1"), ("b", "f2"), ("x", "f3")], "id string, file string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        out = graph.coupling(nodes, edges, "file", 5)
+        # the links by source and again by target, both sides of nodes, and the counts
+        assert _moved(out) == 5
+        assert [tuple(r) for r in out.collect()] == [("f2", "f3", 1, 0), ("f1", "f3", 1, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_postings_are_counted_where_they_are_read(spark):
     from collections import Counter
 
