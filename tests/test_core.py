@@ -120,6 +120,47 @@ def test_covering_tests_are_counted_without_being_listed(spark, monkeypatch):
     assert near.where(F.col("reason") == edit_context.COVERING).isEmpty() and not every.where(F.col("reason") == edit_context.COVERING).isEmpty()
 
 
+def _written(spark):
+    """Rows that stages have written for others so far."""
+    stages = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None))
+    return sum(s.shuffleWriteRecords() for s in stages)
+
+
+def test_tests_of_callers_are_counted_without_a_row_for_each_plan_and_test(spark):
+    """60 methods are called by 20 others, and these by 200 tests each: 240,000 times a plan, a caller and a test."""
+    plans, callers, tests = range(60), range(20), range(200)
+    methods = [(f"p{i}", "P", i, "src/P.php", i, i) for i in plans] + [(f"c{i}", "C", i, "src/C.php", i, i) for i in callers] + [(f"t{i}", "T", i, "tests/TTest.php", i, i + 2) for i in tests]
+    relations = [(f"{c}:{p}", f"c{c}", f"p{p}", "calls", "x") for c in callers for p in plans] + [(f"{t}-{c}", f"t{t}", f"c{c}", "calls", "x") for t in tests for c in callers]
+    methods, symbols = spark.createDataFrame(methods, METHOD), spark.createDataFrame([("P", 0, "src/P.php", 1, 9)], SYMBOL)
+    before = _written(spark)
+    rows = edit_context.candidate_totals(methods, symbols, spark.createDataFrame(relations, RELATION), methods.select(F.col("file").alias("path")).distinct())
+    got = {r.plan: (r.candidates, r.starts, r.ends, r.evidence, r.first_evidence) for r in rows.where(F.col("reason") == edit_context.COVERING).collect()}
+    assert got == {f"p{p}": (200, sum(tests), sum(tests) + 400, 4000, "0-0") for p in plans}
+    assert _written(spark) - before < 100_000
+
+
+def test_tests_of_callers_in_cells(spark, monkeypatch):
+    rng = random.Random(5)
+    change = {(rng.randint(0, 9), rng.randint(100, 115)) for _ in range(60)} | {(7, c) for c in range(100, 116)}
+    met = {(rng.randint(100, 120), rng.randint(0, 40)) for _ in range(300)}
+    values = {t: (rng.randint(1, 9), rng.randint(0, 3)) for t in range(41)}
+    monkeypatch.setattr(edit_context, "ONE_GROUP", 40)
+    monkeypatch.setattr(edit_context, "ONE_TASK", 60)
+    tests = spark.createDataFrame([(c, t, *values[t]) for c, t in met], "caller long, test long, x long, y long")
+    covering = edit_context.Covering(spark.createDataFrame([*change, *change], "plan long, caller long"), tests)
+    of = {p: sorted({t for c, t in met if (p, c) in change}) for p in {p for p, _ in change}}
+    got = {r.plan: (r.candidates, r.x, r.y) for r in covering.counts().collect()}
+    assert got == {p: (len(ts), sum(values[t][0] for t in ts), sum(values[t][1] for t in ts)) for p, ts in of.items() if ts}
+    asked = {p: (rng.randint(0, 20), rng.randint(3, 9), rng.choice([None, [1], [0, 3]])) for p in of if p % 4}
+    rows = covering.met(3, spark.createDataFrame([(p, *a) for p, a in asked.items()], "plan long, least long, room long, files array<long>")).collect()
+    first = {p: [] for p in asked}
+    for r in rows:
+        first[r.plan] += r.tests
+        assert [(x, y) for x, y in zip(r.xs, r.ys)] == [values[t] for t in r.tests]
+    for p, (least, room, files) in asked.items():
+        assert sorted(first[p])[:3] == [t for t in of[p] if t >= least and values[t][0] <= room and (files is None or values[t][1] in files)][:3]
+
+
 CODE = """<?php
 
 final class Example
