@@ -161,6 +161,18 @@ def test_tests_of_callers_in_cells(spark, monkeypatch):
         assert sorted(first[p])[:3] == [t for t in of[p] if t >= least and values[t][0] <= room and (files is None or values[t][1] in files)][:3]
 
 
+def test_a_plan_without_room_does_not_look_at_what_is_left(spark, monkeypatch):
+    """After 800 of 900 bytes each of 3000 tests is too large, but for the last one."""
+    rows = [("p", "p", "primary", "r", 0, True, "f", 1, 1, 800)] + [("p", f"t{i}", "verification", "r", 20, False, f"f{i % 9}", i, i, 200) for i in range(3000)]
+    rows += [("p", "z", "verification", "r", 20, False, "g", 1, 1, 50), ("p", "d", "dependency", "r", 30, False, "f", 1, 1, 60)]
+    df = spark.createDataFrame(rows, "plan string, symbol string, role string, reason string, priority int, mandatory boolean, file string, line_start int, line_end int, size long")
+    rounds, fold = [], edit_context._fold
+    monkeypatch.setattr(edit_context, "_fold", lambda *a: rounds.append(1) or fold(*a))
+    got = edit_context.context_plans(df, edit_context.Policy(bytes=900), 8).collect()
+    assert [([c.symbol for c in r.chosen], r.omitted, r.used, r.files, r.failed) for r in got] == [(["p", "z"], 3001, 850, 2, False)]
+    assert len(rounds) == 2
+
+
 CODE = """<?php
 
 final class Example
